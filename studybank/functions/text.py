@@ -40,6 +40,11 @@ def clean_report(c) -> Column:
     return t
 
 
+def py_strip(c) -> Column:
+    """Python ``str.strip()``: remove leading / trailing Unicode whitespace."""
+    return F.regexp_replace(_col(c), "^" + WS + "+|" + WS + "+$", "")
+
+
 def strip_newlines(c, repl: str = "") -> Column:
     """Delete (or replace) ``\\n`` and ``\\r``; words on either side join."""
     if repl == "":
