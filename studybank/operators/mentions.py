@@ -62,9 +62,18 @@ def expand_unmentions(phrases: DataFrame, merge: bool = False) -> DataFrame:
     return kept.unionByName(computed)
 
 
-def regex_spans(text: Column, pattern: str) -> Column:
+def regex_spans(text: Column, pattern: str, guard: bool = False) -> Column:
     """All non-overlapping matches of ``pattern`` as ``[start, end)`` (0-based),
-    like ``re.finditer``: match i starts after the i gaps and i-1 matches before it."""
+    like ``re.finditer``: match i starts after the i gaps and i-1 matches before it.
+    With ``guard`` a single ``rlike`` comes first, so a phrase that is usually
+    absent (unmentions) costs one regex scan and no array work."""
+    if not guard:
+        return _spans(text, pattern)
+    return F.when(text.rlike(pattern), _spans(text, pattern)).otherwise(
+        F.array().cast(SPAN_TYPE))
+
+
+def _spans(text: Column, pattern: str) -> Column:
     p = F.lit(pattern)
     found = F.regexp_extract_all(text, p, 0)
     gaps = F.split(text, pattern, -1)
@@ -105,6 +114,46 @@ def phrase_spans(sentences: DataFrame, phrases: DataFrame, kind: str = "mention"
         F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
 
 
+def _not_blocked(blockers: Column):
+    def keep(s: Column) -> Column:
+        return ~F.exists(blockers, lambda u: (s["start"] < u["end"]) & (s["end"] > u["start"]))
+    return keep
+
+
+def filtered_spans(sentences: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+    """Mention spans with unmention overlaps already removed, computed per
+    sentence in one projection (no join): a mention of observation *o* is
+    dropped when it overlaps any unmention span of *o* in the same sentence."""
+    ment = _bounded_rows(phrases.where(F.col("kind") == "mention")
+                         .select("observation", "phrase").distinct()
+                         .orderBy("observation", "phrase"))
+    unm = _bounded_rows(phrases.where(F.col("kind") == "unmention")
+                        .select("observation", "phrase").distinct()
+                        .orderBy("observation", "phrase"))
+    t = F.col(text)
+    by_obs: dict[str, list[str]] = {}
+    for r in unm:
+        by_obs.setdefault(r["observation"], []).append(r["phrase"])
+    blockers = {o: F.flatten(F.array(*[regex_spans(t, p, guard=True) for p in ps]))
+                for o, ps in by_obs.items()}
+    items = []
+    for r in ment:
+        spans = regex_spans(t, r["phrase"])
+        if r["observation"] in blockers:
+            spans = F.filter(spans, _not_blocked(blockers[r["observation"]]))
+        items.append(F.struct(F.lit(r["observation"]).alias("observation"),
+                              F.lit(r["phrase"]).alias("phrase"), spans.alias("spans")))
+    if not items:
+        return phrase_spans(sentences, phrases.limit(0), "mention", text)
+    hits = F.filter(F.array(*items), lambda x: F.size(x["spans"]) > 0)
+    exploded = sentences.select("*", F.explode(hits).alias("_h"))
+    return exploded.select(
+        *sentences.columns, F.col("_h.observation").alias("observation"),
+        F.col("_h.phrase").alias("phrase"), F.explode("_h.spans").alias("_s")).select(
+        *sentences.columns, "observation", "phrase",
+        F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
+
+
 def drop_unmentions(mentions: DataFrame, unmentions: DataFrame,
                     keys=("study_id", "sent_idx")) -> DataFrame:
     """Anti-join: drop a mention whose span overlaps an unmention span of the

@@ -130,32 +130,36 @@ def _ngrams(tokens: Column, n: int) -> Column:
         F.array().cast("array<string>"))
 
 
-def _clipped_matches(cand: Column, ref: Column) -> Column:
-    """Sum over distinct candidate n-grams of min(count in cand, count in ref)."""
-    uniq = F.array_distinct(cand)
-    return F.aggregate(
-        uniq, F.lit(0).cast("long"),
-        lambda acc, g: acc + F.least(
-            F.size(F.filter(cand, lambda x: x == g)).cast("long"),
-            F.size(F.filter(ref, lambda x: x == g)).cast("long")))
-
-
-def bleu2(ref: Column, cand: Column) -> Column:
-    """Sentence BLEU with weights (0.5, 0.5) between two strings, after newline
-    deletion and ``[^0-9a-zA-Z ]`` -> space cleaning.  Zero unigram or bigram
-    overlap gives 0; brevity penalty ``exp(1 - r/c)`` when ``c < r``."""
-    r_tok = alnum_tokens(strip_newlines(ref))
-    c_tok = alnum_tokens(strip_newlines(cand))
-    m1 = _clipped_matches(c_tok, r_tok)
-    m2 = _clipped_matches(_ngrams(c_tok, 2), _ngrams(r_tok, 2))
-    c_len = F.size(c_tok)
-    r_len = F.size(r_tok)
-    d1 = F.greatest(F.lit(1), c_len)
-    d2 = F.greatest(F.lit(1), c_len - 1)
-    bp = F.when(c_len > r_len, F.lit(1.0)).when(c_len == 0, F.lit(0.0)).otherwise(
+def bleu2(df: DataFrame, key: str, ref: str, cand: str, out: str = "bleu") -> DataFrame:
+    """Sentence BLEU with weights (0.5, 0.5) per row, after newline deletion and
+    ``[^0-9a-zA-Z ]`` -> space cleaning.  Clipped n-gram counts are computed
+    relationally (explode, count per gram, ``least``), so a 20,000-word report
+    costs linear work and one report never forms an unbounded group.  Zero
+    unigram or bigram overlap (or an empty candidate) gives 0; brevity penalty
+    ``exp(1 - r/c)`` when ``c <= r``."""
+    toks = df.select(key, alnum_tokens(strip_newlines(F.col(ref))).alias("_r"),
+                     alnum_tokens(strip_newlines(F.col(cand))).alias("_c"))
+    grams = toks.select(key, F.explode(F.array(
+        *[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"),
+                   _ngrams(F.col(col), n).alias("g"))
+          for n in (1, 2) for side, col in (("c", "_c"), ("r", "_r"))])).alias("x"))
+    flat = grams.select(key, "x.n", "x.side", F.explode("x.g").alias("gram"))
+    counts = flat.groupBy(key, "n", "gram").agg(
+        F.sum((F.col("side") == "c").cast("long")).alias("cc"),
+        F.sum((F.col("side") == "r").cast("long")).alias("rc"))
+    clipped = counts.groupBy(key).agg(
+        F.sum(F.when(F.col("n") == 1, F.least("cc", "rc"))).alias("m1"),
+        F.sum(F.when(F.col("n") == 2, F.least("cc", "rc"))).alias("m2"))
+    lens = toks.select(key, F.size("_c").alias("c_len"), F.size("_r").alias("r_len"))
+    j = lens.join(clipped, key, "left").fillna(0, ["m1", "m2"])
+    c_len, r_len = F.col("c_len"), F.col("r_len")
+    bp = F.when(c_len > r_len, F.lit(1.0)).otherwise(
         F.exp(1 - r_len.cast("double") / c_len.cast("double")))
-    geo = F.exp(0.5 * F.log(m1 / d1) + 0.5 * F.log(m2 / d2))
-    return F.when((m1 == 0) | (m2 == 0) | (c_len == 0), F.lit(0.0)).otherwise(bp * geo)
+    geo = F.exp(0.5 * F.log(F.col("m1") / F.greatest(F.lit(1), c_len))
+                + 0.5 * F.log(F.col("m2") / F.greatest(F.lit(1), c_len - 1)))
+    score = F.when((F.col("m1") == 0) | (F.col("m2") == 0) | (c_len == 0), F.lit(0.0)) \
+             .otherwise(bp * geo)
+    return j.select(key, score.alias(out))
 
 
 def predictions(queries: DataFrame, top: DataFrame, bank: DataFrame, scores: DataFrame,

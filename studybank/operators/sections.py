@@ -18,8 +18,9 @@ from studybank import constants as K
 from studybank.functions.text import WS, normalise_section, py_strip
 
 _NAME = r"[A-Z ()/,-]+"
-# group 1: whole header, group 2: name, group 3: body
-SECTION_PATTERN = (r"(\n (" + _NAME + r"):\s)([^\n]*+(?:\n(?! " + _NAME + r":\s)[^\n]*+)*+)")
+# one match = header + body; the body stops at the first newline that starts a header
+SECTION_PATTERN = r"\n " + _NAME + r":\s[^\n]*+(?:\n(?! " + _NAME + r":\s)[^\n]*+)*+"
+HEADER_PATTERN = r"^\n (" + _NAME + r"):\s"
 PREAMBLE_PATTERN = r"(?s)^(.*?\n )" + _NAME + r":\s"
 
 SECTION_TYPE = "array<struct<pos:int,name:string,text:string,start:int>>"
@@ -30,32 +31,34 @@ def _blank(c: Column) -> Column:
     return F.regexp_replace(c, WS, "") == ""
 
 
-def section_array(text: Column, normalise: bool = True) -> Column:
-    """Array of ``struct(pos, name, text, start)`` for one report."""
-    heads = F.regexp_extract_all(text, F.lit(SECTION_PATTERN), 1)
-    names = F.regexp_extract_all(text, F.lit(SECTION_PATTERN), 2)
-    bodies = F.regexp_extract_all(text, F.lit(SECTION_PATTERN), 3)
-    pre = F.regexp_extract(text, PREAMBLE_PATTERN, 1)
-    # start of body i = len(preamble) - 1 ... computed as a running sum
-    lens = F.transform(F.arrays_zip(heads, bodies),
-                       lambda z: F.struct(F.length(z["0"]).alias("h"), F.length(z["1"]).alias("b")))
-    starts = F.transform(
-        F.sequence(F.lit(0), F.size(lens) - 1),
-        lambda i: F.aggregate(F.slice(lens, 1, i), F.length(pre) - 2,
-                              lambda acc, x: acc + x["h"] + x["b"]) + lens[i]["h"])
-    name_fn = (lambda n: normalise_section(n)) if normalise else (lambda n: F.lower(n))
-    body = F.transform(
-        F.sequence(F.lit(0), F.size(names) - 1),
-        lambda i: F.struct((i + 1).alias("pos"), name_fn(names[i]).alias("name"),
-                           bodies[i].alias("text"), starts[i].cast("int").alias("start")))
-    # preamble: text up to the header name (the header's "\n " stays in it)
+def _with_sections(df: DataFrame, col: str, out: str = "sections",
+                   normalise: bool = True) -> DataFrame:
+    """Add ``out`` = array of ``struct(pos, name, text, start)`` per report.
+
+    Staged projections: the report is scanned once by ``regexp_extract_all``;
+    later steps only touch the (short) matches, never the whole text again."""
+    staged = df.withColumn("_ms", F.regexp_extract_all(F.col(col), F.lit(SECTION_PATTERN), 0)) \
+               .withColumn("_pre", F.regexp_extract(F.col(col), PREAMBLE_PATTERN, 1))
+    staged = staged.withColumn("_parts", F.transform("_ms", lambda m: F.struct(
+        F.regexp_extract(m, HEADER_PATTERN, 1).alias("name"),
+        F.length(F.regexp_extract(m, HEADER_PATTERN, 0)).alias("h"),
+        m.alias("m"))))
+    name_fn = normalise_section if normalise else (lambda n: F.lower(n))
+    parts = F.col("_parts")
+    base = F.length("_pre") - 2
+    body = F.transform(parts, lambda x, i: F.struct(
+        (i + 1).alias("pos"), name_fn(x["name"]).alias("name"),
+        F.substring(x["m"], x["h"] + 1, F.lit(1 << 30)).alias("text"),
+        (base + F.aggregate(F.slice(parts, 1, i), F.lit(0),
+                            lambda acc, y: acc + F.length(y["m"])) + x["h"])
+        .cast("int").alias("start")))
     preamble = F.struct(F.lit(0).alias("pos"), F.lit("preamble").alias("name"),
-                        pre.alias("text"), F.lit(0).alias("start"))
+                        F.col("_pre").alias("text"), F.lit(0).alias("start"))
     full = F.struct(F.lit(0).alias("pos"), F.lit("full report").alias("name"),
-                    text.alias("text"), F.lit(0).alias("start"))
-    raw = F.when(F.size(names) == 0, F.array(full)).otherwise(
-        F.concat(F.array(preamble), F.when(F.size(names) > 0, body)))
-    return raw
+                    F.col(col).alias("text"), F.lit(0).alias("start"))
+    raw = F.when(F.size(parts) == 0, F.array(full)).otherwise(
+        F.concat(F.array(preamble), body))
+    return staged.withColumn(out, raw).drop("_ms", "_pre", "_parts")
 
 
 def drop_empty_body(sections: Column) -> Column:
@@ -82,15 +85,19 @@ def add_last_paragraph(sections: Column) -> Column:
     return F.when(~has_body & (at > 0), split).otherwise(sections)
 
 
-def section_struct(text: Column) -> Column:
-    return add_last_paragraph(drop_empty_body(section_array(text)))
+def section_arrays(df: DataFrame, col: str = "text", key: str = "study_id") -> DataFrame:
+    """``(key, sections)`` with empty body sections dropped and the last
+    paragraph split off (each step reads the materialised array column)."""
+    raw = _with_sections(df.select(key, col), col, "_raw")
+    kept = raw.select(key, drop_empty_body(F.col("_raw")).alias("_kept"))
+    return kept.select(key, add_last_paragraph(F.col("_kept")).alias("sections"))
 
 
 def split_sections(df: DataFrame, col: str = "text", key: str = "study_id",
                    keep_array: bool = False) -> DataFrame:
     """Long sections ``(key, pos, name, text, start)``; ``pos`` renumbered
     0..n-1 after empty sections are dropped."""
-    arr = df.select(key, section_struct(F.col(col)).alias("sections"))
+    arr = section_arrays(df, col, key)
     if keep_array:
         return arr
     return arr.select(key, F.posexplode("sections").alias("pos", "s")).select(

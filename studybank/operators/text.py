@@ -20,25 +20,20 @@ def split_on_dot(df: DataFrame, col: str = "report", keep_order: bool = True) ->
     return out if keep_order else out.drop("piece_idx")
 
 
-def sentence_array(text: Column) -> Column:
-    """``array<struct<sent_idx, offset, text>>`` of the sentences of a cleaned text."""
-    pieces = F.split(text, SENTENCE_BREAK, -1)
-    offs = F.aggregate(
-        pieces,
-        F.struct(F.array().cast("array<int>").alias("o"), F.lit(0).alias("p")),
-        lambda acc, s: F.struct(F.concat(acc["o"], F.array(acc["p"])).alias("o"),
-                                (acc["p"] + F.length(s) + 1).alias("p")))["o"]
-    both = F.transform(pieces, lambda s, i: F.struct(
-        i.alias("sent_idx"), offs[i].alias("offset"), s.alias("text")))
-    return F.filter(both, lambda x: F.length(x["text"]) > 0)
-
-
 def split_sentences(df: DataFrame, col: str = "text", key: str = "study_id") -> DataFrame:
     """``(key, sent_idx, offset, text)``: sentences of a cleaned report with
-    their character offsets (``offset`` indexes into the cleaned text)."""
-    return df.select(key, F.explode(sentence_array(F.col(col))).alias("s")).select(
-        key, F.col("s.sent_idx").cast("int").alias("sent_idx"),
-        F.col("s.offset").cast("int").alias("offset"), F.col("s.text").alias("text"))
+    their character offsets in it.  The offset is a running sum over the
+    sentences of one report (a window keyed by ``key``); callers that go on
+    working per report should partition by ``key`` first so that this and the
+    later per-report steps share one shuffle."""
+    pieces = df.select(key, F.posexplode(F.split(F.col(col), SENTENCE_BREAK, -1))
+                       .alias("sent_idx", "text"))
+    before = Window.partitionBy(key).orderBy("sent_idx").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
+    return (pieces.withColumn("offset", offset.cast("int"))
+            .where(F.length("text") > 0)
+            .select(key, F.col("sent_idx").cast("int").alias("sent_idx"), "offset", "text"))
 
 
 def join_ranked(df: DataFrame, key: str, rank: str, col: str,

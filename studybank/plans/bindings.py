@@ -64,9 +64,10 @@ def long_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Demo dictionaries bound to the driver vocabulary (not clinical content).
 DEMO_PHRASES = [
-    ("Cardiomegaly", "the", "mention"),
+    ("Cardiomegaly", "th", "mention"),
     ("Cardiomegaly", "that the", "unmention"),
     ("Edema", "and", "mention"),
+    ("Edema", "and the", "unmention"),
     ("Lung Opacity", "with", "mention"),
     ("Pleural Effusion", "of the", "mention"),
     ("Support Devices", "for", "mention"),
@@ -75,10 +76,10 @@ DEMO_PHRASES = [
 ]
 
 DEMO_PATTERNS = [
-    ("pre_uncertain", "(^| )may (be )?{m}"),
+    ("pre_uncertain", "(^| )be {m}"),
     ("negation", "(^| )(not|no|without) ([a-z]+ ){0,2}{m}"),
     ("negation", "(^| )to {m}"),
-    ("post_uncertain", "{m} (is|was) ([a-z]+ ){0,1}possible"),
+    ("post_uncertain", "{m}[a-z]* (is|was) "),
     ("post_uncertain", "(^| )was {m}"),
 ]
 

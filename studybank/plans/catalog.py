@@ -7,6 +7,7 @@ from studybank.plans import registry
 _MODULES = [
     "studybank.plans.q_retrieval",
     "studybank.plans.q_labels",
+    "studybank.plans.q_text",
 ]
 
 
