@@ -93,8 +93,9 @@ def phrase_spans(sentences: DataFrame, phrases: DataFrame, kind: str = "mention"
                  text: str = "text") -> DataFrame:
     """``(…sentence columns, observation, phrase, start, end)`` for every match
     of every phrase of ``kind`` in every sentence."""
-    rows = _bounded_rows(phrases.where(F.col("kind") == kind).select("observation", "phrase")
-                         .distinct().orderBy("observation", "phrase"))
+    got = _bounded_rows(phrases.select("observation", "phrase", "kind"))
+    rows = [{"observation": o, "phrase": p} for o, p in
+            sorted({(r["observation"], r["phrase"]) for r in got if r["kind"] == kind})]
     if not rows:
         return sentences.select("*", F.lit(None).cast("string").alias("observation"),
                                 F.lit(None).cast("string").alias("phrase"),
@@ -124,12 +125,11 @@ def filtered_spans(sentences: DataFrame, phrases: DataFrame, text: str = "text")
     """Mention spans with unmention overlaps already removed, computed per
     sentence in one projection (no join): a mention of observation *o* is
     dropped when it overlaps any unmention span of *o* in the same sentence."""
-    ment = _bounded_rows(phrases.where(F.col("kind") == "mention")
-                         .select("observation", "phrase").distinct()
-                         .orderBy("observation", "phrase"))
-    unm = _bounded_rows(phrases.where(F.col("kind") == "unmention")
-                        .select("observation", "phrase").distinct()
-                        .orderBy("observation", "phrase"))
+    rows = _bounded_rows(phrases.select("observation", "phrase", "kind"))
+    ment = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "mention"})
+    unm = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "unmention"})
+    ment = [{"observation": o, "phrase": p} for o, p in ment]
+    unm = [{"observation": o, "phrase": p} for o, p in unm]
     t = F.col(text)
     by_obs: dict[str, list[str]] = {}
     for r in unm:
