@@ -9,6 +9,7 @@ _MODULES = [
     "studybank.plans.q_labels",
     "studybank.plans.q_text",
     "studybank.plans.q_contrastive",
+    "studybank.plans.q_io",
 ]
 
 
