@@ -10,6 +10,7 @@ _MODULES = [
     "studybank.plans.q_text",
     "studybank.plans.q_contrastive",
     "studybank.plans.q_io",
+    "studybank.plans.q_encode",
 ]
 
 
