@@ -11,6 +11,7 @@ _MODULES = [
     "studybank.plans.q_contrastive",
     "studybank.plans.q_io",
     "studybank.plans.q_encode",
+    "studybank.plans.q_streaming",
 ]
 
 
