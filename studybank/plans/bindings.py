@@ -79,7 +79,7 @@ DEMO_PATTERNS = [
     ("pre_uncertain", "(^| )be {m}"),
     ("negation", "(^| )(not|no|without) ([a-z]+ ){0,2}{m}"),
     ("negation", "(^| )to {m}"),
-    ("post_uncertain", "{m}[a-z]* (is|was) "),
+    ("post_uncertain", "{m}[a-z]* (is|was)( |$)"),
     ("post_uncertain", "(^| )was {m}"),
 ]
 

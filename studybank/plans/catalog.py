@@ -12,6 +12,7 @@ _MODULES = [
     "studybank.plans.q_io",
     "studybank.plans.q_encode",
     "studybank.plans.q_streaming",
+    "studybank.plans.q_plugins",
 ]
 
 
