@@ -54,13 +54,12 @@ def _mentions_of(docs: DataFrame, phrases: DataFrame, patterns: DataFrame, key:
 def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                key: str = "study_id", col: str = "report",
                materialise: bool = True) -> DataFrame:
-    """Long label rows.  The cleaned reports and the mention table are each
-    used by several branches (own labels, heart-failure rows, no-finding
-    check), so by default they are written once to the shared checkpoint
-    folder instead of being recomputed per branch."""
+    """Long label rows.  The mention table feeds several branches (own
+    labels, heart-failure rows, no-finding check), so by default it is written
+    once to the shared checkpoint folder instead of being recomputed per
+    branch; the cleaned text needed by the no-finding rows is a cheap
+    map-side recomputation."""
     docs = cleaned(reports, key, col)
-    if materialise:
-        docs = cut_lineage(docs, "cleaned")
     m = _mentions_of(docs, phrases, patterns, key)
     if materialise:
         m = cut_lineage(m.select(key, "observation", "label", "mention", "sentence"), "mentions")
