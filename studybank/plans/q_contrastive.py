@@ -53,6 +53,22 @@ sc AS (SELECT ce.batch_id, (ce.a + ce2.b) / 2 AS loss, (acc.a + acc2.b) / 2 AS a
 """
 
 
+def _sinkhorn_sql(name: str, cost: str) -> str:
+    """CTE chain: Sinkhorn targets ``<name>(batch_id, i, j, t)`` of a cost expression."""
+    parts = [f"{name}_c AS (SELECT batch_id, i, j, {cost} AS c FROM lg)",
+             f"{name}_0 AS (SELECT batch_id, i, j, exp((c - max(c) OVER (PARTITION BY batch_id)) / {C.K.SINKHORN_EPSILON!r}) AS p FROM {name}_c)",
+             f"{name}_1 AS (SELECT batch_id, i, j, p / sum(p) OVER (PARTITION BY batch_id) AS p FROM {name}_0)"]
+    prev = f"{name}_1"
+    for r in range(C.K.SINKHORN_ROUNDS):
+        parts.append(f"{name}_a{r} AS (SELECT batch_id, i, j, p / sum(p) OVER (PARTITION BY batch_id, j) "
+                     f"/ count(*) OVER (PARTITION BY batch_id, j) AS p FROM {prev})")
+        parts.append(f"{name}_b{r} AS (SELECT batch_id, i, j, p / sum(p) OVER (PARTITION BY batch_id, i) "
+                     f"/ count(*) OVER (PARTITION BY batch_id, i) AS p FROM {name}_a{r})")
+        prev = f"{name}_b{r}"
+    parts.append(f"{name} AS (SELECT batch_id, i, j, p * count(*) OVER (PARTITION BY batch_id, i) AS t FROM {prev})")
+    return ",\n".join(parts)
+
+
 def _pairs(spark, sf_dir):
     v = B.vectors(spark, sf_dir)
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("txt"))
@@ -120,7 +136,11 @@ def q_transport(spark, sf_dir):
         _round_arr(F.col("r.a")).alias("img_cost"), _round_arr(F.col("r.b")).alias("txt_cost"))
 
 
-@register("sinkhorn")
+@register("sinkhorn", f"""
+WITH {PAIRS}, {_sinkhorn_sql('ti_', '-(ii + tt + it)')}
+SELECT batch_id, CAST(i AS INTEGER) AS i, list(round(t, 9) ORDER BY j) AS row, round(sum(t), 9) AS row_sum
+FROM ti_ GROUP BY batch_id, i
+""")
 def q_sinkhorn(spark, sf_dir):
     """Sinkhorn targets of the image costs; each row sums to 1 (checked in tests
     against a NumPy restatement)."""
@@ -129,6 +149,22 @@ def q_sinkhorn(spark, sf_dir):
                      F.round(F.aggregate("row", F.lit(0.0), lambda a, x: a + x), 9).alias("row_sum"))
 
 
-@register("kl_distillation")
+@register("kl_distillation", f"""
+WITH {PAIRS}, {_sinkhorn_sql('ti_', '-(ii + tt + it)')}, {_sinkhorn_sql('tx_', '-(ii + tt + ti)')},
+zs AS (SELECT batch_id, i, j, 'i' AS side, it AS z FROM lg UNION ALL SELECT batch_id, i, j, 't', ti FROM lg),
+mx AS (SELECT batch_id, i, side, max(z) AS m FROM zs GROUP BY ALL),
+ls AS (SELECT zs.batch_id, zs.i, zs.side, any_value(mx.m) + ln(sum(exp(zs.z - mx.m))) AS lse
+       FROM zs JOIN mx ON mx.batch_id = zs.batch_id AND mx.i = zs.i AND mx.side = zs.side
+       GROUP BY zs.batch_id, zs.i, zs.side),
+lp AS (SELECT zs.batch_id, zs.i, zs.j, zs.side, zs.z - ls.lse AS lp
+       FROM zs JOIN ls ON ls.batch_id = zs.batch_id AND ls.i = zs.i AND ls.side = zs.side),
+li AS (SELECT batch_id, i, j, lp FROM lp WHERE side = 'i'),
+lt AS (SELECT batch_id, i, j, lp FROM lp WHERE side = 't'),
+ki AS (SELECT a.batch_id, sum(CASE WHEN a.t > 0 THEN a.t * (ln(a.t) - l.lp) ELSE 0 END) / count(DISTINCT a.i) AS k
+       FROM ti_ a JOIN li l ON l.batch_id = a.batch_id AND l.i = a.i AND l.j = a.j GROUP BY a.batch_id),
+kt AS (SELECT a.batch_id, sum(CASE WHEN a.t > 0 THEN a.t * (ln(a.t) - l.lp) ELSE 0 END) / count(DISTINCT a.i) AS k
+       FROM tx_ a JOIN lt l ON l.batch_id = a.batch_id AND l.i = a.i AND l.j = a.j GROUP BY a.batch_id)
+SELECT CAST(ki.batch_id AS BIGINT) AS batch_id, round((ki.k + kt.k) / 2, 9) AS kl FROM ki JOIN kt USING (batch_id)
+""")
 def q_kl(spark, sf_dir):
     return rounded(C.batch_scores(_pairs(spark, sf_dir), SCALE).select("batch_id", "kl"))
