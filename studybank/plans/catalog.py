@@ -8,6 +8,7 @@ _MODULES = [
     "studybank.plans.q_retrieval",
     "studybank.plans.q_labels",
     "studybank.plans.q_text",
+    "studybank.plans.q_sections_sql",
     "studybank.plans.q_contrastive",
     "studybank.plans.q_io",
     "studybank.plans.q_encode",
