@@ -8,12 +8,12 @@ _MODULES = [
     "studybank.plans.q_retrieval",
     "studybank.plans.q_labels",
     "studybank.plans.q_text",
-    "studybank.plans.q_sections_sql",
     "studybank.plans.q_contrastive",
     "studybank.plans.q_io",
     "studybank.plans.q_encode",
     "studybank.plans.q_streaming",
     "studybank.plans.q_plugins",
+    "studybank.plans.q_sections_sql",   # attaches oracles to section queries above
 ]
 
 

@@ -126,6 +126,39 @@ FROM a
 }
 
 
+PICK = f"""
+pr AS (SELECT *, CASE name {_PRI} END AS p FROM secs),
+best AS (SELECT *, row_number() OVER (PARTITION BY study_id ORDER BY p NULLS LAST, pos DESC) AS rn FROM pr),
+pick AS (SELECT study_id, CASE WHEN p IS NULL THEN '' ELSE {_strip('text')} END AS report FROM best WHERE rn = 1)
+"""
+
+SECTION_ORACLES["section_drop_empty"] = "WITH " + sections_sql() + """,
+r AS (SELECT study_id, count(*) AS raw FROM named GROUP BY study_id),
+k AS (SELECT study_id, count(*) AS kept FROM kept GROUP BY study_id)
+SELECT r.study_id, CAST(r.raw AS INTEGER) AS raw, CAST(coalesce(k.kept, 0) AS INTEGER) AS kept
+FROM r LEFT JOIN k ON k.study_id = r.study_id
+"""
+
+SECTION_ORACLES["join_overrides"] = "WITH " + sections_sql() + ", " + PICK + f""",
+ov AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id, source FROM documents),
+sl AS (SELECT s.study_id, substring(s.text, 6, 55) AS report FROM src s JOIN ov ON ov.study_id = s.study_id
+       WHERE ov.source = 'src3'),
+nm AS (SELECT ov.study_id, (SELECT {_strip('arg_max(x.text, x.pos)')} FROM secs x
+                            WHERE x.study_id = ov.study_id AND x.name = 'preamble') AS report
+       FROM ov WHERE ov.source = 'src4'),
+pl AS (SELECT p.study_id, p.report FROM pick p JOIN ov ON ov.study_id = p.study_id
+       WHERE ov.source NOT IN ('src3', 'src4'))
+SELECT study_id, report, CASE WHEN report IS NULL THEN 'missing_section' ELSE 'ok' END AS status
+FROM (SELECT * FROM sl UNION ALL SELECT * FROM nm UNION ALL SELECT * FROM pl)
+"""
+
+# none of the fixed override studies occurs in the driver tables, so every
+# study takes the priority pick
+SECTION_ORACLES["sectioner_overrides"] = "WITH " + sections_sql() + ", " + PICK + """
+SELECT study_id, report, 'ok' AS status FROM pick
+"""
+
+
 def _attach():
     from studybank.plans.registry import ORACLES, QUERIES
     for name, sql in SECTION_ORACLES.items():
