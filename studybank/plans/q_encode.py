@@ -52,7 +52,10 @@ MODEL_CONFIG = {"models": [
      "add_projection": True, "embed_dim": 32}]}
 
 
-@register("multi_model_embed")
+@register("multi_model_embed", """
+SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id, c AS "case", 'text' AS embed_type, d AS dim
+FROM documents, (VALUES ('out_grihas_16', 16), ('out_grihas_32', 32)) AS t(c, d)
+""")
 def q_multi_model(spark, sf_dir):
     """Every model of a JSON config (read with the config reader) embeds the
     reports; one union'd job keyed by ``case``."""
@@ -152,7 +155,10 @@ def q_image_listing(spark, sf_dir):
     return R.list_images(spark, write_vector_images(spark, sf_dir), "png", "study")
 
 
-@register("image_error_policy")
+@register("image_error_policy", """
+SELECT CASE WHEN coalesce(label, 0) % 2 = 0 THEN 1 ELSE 3 END AS "nChannels", count(*) AS images
+FROM embeddings GROUP BY ALL
+""")
 def q_image_policy(spark, sf_dir):
     """Decodable images per channel count (unreadable files are dropped)."""
     return _images(spark, sf_dir).groupBy("nChannels").agg(F.count(F.lit(1)).alias("images"))

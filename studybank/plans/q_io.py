@@ -11,7 +11,8 @@ from studybank.operators import splits as SP
 from studybank.plans import bindings as B
 from studybank.plans import flagship
 from studybank.plans.q_labels import LONG, SPLIT_SQL, _pairs
-from studybank.plans.registry import register
+from studybank.plans.q_retrieval import ROLES, SCORES_T, TOPK, metrics_sql
+from studybank.plans.registry import register, rounded
 from studybank.session import shared_dir
 from studybank.sources import readers as R
 from studybank.sources import writers as W
@@ -149,34 +150,48 @@ SELECT DISTINCT CASE lang WHEN 'en' THEN 'En Words' WHEN 'fr' THEN 'Fr Words' WH
 FROM documents WHERE regexp_extract(text, '^([A-Za-z]+)', 1) <> ''
 """)
 def q_phrase_dictionary(spark, sf_dir):
-    """Phrase files per language (``<lang>_words.txt``) holding the ASCII first
-    word of each document, one per line, blank lines included."""
+    """Phrase files per language (``<lang>_words.txt``) holding the distinct
+    ASCII first words of its documents, one per line (a blank line included)."""
     out = shared_dir(spark, "phrases")
     d = B.table(spark, sf_dir, "documents")
     word = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
     lines = d.select(F.concat(F.lit(out + "/"), F.col("lang"), F.lit("_words.txt")).alias("path"),
                      word.alias("w"))
-    files = lines.groupBy("path").agg(F.concat_ws("\n", F.collect_list("w")).alias("body"))
+    # a dictionary file lists distinct phrases: the list per file is bounded by
+    # the vocabulary, not by the number of documents
+    files = lines.distinct().groupBy("path").agg(
+        F.concat_ws("\n", F.array_sort(F.collect_list("w"))).alias("body"))
     W.materialise(W.write_files(files.select("path", F.encode("body", "utf-8").alias("data"))))
     return R.read_phrases(spark, out, "mention").distinct()
 
 
-@register("sink_metrics_append")
+HISTORY_SQL = ("SELECT * FROM (" + metrics_sql(1, ", 'k1' AS \"case\"") + ") UNION ALL SELECT * FROM ("
+               + metrics_sql(2, ", 'k2' AS \"case\"") + ")")
+
+
+@register("sink_metrics_append", HISTORY_SQL)
 def q_metrics_append(spark, sf_dir):
     """Metrics of two cases appended to one history table and read back."""
     out = shared_dir(spark, "metrics")
     for k in (1, 2):
-        m = flagship.retrieval_eval(spark, sf_dir, k=k).withColumn("case", F.lit(f"k{k}"))
+        m = rounded(flagship.retrieval_eval(spark, sf_dir, k=k)).withColumn("case", F.lit(f"k{k}"))
         W.append_metrics(m, out)
     return R.read_metrics(spark, out)
 
 
-@register("src_metrics_history")
+@register("src_metrics_history", "SELECT \"case\", k, hits, test_instances FROM (" + HISTORY_SQL + ")")
 def q_metrics_history(spark, sf_dir):
     return q_metrics_append(spark, sf_dir).select("case", "k", "hits", "test_instances")
 
 
-@register("sink_preds_json")
+@register("sink_preds_json", f"""
+WITH {ROLES}, {TOPK}, {SCORES_T.format(k=2)},
+outs AS (SELECT query_id, list('vector ' || CAST(bank_id AS VARCHAR) ORDER BY rank) AS out FROM t
+         WHERE rank <= 2 GROUP BY query_id)
+SELECT CAST(sc.query_id AS VARCHAR) AS study_id, 'vector ' || CAST(sc.query_id AS VARCHAR) AS query,
+       CASE WHEN sc.n_hits > 0 THEN [CAST(sc.ql AS VARCHAR)] END AS hit_classes, outs.out
+FROM sc JOIN outs ON outs.query_id = sc.query_id WHERE sc.status = 'evaluated'
+""")
 def q_preds(spark, sf_dir):
     """Prediction records of the flagship written as JSON and read back."""
     from studybank.operators.metrics import predictions, query_scores

@@ -36,7 +36,7 @@ t AS (SELECT query_id, bank_id, sim,
       FROM s QUALIFY rank <= {MAX_K})
 """
 
-SCORES = f"""
+SCORES_T = """
 per AS (
   SELECT t.query_id,
          count(*) AS n_rows,
@@ -45,12 +45,33 @@ per AS (
          count(DISTINCT CASE WHEN bb.label = qq.label THEN bb.label END) AS n_hits,
          count(DISTINCT coalesce(CAST(bb.label AS VARCHAR), '~')) AS n_vec
   FROM t JOIN v bb ON bb.vec_id = t.bank_id JOIN v qq ON qq.vec_id = t.query_id
-  WHERE t.rank <= {K} GROUP BY t.query_id),
+  WHERE t.rank <= {k} GROUP BY t.query_id),
 sc AS (
   SELECT *, CASE WHEN num_preds = 0 THEN 'no_bank_labels'
                  WHEN ql IS NULL THEN 'no_query_labels' ELSE 'evaluated' END AS status
   FROM per)
 """
+SCORES = SCORES_T.format(k=K)
+
+
+def metrics_sql(k: int, extra: str = "") -> str:
+    """Flagship summary row for any k (``extra``: more select items)."""
+    return f"""
+WITH {ROLES}, {TOPK}, {SCORES_T.format(k=k)},
+m AS (
+  SELECT count(*) AS n_all,
+         sum(CASE WHEN status = 'evaluated' AND n_hits > 0 THEN 1 ELSE 0 END) AS hits,
+         avg(CASE WHEN status = 'evaluated' THEN n_hits / num_preds END) AS p,
+         avg(CASE WHEN status = 'evaluated' THEN n_hits / 1.0 END) AS r,
+         avg(CASE WHEN status = 'evaluated' THEN CAST(n_rows - n_vec AS DOUBLE) END) AS d,
+         sum(CASE WHEN status = 'evaluated' THEN 1 ELSE 0 END) AS ev
+  FROM sc)
+SELECT round(hits / n_all, 9) AS flat_hit, CAST(hits AS BIGINT) AS hits,
+       round(p, 9) AS precision, round(r, 9) AS recall,
+       round(CASE WHEN p + r = 0 THEN NULL ELSE 2 * p * r / (p + r) END, 9) AS f1,
+       round(d, 9) AS duplicates, CAST({k} AS INTEGER) AS k, CAST(ev AS BIGINT) AS test_instances{extra}
+FROM m
+"""
 
 
 def _roles(spark, sf_dir):
