@@ -150,9 +150,19 @@ def _images(spark, sf_dir):
     return R.read_images(spark, write_vector_images(spark, sf_dir), mode="drop")
 
 
-@register("src_image_listing")
+def _sid(c="path"):
+    """Study key of an image: its parent folder (paths hold a run-specific root)."""
+    from studybank.functions.text import parent_stem
+    return parent_stem(F.col(c)).alias("study_id")
+
+
+@register("src_image_listing", """
+SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, CAST(vec_id AS VARCHAR) AS file FROM embeddings
+""")
 def q_image_listing(spark, sf_dir):
-    return R.list_images(spark, write_vector_images(spark, sf_dir), "png", "study")
+    from studybank.functions.text import file_stem
+    lst = R.list_images(spark, write_vector_images(spark, sf_dir), "png", "study")
+    return lst.select("study_id", file_stem(F.col("path")).alias("file"))
 
 
 @register("image_error_policy", """
@@ -164,22 +174,37 @@ def q_image_policy(spark, sf_dir):
     return _images(spark, sf_dir).groupBy("nChannels").agg(F.count(F.lit(1)).alias("images"))
 
 
-@register("image_to_rgb")
+@register("image_to_rgb", """
+SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, 8 AS height, 8 AS width, 3 AS "nChannels", 192 AS bytes
+FROM embeddings
+""")
 def q_to_rgb(spark, sf_dir):
     rgb = I.to_rgb(_images(spark, sf_dir))
-    return rgb.select("path", "height", "width", "nChannels", F.length("data").alias("bytes"))
+    return rgb.select(_sid(), "height", "width", "nChannels", F.length("data").alias("bytes"))
 
 
-@register("resize_shorter_side")
+@register("resize_shorter_side", """
+SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, 32 AS height, 32 AS width, 3072 AS bytes FROM embeddings
+""")
 def q_resize(spark, sf_dir):
     out = I.resize(I.to_rgb(_images(spark, sf_dir)), 32)
-    return out.select("path", "height", "width", F.length("data").alias("bytes"))
-
-
-@register("random_crop_box")
+    return out.select(_sid(), "height", "width", F.length("data").alias("bytes"))
+
+
+@register("random_crop_box", """
+WITH u AS (SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id,
+                  CAST('0x' || substr(md5('42:s' || CAST(vec_id AS VARCHAR) || ':s'), 1, 8) AS BIGINT) / 4294967296.0 AS us,
+                  CAST('0x' || substr(md5('42:s' || CAST(vec_id AS VARCHAR) || ':x'), 1, 8) AS BIGINT) / 4294967296.0 AS ux,
+                  CAST('0x' || substr(md5('42:s' || CAST(vec_id AS VARCHAR) || ':y'), 1, 8) AS BIGINT) / 4294967296.0 AS uy
+           FROM embeddings),
+b AS (SELECT *, CAST(least(32, greatest(1, floor(sqrt((0.75 + (1.0 - 0.75) * us) * 32 * 32)))) AS INTEGER) AS side FROM u)
+SELECT study_id, 32 AS height, 32 AS width, CAST(floor(ux * (32 - side + 1)) AS INTEGER) AS box_x,
+       CAST(floor(uy * (32 - side + 1)) AS INTEGER) AS box_y, side AS box_side FROM b
+""")
 def q_crop(spark, sf_dir):
-    out = I.crop_boxes(I.resize(I.to_rgb(_images(spark, sf_dir)), 32), seed=42, mode="random")
-    return out.select("path", "height", "width", "box_x", "box_y", "box_side")
+    imgs = I.resize(I.to_rgb(_images(spark, sf_dir)), 32).withColumn("study_id", _sid())
+    out = I.crop_boxes(imgs, seed=42, mode="random", key="study_id")
+    return out.select("study_id", "height", "width", "box_x", "box_y", "box_side")
 
 
 @register("tensor_normalise")
@@ -189,15 +214,20 @@ def q_tensor(spark, sf_dir):
     return out.select("path", F.size("tensor").alias("n"), F.round(F.array_max("tensor"), 4).alias("mx"))
 
 
-@register("embed_image")
+@register("embed_image", """
+SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, 12 AS dim FROM embeddings
+""")
 def q_embed_image(spark, sf_dir):
-    imgs = I.to_rgb(_images(spark, sf_dir)).withColumn("image", I.image_struct(None))
-    return E.embed(imgs, E.GridMeanEncoder(grid=2), "image", ["path"]).select(
-        "path", F.size("embs").alias("dim"))
+    imgs = I.to_rgb(_images(spark, sf_dir)).withColumn("image", I.image_struct(None)) \
+        .withColumn("study_id", _sid())
+    return E.embed(imgs, E.GridMeanEncoder(grid=2), "image", ["study_id"]).select(
+        "study_id", F.size("embs").alias("dim"))
 
 
-@register("sink_images")
+@register("sink_images", """
+SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, 16 AS height, 16 AS width, 3 AS "nChannels" FROM embeddings
+""")
 def q_sink_images(spark, sf_dir):
     out = shared_dir(spark, "images_resized")
     W.write_images(I.resize(I.to_rgb(_images(spark, sf_dir)), 16), out)
-    return spark.read.parquet(out).select("path", "height", "width", "nChannels")
+    return spark.read.parquet(out).select(_sid(), "height", "width", "nChannels")
