@@ -62,6 +62,25 @@ def expand_unmentions(phrases: DataFrame, merge: bool = False) -> DataFrame:
     return kept.unionByName(computed)
 
 
+def _sql_str(v: str) -> str:
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def spans_sql(col: str, pattern: str, guard: bool = False) -> str:
+    """The same span computation as :func:`regex_spans`, as one SQL expression
+    string (built once, parsed once on the JVM side)."""
+    p, t = _sql_str(pattern), f"`{col}`"
+    core = (f"aggregate(transform(regexp_extract_all({t}, {p}, 0), (m, i) -> "
+            f"named_struct('g', length(split({t}, {p}, -1)[i]), 'm', length(m))), "
+            f"named_struct('s', cast(array() as {SPAN_TYPE}), 'p', 0), "
+            f"(acc, x) -> named_struct('s', concat(acc.s, array(named_struct("
+            f"'start', cast(acc.p + x.g as int), 'end', cast(acc.p + x.g + x.m as int)))), "
+            f"'p', acc.p + x.g + x.m), acc -> acc.s)")
+    if not guard:
+        return core
+    return f"CASE WHEN {t} RLIKE {p} THEN {core} ELSE cast(array() as {SPAN_TYPE}) END"
+
+
 def regex_spans(text: Column, pattern: str, guard: bool = False) -> Column:
     """All non-overlapping matches of ``pattern`` as ``[start, end)`` (0-based),
     like ``re.finditer``: match i starts after the i gaps and i-1 matches before it.
@@ -124,28 +143,27 @@ def _not_blocked(blockers: Column):
 def filtered_spans(sentences: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
     """Mention spans with unmention overlaps already removed, computed per
     sentence in one projection (no join): a mention of observation *o* is
-    dropped when it overlaps any unmention span of *o* in the same sentence."""
+    dropped when it overlaps any unmention span of *o* in the same sentence.
+    The per-phrase expressions are generated as SQL text and parsed once."""
     rows = _bounded_rows(phrases.select("observation", "phrase", "kind"))
     ment = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "mention"})
     unm = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "unmention"})
-    ment = [{"observation": o, "phrase": p} for o, p in ment]
-    unm = [{"observation": o, "phrase": p} for o, p in unm]
-    t = F.col(text)
+    if not ment:
+        return phrase_spans(sentences, phrases.limit(0), "mention", text)
     by_obs: dict[str, list[str]] = {}
-    for r in unm:
-        by_obs.setdefault(r["observation"], []).append(r["phrase"])
-    blockers = {o: F.flatten(F.array(*[regex_spans(t, p, guard=True) for p in ps]))
-                for o, ps in by_obs.items()}
+    for o, p in unm:
+        by_obs.setdefault(o, []).append(p)
     items = []
-    for r in ment:
-        spans = regex_spans(t, r["phrase"])
-        if r["observation"] in blockers:
-            spans = F.filter(spans, _not_blocked(blockers[r["observation"]]))
-        items.append(F.struct(F.lit(r["observation"]).alias("observation"),
-                              F.lit(r["phrase"]).alias("phrase"), spans.alias("spans")))
-    if not items:
-        return phrase_spans(sentences, phrases.limit(0), "mention", text)
-    hits = F.filter(F.array(*items), lambda x: F.size(x["spans"]) > 0)
+    for o, p in ment:
+        spans = spans_sql(text, p)
+        if o in by_obs:
+            blockers = "flatten(array(" + ", ".join(spans_sql(text, u, guard=True)
+                                                     for u in by_obs[o]) + "))"
+            spans = (f"filter({spans}, s -> NOT exists({blockers}, "
+                     f"u -> s.start < u.end AND s.end > u.start))")
+        items.append(f"named_struct('observation', {_sql_str(o)}, 'phrase', {_sql_str(p)}, "
+                     f"'spans', {spans})")
+    hits = F.expr("filter(array(" + ", ".join(items) + "), x -> size(x.spans) > 0)")
     exploded = sentences.select("*", F.explode(hits).alias("_h"))
     return exploded.select(
         *sentences.columns, F.col("_h.observation").alias("observation"),
