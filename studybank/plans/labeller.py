@@ -53,7 +53,7 @@ def _mentions_of(docs: DataFrame, phrases: DataFrame, patterns: DataFrame, key:
 
 def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                key: str = "study_id", col: str = "report",
-               materialise: bool = True) -> DataFrame:
+               materialise: bool = True, with_sentences: bool = True) -> DataFrame:
     """Long label rows.  The mention table feeds several branches (own
     labels, heart-failure rows, no-finding check), so by default it is written
     once to the shared checkpoint folder instead of being recomputed per
@@ -61,8 +61,12 @@ def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
     map-side recomputation."""
     docs = cleaned(reports, key, col)
     m = _mentions_of(docs, phrases, patterns, key)
+    cols = [key, "observation", "label", "mention"] + (["sentence"] if with_sentences else [])
     if materialise:
-        m = cut_lineage(m.select(key, "observation", "label", "mention", "sentence"), "mentions")
+        m = cut_lineage(m.select(*cols), "mentions")
+    if not with_sentences:
+        m = m.withColumn("sentence", F.lit(None).cast("string"))
+        docs = docs.select(key, F.lit(None).cast("string").alias("text"))
     return L.mention_labels(m, docs, key, "text")
 
 
@@ -70,7 +74,7 @@ def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
 def document_vectors(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                      key: str = "study_id", col: str = "report",
                      categories=K.CATEGORIES) -> DataFrame:
-    rows = label_rows(reports, phrases, patterns, key, col)
+    rows = label_rows(reports, phrases, patterns, key, col, with_sentences=False)
     return L.document_labels(rows, reports.select(key), key, categories)
 
 

@@ -131,7 +131,7 @@ SELECT r.study_id, {", ".join(f'w."{c}"' for c in CHOSEN)} FROM reports r LEFT J
 """)
 def q_category_list(spark, sf_dir):
     rep = B.reports(spark, sf_dir)
-    rows = labeller.label_rows(rep, B.phrases(spark), B.patterns(spark))
+    rows = labeller.label_rows(rep, B.phrases(spark), B.patterns(spark), with_sentences=False)
     return L.document_labels(rows, rep.select("study_id"), "study_id", CHOSEN)
 
 
