@@ -15,6 +15,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``studybank`` importable on the executors' Python workers (UDFs,
+    mapInPandas and applyInPandas functions live in this package): zip it once
+    per SparkContext and register it with ``addPyFile``."""
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="studybank-pkg-"), "studybank.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg):
+            if "__pycache__" in folder:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "studybank") -> SparkSession:
     """Build (or reuse) a local session configured like the cluster jobs expect."""
@@ -34,6 +60,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
