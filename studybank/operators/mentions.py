@@ -220,10 +220,12 @@ def assert_status(mentions: DataFrame, patterns: DataFrame, text: str = "text")
     """Status of each mention: pre-negation uncertainty, then negation, then
     post-negation uncertainty, else positive.  A pattern ``A{m}B`` fires when
     the text before the mention ends with ``A`` and the text after it starts
-    with ``B``.  Adds ``status`` and ``label`` (1 / 0 / -1)."""
+    with ``B``.  Adds ``status`` and ``label`` (1 / 0 / -1).  The before / after
+    texts are staged once and shared by all patterns."""
     rows = _bounded_rows(patterns.select("role", "pattern"))
-    before = F.substring(F.col(text), F.lit(1), F.col("start"))
-    after = F.substring(F.col(text), F.col("end") + 1, F.lit(1 << 30))
+    staged = mentions.withColumn("_before", F.substring(F.col(text), F.lit(1), F.col("start"))) \
+                     .withColumn("_after", F.substring(F.col(text), F.col("end") + 1, F.lit(1 << 30)))
+    before, after = F.col("_before"), F.col("_after")
 
     def any_of(role: str) -> Column:
         conds = [_fires(before, after, r["pattern"]) for r in rows if r["role"] == role]
@@ -236,7 +238,7 @@ def assert_status(mentions: DataFrame, patterns: DataFrame, text: str = "text")
               .when(any_of("negation"), F.lit("negative"))
               .when(any_of("post_uncertain"), F.lit("uncertain"))
               .otherwise(F.lit("positive")))
-    out = mentions.withColumn("status", status)
+    out = staged.withColumn("status", status).drop("_before", "_after")
     return out.withColumn("label", F.when(F.col("status") == "negative", F.lit(K.NEGATIVE))
                           .when(F.col("status") == "uncertain", F.lit(K.UNCERTAIN))
                           .otherwise(F.lit(K.POSITIVE)).cast("int"))
