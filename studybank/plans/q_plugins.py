@@ -15,7 +15,7 @@ from studybank.operators import sections as S
 from studybank.plans import bindings as B
 from studybank.plans import labeller
 from studybank.plans.q_encode import MODEL_CONFIG, TEXT_DIM
-from studybank.plans.q_text import LABELLER, _q, sectioned_reports
+from studybank.plans.q_text import LABELLER, _q, labeller_sql, sectioned_reports
 from studybank.plans.registry import register
 from studybank.session import shared_dir
 from studybank.sources import readers as R
@@ -104,7 +104,18 @@ def q_sectioner_overrides(spark, sf_dir):
     return S.apply_overrides(rep, S.split_sections(rep), S.overrides_table(spark))
 
 
-@register("phrase_plugin")
+PLUGIN_PHRASES_SQL = """
+WITH w AS (SELECT lang, lower(regexp_extract(text, '^([A-Za-z]+)', 1)) AS phrase FROM documents),
+c AS (SELECT lang, phrase, count(*) AS n FROM w WHERE phrase <> '' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, phrase) AS rk FROM c)
+SELECT upper(substr(lang, 1, 1)) || substr(lang, 2) || ' Words' AS observation,
+       ' ' || phrase || ' ' AS phrase, 'mention' AS kind FROM r WHERE rk <= 3
+"""
+
+
+@register("phrase_plugin", labeller_sql(PLUGIN_PHRASES_SQL) + """
+SELECT cat, count(*) AS rows FROM rows GROUP BY cat
+""")
 def q_phrase_plugin(spark, sf_dir):
     """A user dictionary built from the data (each language's most frequent
     ASCII first words) labels the reports."""

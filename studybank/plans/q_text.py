@@ -51,13 +51,17 @@ sents AS (SELECT study_id, CAST(i AS INTEGER) AS sent_idx,
 """
 
 
-def _phrases_sql() -> str:
+def _phrases_sql(phr: str | None = None) -> str:
+    """Dictionary CTEs; ``phr`` is an optional SQL query producing
+    ``(observation, phrase, kind)`` instead of the demo list."""
     vals = ", ".join(f"({_q(o)}, {_q(p)}, {_q(k)})" for o, p, k in B.DEMO_PHRASES)
     pos = ", ".join(f"({_q(a + b)})" for a in K.UNMENTION_PREFIXES for b in K.UNMENTION_QUALIFIERS)
     skip = ", ".join(_q(x) for x in K.UNMENTION_SKIP)
     card, ecm = _q(K.CARDIOMEGALY), _q(K.ENLARGED_CARDIOMEDIASTINUM)
+    phr_cte = (f"phr(observation, phrase, kind) AS (VALUES {vals})" if phr is None
+               else f"phr AS ({phr})")
     return f"""
-phr(observation, phrase, kind) AS (VALUES {vals}),
+{phr_cte},
 pos(p) AS (VALUES {pos}),
 ment_ph AS (SELECT observation, phrase FROM phr WHERE kind = 'mention'),
 unm_ph AS (
@@ -106,8 +110,12 @@ def _status_sql() -> str:
             f"WHEN {any_of('post_uncertain')} THEN 'uncertain' ELSE 'positive' END")
 
 
-LABELLER = f"""
-WITH {REPORTS}, {CLEAN}, {SENTS}, {_phrases_sql()},
+def labeller_sql(phr: str | None = None) -> str:
+    return LABELLER_T.replace("@@PHRASES@@", _phrases_sql(phr))
+
+
+LABELLER_T = f"""
+WITH {REPORTS}, {CLEAN}, {SENTS}, @@PHRASES@@,
 {_spans_sql('found', 'ment_ph')},
 {_spans_sql('unfound', 'unm_ph')},
 kept AS (
@@ -142,6 +150,8 @@ resolved AS (
                                   ELSE min(val) END AS INTEGER) AS val
   FROM rows GROUP BY study_id, cat)
 """
+LABELLER = LABELLER_T.replace("@@PHRASES@@", _phrases_sql())
+
 
 
 def _reports(spark, sf_dir):
