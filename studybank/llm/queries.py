@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studybank.llm import chat, mixing, sharding, topk, warc
+from studybank.llm import chat, langid, mixing, sharding, topk, toxicity, warc
 from studybank.llm.common import table
 from studybank.session import shared_dir
 
@@ -129,3 +129,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.place_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 40)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_langid")
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
