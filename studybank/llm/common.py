@@ -75,27 +75,32 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     word in the lower-cased UTF-8 of its text).  A word is a run of ASCII letters,
     digits and non-ASCII characters.  Null texts have no words."""
     raw = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
-    lengths = np.array([len(r) for r in raw], dtype=np.int64)
-    starts = np.concatenate(([0], np.cumsum(lengths + 1)))  # a separator after each text
-    data = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
-    isw = _WORD_BYTE[data]
-    edge = np.diff(isw.astype(np.int8), prepend=0)
-    w0 = np.flatnonzero(edge == 1)
-    w1 = np.flatnonzero(edge == -1)
-    if not len(w0):
-        z = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=np.uint64), z, z, z
+    starts = np.concatenate(([0], np.cumsum(np.array([len(r) + 1 for r in raw], dtype=np.int64))))
+    joined = b" ".join(raw) + b" " * 9  # a separator after each text, room for the last load
+    isw = _WORD_BYTE[np.frombuffer(joined, dtype=np.uint8)]
+    edge = np.flatnonzero(isw[1:] != isw[:-1]) + 1
+    if len(isw) and isw[0]:
+        edge = np.concatenate(([0], edge))
+    w0, w1 = edge[::2], edge[1::2]
+    loads = np.ndarray((len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
+    size = w1 - w0
     with np.errstate(over="ignore"):
-        # each byte is weighted by its position in the word, then summed word by word
-        pos = (np.arange(len(data), dtype=np.int64) - np.repeat(
-            np.concatenate(([0], w0)), np.diff(np.concatenate(([0], w0, [len(data)])))))
-        weighted = mix64(data.astype(np.uint64) + (pos.astype(np.uint64) << np.uint64(8)) + _MIX)
-        weighted[~isw] = 0
-        h = mix64(np.add.reduceat(weighted, w0) + (w1 - w0).astype(np.uint64) * _MIX)
-    doc = np.searchsorted(starts, w0, side="right") - 1
+        h = size.astype(np.uint64) * _MIX
+        live = np.arange(len(w0))
+        for lo in range(0, int(size.max(initial=0)), 8):
+            if lo:
+                live = live[size[live] > lo]
+            left = np.minimum(size[live] - lo, 8)
+            h[live] = mix64(h[live] + (loads[w0[live] + lo] & _KEEP[left]))
+    first = np.searchsorted(w0, starts)
+    doc = np.repeat(np.arange(len(raw)), np.diff(first))
     return h, doc, w0 - starts[doc], w1 - starts[doc]
 
 
+#: The low n bytes of a load, n from 0 to 8.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of every run of n consecutive words of one text: (hash, text number, first word)."""
     if len(h) < n:
@@ -104,6 +109,28 @@ def shingle_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray,
     with np.errstate(over="ignore"):
         out = h[:len(h) - n + 1].copy()
         for i in range(1, n):
-            out = mix64(out * _MIX + h[i:len(h) - n + 1 + i])
+            out *= _MIX
+            out += h[i:len(h) - n + 1 + i]
+        out ^= out >> np.uint64(32)
     keep = np.flatnonzero(doc[:len(h) - n + 1] == doc[n - 1:])
     return out[keep], doc[keep], keep
+
+
+class HashSet:
+    """Sorted distinct hashes with a quick first test, for looking many hashes up."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.known = np.unique(hashes)
+        bits = max(10, int(len(self.known)).bit_length() + 4)
+        self.low = np.uint64((1 << bits) - 1)
+        self.maybe = np.zeros(1 << bits, dtype=bool)
+        self.maybe[(self.known & self.low).astype(np.int64)] = True
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places in ``hashes`` that are known, their places in ``known``)."""
+        at = np.flatnonzero(self.maybe[(hashes & self.low).astype(np.int64)])
+        if not len(self.known) or not len(at):
+            return at[:0], at[:0]
+        i = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
+        same = self.known[i] == hashes[at]
+        return at[same], i[same]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studybank.llm import chat, langid, mixing, sharding, topk, toxicity, warc
+from studybank.llm import chat, decontam, langid, mixing, sharding, topk, toxicity, warc
 from studybank.llm.common import table
 from studybank.session import shared_dir
 
@@ -142,3 +142,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_decontam")
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
