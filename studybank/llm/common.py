@@ -101,6 +101,12 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 _KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort."""
+    x = np.sort(x)
+    return x if len(x) < 2 else x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
 def shingle_hashes(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of every run of n consecutive words of one text: (hash, text number, first word)."""
     if len(h) < n:
@@ -120,7 +126,7 @@ class HashSet:
     """Sorted distinct hashes with a quick first test, for looking many hashes up."""
 
     def __init__(self, hashes: np.ndarray):
-        self.known = np.unique(hashes)
+        self.known = distinct(hashes)
         bits = max(10, int(len(self.known)).bit_length() + 4)
         self.low = np.uint64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, dtype=bool)
@@ -134,3 +140,48 @@ class HashSet:
         i = np.minimum(np.searchsorted(self.known, hashes[at]), len(self.known) - 1)
         same = self.known[i] == hashes[at]
         return at[same], i[same]
+
+
+def grouped(batches, key: str):
+    """Consecutive rows of one ``key`` from Arrow-fed pandas batches, as dicts of arrays.
+
+    The rows must be sorted by key; a group may span batches."""
+    held: dict | None = None
+    for b in batches:
+        if not len(b):
+            continue
+        cols = {c: b[c].to_numpy() for c in b.columns}
+        if held is not None:
+            cols = {c: np.concatenate([held[c], cols[c]]) for c in cols}
+        k = cols[key]
+        cut = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
+        for lo, hi in zip(cut, cut[1:]):
+            yield {c: v[lo:hi] for c, v in cols.items()}
+        held = {c: v[cut[-1]:] for c, v in cols.items()}
+    if held is not None:
+        yield held
+
+
+def components(edges: DataFrame, name: str) -> DataFrame:
+    """Connected components of the undirected ``edges`` (x, y): (x, root), root the least node.
+
+    Every node goes to its least neighbour (or itself), which contracts the graph; a few rounds
+    leave no edge, then the maps are chained.  Each round is written to the shared folder, so
+    joins have plain exchanges below them and a hot node can be split."""
+    e = stored(edges.filter("x <> y").select("x", "y").distinct(), f"{name}-edges")
+    maps = []
+    while e.head(1):
+        both = e.union(e.select("y", "x"))
+        m = stored(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("root")), f"{name}-map")
+        maps.append(m)
+        one, two = m.toDF("x", "a"), m.toDF("y", "b")
+        e = stored(e.join(one, "x").join(two, "y").select(F.col("a").alias("x"), F.col("b").alias("y"))
+                   .filter("x <> y").distinct(), f"{name}-edges")
+    if not maps:
+        return e.select("x", F.col("y").alias("root"))
+    out = maps.pop()
+    while maps:
+        last = out.toDF("root", "further")
+        out = stored(maps.pop().join(last, "root", "left").select("x", F.coalesce("further", "root").alias("root")),
+                     f"{name}-roots")
+    return out

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from studybank.llm.common import HashSet, shingle_hashes, word_hashes
+from studybank.llm.common import HashSet, distinct, shingle_hashes, word_hashes
 
 #: Words of a seed; words of a stretch of an item that gives one seed; words of the shortest item.
 SEED, STRETCH, MIN_WORDS = 3, 3, 8
@@ -164,7 +164,7 @@ def _counts(docs: DataFrame, grams: HashSet) -> dict[int, int]:
             h, doc, _, _ = word_hashes(list(b["text"]))
             gram, of, _ = shingle_hashes(h, doc, SEED)
             met, i = own.places(gram)
-            g, n = np.unique(np.unique(i * len(b) + of[met]) // max(1, len(b)), return_counts=True)
+            g, n = np.unique(distinct(i * len(b) + of[met]) // max(1, len(b)), return_counts=True)
             yield pd.DataFrame({"g": own.known[g].view(np.int64), "n": n.astype(np.int64)})
 
     seen = docs.select("text").mapInPandas(count, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from studybank.llm.common import distinct
+
 #: Training documents of one language; n-grams kept for a language; lengths of n-grams.
 SAMPLE, KEPT, SIZES = 1000, 10_000, (3, 4)
 MAX_LANGUAGES = 64
@@ -37,13 +39,23 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def _codes(text: str | None) -> np.ndarray:
-    """Lower-cased letters; each run of other characters is one space, as are both ends."""
-    raw = (text or "").lower().encode("utf-32-le", "surrogatepass")
+def _codes(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased letters of some texts, and where they are parted.
+
+    Each run of other characters is one space, and one space parts a text from the next; text
+    i lies between the spaces at i and i + 1 of the second array."""
+    low = [(t or "").lower() for t in texts]
+    raw = (" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass")
     c = np.frombuffer(raw, dtype=np.uint32)
-    c = np.where(_letters()[np.minimum(c, 0x10FFFF)], c, np.uint32(32))
-    c = np.concatenate(([np.uint32(32)], c, [np.uint32(32)]))
-    return c[~((c == 32) & (np.roll(c, 1) == 32) & (np.arange(len(c)) > 0))]
+    letter = _letters()[c]
+    keep = letter.copy()
+    keep[0] = True
+    keep[1:] |= letter[:-1]
+    place = np.cumsum([0] + [len(t) + 1 for t in low])
+    # the parting space itself, or the one that it has become part of
+    at = np.cumsum(keep, dtype=np.int64)[place] - 1
+    out = np.where(letter, c, np.uint32(32))[keep]
+    return out, at
 
 
 def _grams(codes: np.ndarray, n: int) -> np.ndarray:
@@ -96,39 +108,36 @@ class Filters:
     def shares(self, texts) -> np.ndarray:
         """Corrected share of each text's n-grams that each language contains."""
         hits, total = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        held, first, size = [], 0, 0
+        first, size = 0, 0
         for d, t in enumerate(texts):
-            held.append(_codes(t))
-            size += len(held[-1])
+            size += len(t or "")
             if size >= SLICE or d == len(texts) - 1:
-                self._count(held, hits[first:d + 1], total[first:d + 1])
-                held, first, size = [], d + 1, 0
+                self._count(texts[first:d + 1], hits[first:d + 1], total[first:d + 1])
+                first, size = d + 1, 0
         share = (hits / np.maximum(total, 1)[:, None] - self.false) / (1 - self.false)
         return np.clip(share, 0, 1)
 
-    def _count(self, held: list[np.ndarray], hits: np.ndarray, total: np.ndarray) -> None:
+    def _count(self, texts, hits: np.ndarray, total: np.ndarray) -> None:
         """Add the n-grams of some texts to their counts, a slice of characters at a time."""
-        codes = np.concatenate(held)
-        sizes = np.array([len(c) for c in held])
-        ends = np.cumsum(sizes)
-        doc = np.repeat(np.arange(len(held)), sizes)
+        codes, at = _codes(texts)
+        doc = np.repeat(np.arange(len(texts)), np.diff(at))
         few = self.masks.dtype.itemsize == 1
         for n in SIZES:
-            total += np.maximum(sizes - n + 1, 0)
+            total += np.maximum(np.diff(at) - n + 2, 0)
             for lo in range(0, len(codes) - n + 1, SLICE):
                 mask = self.containing(_grams(codes[lo:lo + SLICE + n - 1], n))
                 # n-grams that begin in one text and end in another count for none
-                cross = (ends[:, None] - np.arange(1, n)).ravel() - lo
+                cross = (at[1:, None] - np.arange(1, n - 1)).ravel() - lo
                 mask[cross[(cross >= 0) & (cross < len(mask))]] = 0
                 of = doc[lo:lo + len(mask)]
                 if few:
-                    joint = np.bincount(of * 256 + mask, minlength=256 * len(held)).reshape(-1, 256)
+                    joint = np.bincount(of * 256 + mask[:len(of)], minlength=256 * len(texts)).reshape(-1, 256)
                     for i in range(len(self.languages)):
                         hits[:, i] += joint[:, (np.arange(256) >> i) & 1 == 1].sum(axis=1)
                 else:
                     for i in range(len(self.languages)):
-                        own = (mask >> mask.dtype.type(i)) & mask.dtype.type(1)
-                        hits[:, i] += np.bincount(of, weights=own, minlength=len(held))
+                        own = (mask[:len(of)] >> mask.dtype.type(i)) & mask.dtype.type(1)
+                        hits[:, i] += np.bincount(of, weights=own, minlength=len(texts))
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Filters | None:
@@ -147,8 +156,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Filters |
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                got = [np.unique(np.concatenate([_grams(c, n) for n in SIZES]))
-                       for c in map(_codes, texts)]
+                got = [distinct(np.concatenate([_grams(_codes([t])[0], n) for n in SIZES])) for t in texts]
                 h, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "h": h.astype(np.int64), "n": n.astype(np.int64)})
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studybank.llm import chat, decontam, langid, mixing, sharding, topk, toxicity, warc
+from studybank.llm import chat, decontam, jaccard, langid, mixing, sharding, topk, toxicity, warc
 from studybank.llm.common import table
 from studybank.session import shared_dir
 
@@ -149,3 +149,21 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a copy of a benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_jaccard", """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS text,
+                            regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE
+         WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+         WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE ['?' || text] END) AS s FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m / (x.n + y.n - m) >= 0.8),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS class_id,
+       (SELECT count(*) FROM e WHERE e.a = d.doc_id) AS links FROM documents d""")
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies, and number of links, of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classes(docs).select("doc_id", "class_id", "links")

@@ -66,13 +66,19 @@ class _Codes(dict):
     """Token -> tier (2 bits), second person, obfuscated, capitals, drawn out; made when first met."""
 
     def __init__(self, lexicon: dict[str, int]):
-        self.lexicon = lexicon
+        self.words = {f: t for f, t in lexicon.items() if f[-1] != "*"}
+        self.four, self.five = ({f[:-1]: t for f, t in lexicon.items() if f[-1] == "*" and len(f) == n} for n in (5, 6))
 
     def __missing__(self, token: str) -> int:
-        word, hidden = _plain(token)
-        code = max((self.lexicon.get(f, 0) for f in _forms(word)), default=0)
-        code |= (word in SECOND_PERSON) << 2 | hidden << 3
-        code |= (len(word) > 1 and token.isupper()) << 4 | bool(_LONG.search(token)) << 5
+        word, hidden = (token.lower(), False) if token.isalpha() else _plain(token)
+        code = max(self.words.get(word, 0), self.four.get(word[:4], 0), self.five.get(word[:5], 0))
+        if word in SECOND_PERSON:
+            code |= 4
+        code |= hidden << 3
+        if token.isupper() and len(word) > 1:
+            code |= 16
+        if _LONG.search(token):
+            code |= 32
         if len(self) > 400_000:
             self.clear()
         self[token] = code
