@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studybank.llm import chat, decontam, jaccard, langid, mixing, sharding, topk, toxicity, warc
+from studybank.llm import chat, decontam, jaccard, langid, mixing, sharding, suffixes, topk, toxicity, warc
 from studybank.llm.common import table
 from studybank.session import shared_dir
 
@@ -167,3 +167,10 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near copies, and number of links, of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.classes(docs).select("doc_id", "class_id", "links")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated strings of 200 bytes cover in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.without_repeats(docs, texts=False).drop("kept")
