@@ -124,27 +124,42 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(x, y): a class and another it is linked to by sketches, one row for each class of a path."""
-    xs, ys = [], []
-    for g in grouped(batches, "cell"):
-        sig = g["sig"]
-        if len(sig) < 2:
-            continue
-        s = np.frombuffer(b"".join(g["sketch"]), dtype=np.uint32).reshape(len(sig), TOKENS)
-        if len(sig) <= 32:
-            same = (s[:, None] == s[None]).sum(axis=2)
-        else:
-            same = np.zeros((len(sig), len(sig)), dtype=np.uint8)
-            for t in range(TOKENS):
-                same += s[:, None, t] == s[None, :, t]
-        root = _roots(same >= NEAR * TOKENS)
-        far = np.flatnonzero(root != np.arange(len(sig)))
-        xs.extend(sig[far])
-        ys.extend(sig[root[far]])
-        if len(xs) > 10_000:
-            yield pd.DataFrame({"x": xs, "y": ys})
-            xs, ys = [], []
-    yield pd.DataFrame({"x": xs, "y": ys}, dtype=object)
+    """(x, y): a class and another it is linked to by sketches; a spanning forest of each path.
+
+    For a pair of blocks, of which the second begins at ``second``, only links between the blocks' own
+    components are left to tell (0: one block)."""
+    for b in batches:
+        xs, ys = [], []
+        for sig, sketch, second in zip(b["sig"], b["sketch"], b["second"]):
+            s = np.frombuffer(b"".join(sketch), dtype=np.uint32).reshape(len(sig), TOKENS)
+            if len(sig) <= 32:
+                same = (s[:, None] == s[None]).sum(axis=2)
+            else:
+                same = np.zeros((len(sig), len(sig)), dtype=np.uint8)
+                for t in range(TOKENS):
+                    same += s[:, None, t] == s[None, :, t]
+            linked = same >= NEAR * TOKENS
+            root = _roots(linked)
+            tell = root != np.arange(len(sig))
+            if second:
+                inner = np.concatenate((_roots(linked[:second, :second]), _roots(linked[second:, second:]) + second))
+                tell &= inner == np.arange(len(sig))
+            for i in np.flatnonzero(tell):
+                xs.append(sig[i])
+                ys.append(sig[root[i]])
+        yield pd.DataFrame({"x": xs, "y": ys}, dtype=object)
+
+
+def _block_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Classes of paths over LIMIT as blocks of about LIMIT, each with itself and each other of its path: a row for a pair."""
+    own = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / LIMIT))
+    packed = stored(large.withColumn("own", own).join(sketches, "sig").groupBy("path", "own").agg(
+        F.collect_list(F.struct("sig", "sketch")).alias("m")), "jaccard-blocks")
+    one, two = packed.toDF("path", "a", "m"), packed.toDF("path", "b", "n")
+    both = F.when(F.col("a") == F.col("b"), F.col("m")).otherwise(F.concat("m", "n"))
+    second = F.when(F.col("a") == F.col("b"), 0).otherwise(F.size("m"))
+    return (one.join(two, "path").filter("a <= b").select(both.alias("m"), second.alias("second"))
+            .select(F.col("m.sig").alias("sig"), F.col("m.sketch").alias("sketch"), "second"))
 
 
 def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -248,10 +263,12 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
             break
         rows = large.join(sketches, "sig").select("path", "sig", "sketch").mapInPandas(
             _next_paths, "path long, sig binary")
-    cells = leaves.select(F.hex("path").alias("cell"), "sig")
+    rows = leaves.select("path", "sig").join(sketches, "sig").groupBy("path").agg(
+        F.collect_list(F.struct("sig", "sketch")).alias("m")).select(
+        F.col("m.sig").alias("sig"), F.col("m.sketch").alias("sketch"), F.lit(0).alias("second"))
     if large is not None:
-        cells = cells.union(_blocked(large, "path", "size").select("cell", "sig"))
-    found = _dealt(cells.join(sketches, "sig")).mapInPandas(_candidates, "x binary, y binary")
+        rows = rows.unionByName(_block_pairs(large, sketches))
+    found = rows.mapInPandas(_candidates, "x binary, y binary")
     groups = components(found, "jaccard-near").toDF("sig", "near")
 
     sizes = stored(groups.groupBy("near").agg(F.count(F.lit(1)).alias("size")), "jaccard-near-sizes")
