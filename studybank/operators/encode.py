@@ -123,13 +123,20 @@ def embed(df: DataFrame, encoder, col: str, keys: list[str], out: str = "embs",
     return src.mapInPandas(run, schema)
 
 
+#: Most models of one config table (each is a pass over the texts); more raise an error.
+MAX_CONFIGS = 10_000
+
+
 def embed_all(text_df: DataFrame, configs: DataFrame | list, key: str = "study_id",
               col: str = "report", registry=None) -> DataFrame:
     """Embed with every configured model; ``case`` names the model pair
     (``out_<image[:3]><text[:3]>``).  ``configs`` is the (bounded) model
     config table, e.g. from ``read_model_config``."""
     registry = registry or REGISTRY
-    rows = configs if isinstance(configs, list) else [r.asDict() for r in configs.limit(1000).collect()]
+    rows = configs if isinstance(configs, list) else [
+        r.asDict() for r in configs.limit(MAX_CONFIGS + 1).collect()]
+    if len(rows) > MAX_CONFIGS:
+        raise ValueError(f"more than {MAX_CONFIGS} model configs")
     out = None
     for cfg in rows:
         enc = registry[cfg["text_encoder"]](dim=int(cfg["embed_dim"]))

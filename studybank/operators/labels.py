@@ -138,9 +138,12 @@ def attach_labels(embs: DataFrame, long: DataFrame, level: str = "study",
     raise ValueError("level must be 'study' or 'sentence'")
 
 
-def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id") -> DataFrame:
-    """Attach one report text per study (the smallest, so the join never fans out)."""
-    rep = long.groupBy("mimic_id").agg(F.min("report").alias("report"))
+def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id",
+                  every: bool = False) -> DataFrame:
+    """Attach the report text of each study: the smallest, so the join never fans out, or with
+    ``every`` a row for each different text of the study."""
+    rep = (long.select("mimic_id", "report").distinct() if every
+           else long.groupBy("mimic_id").agg(F.min("report").alias("report")))
     return embs.join(rep, embs[key] == rep["mimic_id"], "left").drop("mimic_id")
 
 

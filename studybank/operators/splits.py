@@ -20,7 +20,8 @@ TOTAL = "n_total"
 
 def hash_key(key: str | Column, seed: int) -> Column:
     k = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
+    # a null key hashes like an empty one, so that its row has a bucket and is kept
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(k.cast("string"), F.lit(""))))
 
 
 def hash_rank(df: DataFrame, key: str, seed: int = 42, digits: int = 4) -> DataFrame:

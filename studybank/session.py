@@ -73,7 +73,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf:
-        # Only reached in local runs and tests: no cluster folder was named.
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no shared folder; a machine-local one would do on a "
+                             "local master only")
         conf = tempfile.mkdtemp(prefix="studybank-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir() or conf
