@@ -15,15 +15,11 @@ from pyspark.sql import functions as F
 from studybank import constants as K
 
 
-def _safe(cat: str) -> str:
-    return cat
-
-
 def pivot_labels(long: DataFrame, categories=K.CATEGORIES, cat: str = "cat",
                  val: str = "vals") -> DataFrame:
     """One column per category holding ``val`` on that category's rows and
     null elsewhere (0 stays a value)."""
-    return long.select("*", *[F.when(F.col(cat) == c, F.col(val)).cast("int").alias(_safe(c))
+    return long.select("*", *[F.when(F.col(cat) == c, F.col(val)).cast("int").alias(c)
                               for c in categories])
 
 
@@ -37,7 +33,7 @@ def collapse_labels(long: DataFrame, keys, categories=K.CATEGORIES, cat: str = "
         for k in keys:
             src = src.where(F.col(k).isNotNull())
     return src.groupBy(*keys).agg(*[
-        F.max(F.when(F.col(cat) == c, F.col(val))).cast("int").alias(_safe(c))
+        F.max(F.when(F.col(cat) == c, F.col(val))).cast("int").alias(c)
         for c in categories])
 
 
@@ -60,10 +56,9 @@ def resolve_conflicts(long: DataFrame, keys, cat: str = "cat", val: str = "val",
     return long.groupBy(*keys, cat).agg(resolve_rule(F.col(val))[0].alias(out))
 
 
-def mention_labels(mentions: DataFrame, docs: DataFrame, key: str = "study_id",
-                   passage: str = "text") -> DataFrame:
-    """Long ``(key, cat, val, sents)`` label rows of the labeller, before
-    conflict resolution:
+def label_list(sentences: Column, found: Column, passage: Column) -> Column:
+    """``(cat, val, sents, rule)`` label rows of one document, as a list,
+    before conflict resolution:
 
     * each mention outside ``No Finding`` gives (observation, label, sentence);
     * a positive/uncertain mention whose text is ``chf`` or ``heart failure``
@@ -72,54 +67,34 @@ def mention_labels(mentions: DataFrame, docs: DataFrame, key: str = "study_id",
       uncertain gives (No Finding, 1, whole passage) — documents without any
       mention included.
 
-    ``mentions`` needs ``key, observation, label, mention, sentence``; ``docs``
-    needs ``key`` and the passage text."""
-    m = mentions.select(key, "observation", "label", "mention", "sentence")
-    own = m.where(F.col("observation") != K.NO_FINDING).select(
-        key, F.col("observation").alias("cat"), F.col("label").alias("val"),
-        F.col("sentence").alias("sents"))
-    hf = m.where(F.col("label").isin(K.POSITIVE, K.UNCERTAIN)
-                 & F.col("mention").isin(*K.HEART_FAILURE_TEXTS)).select(
-        key, F.lit(K.CARDIOMEGALY).alias("cat"), F.lit(K.UNCERTAIN).alias("val"),
-        F.col("sentence").alias("sents"))
-    finding = m.groupBy(key).agg(F.bool_or(
-        (F.col("observation") != K.SUPPORT_DEVICES)
-        & F.col("label").isin(K.POSITIVE, K.UNCERTAIN)).alias("_found"))
-    nf = (docs.select(key, F.col(passage).alias("sents"))
-          .join(finding.where(F.col("_found")), key, "left_anti")
-          .select(key, F.lit(K.NO_FINDING).alias("cat"), F.lit(K.POSITIVE).alias("val"),
-                  "sents"))
-    return own.unionByName(hf).unionByName(nf).withColumn("val", F.col("val").cast("int"))
-
-
-def document_labels(label_rows: DataFrame, docs: DataFrame, key: str = "study_id",
-                    categories=K.CATEGORIES) -> DataFrame:
-    """Wide resolved vector per document, in category order; documents with no
-    label row get an all-null vector."""
-    resolved = resolve_conflicts(label_rows, key, "cat", "val")
-    wide = resolved.groupBy(key).agg(*[
-        F.max(F.when(F.col("cat") == c, F.col("val"))).cast("int").alias(_safe(c))
-        for c in categories])
-    return docs.select(key).distinct().join(wide, key, "left")
-
-
-def sentence_labels(label_rows: DataFrame, reports: DataFrame, key: str = "study_id",
-                    report: str = "report") -> DataFrame:
-    """``(mimic_id, report, cat, vals, sents)`` — every report, with its long
-    label rows (null cat/vals/sents when it has none)."""
-    return (reports.select(F.col(key), F.col(report).alias("report"))
-            .join(label_rows.select(key, "cat", F.col("val").alias("vals"), "sents"), key, "left")
-            .select(F.col(key).alias("mimic_id"), "report", "cat",
-                    F.col("vals").cast("int").alias("vals"), "sents"))
-
-
-def to_cells(wide: DataFrame, key: str, categories, out_key: str = "id") -> DataFrame:
-    """Wide vector -> non-null long cells ``(id, cat, val)``."""
-    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("cat"), F.col(_safe(c)).alias("val"))
-                                for c in categories])).alias("_c")
-    return (wide.select(F.col(key).alias(out_key), stack)
-            .select(out_key, "_c.cat", F.col("_c.val").cast("int").alias("val"))
-            .where(F.col("val").isNotNull()))
+    ``sentences`` and ``found`` are the lists of ``mentions.document_mentions``."""
+    def row(cat, val, sents, rule):
+        return F.struct(cat.alias("cat"), val.cast("int").alias("val"), sents.alias("sents"),
+                        F.lit(rule).alias("rule"))
+
+    def asserted(m):
+        return m["label"].isin(K.POSITIVE, K.UNCERTAIN)
+
+    own = F.transform(F.filter(found, lambda m: m["observation"] != K.NO_FINDING),
+                      lambda m: row(m["observation"], m["label"], F.get(sentences, m["pos"]), "mention"))
+    hf = F.transform(F.filter(found, lambda m: asserted(m) & m["mention"].isin(*K.HEART_FAILURE_TEXTS)),
+                     lambda m: row(F.lit(K.CARDIOMEGALY), F.lit(K.UNCERTAIN), F.get(sentences, m["pos"]),
+                                   "heart_failure"))
+    finding = F.exists(found, lambda m: (m["observation"] != K.SUPPORT_DEVICES) & asserted(m))
+    none = F.filter(F.array(row(F.lit(K.NO_FINDING), F.lit(K.POSITIVE), passage, "no_finding")), lambda m: ~finding)
+    return F.concat(own, hf, none)
+
+
+def resolved_vector(rows: Column, categories=K.CATEGORIES) -> list[Column]:
+    """The columns of one document's resolved vector from its list of label rows (``resolve_rule``)."""
+    seen = F.array_distinct(F.transform(rows, lambda r: F.concat_ws(":", r["cat"], r["val"].cast("string"))))
+
+    def value(c: str) -> Column:
+        has0, hasu, has1 = (F.array_contains(F.col("_seen"), f"{c}:{v}")
+                            for v in (K.NEGATIVE, K.UNCERTAIN, K.POSITIVE))
+        return (F.when(has0 & hasu, F.lit(K.UNCERTAIN)).when(has1, F.lit(K.POSITIVE))
+                .when(has0, F.lit(K.NEGATIVE)).when(hasu, F.lit(K.UNCERTAIN)).cast("int").alias(c))
+    return [seen.alias("_seen"), *[value(c) for c in categories]]
 
 
 def attach_labels(embs: DataFrame, long: DataFrame, level: str = "study",

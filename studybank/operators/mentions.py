@@ -1,24 +1,22 @@
 """Dictionary mention finding, unmention filtering and assertion status.
 
 Dictionaries (phrases, patterns) are configuration: they are read once with a
-hard row bound and turned into *literal* regex expressions, so every pattern is
-compiled once per task and the whole matching step is a single map-only
-projection over the sentences — no sentence x phrase join is materialised.
+hard row bound and travel with the matching function (``operators/spans.py``),
+so the whole step is map-only and linear in the text and its matches.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from studybank import constants as K
+from studybank.operators.spans import (
+    DOCUMENT_TYPE, SPANS_TYPE, Assertion, Matcher, document_lists, span_lists)
 
 MAX_DICTIONARY_ROWS = 100_000
 
-SPAN_TYPE = "array<struct<start:int,end:int>>"
-
 
 def _bounded_rows(df: DataFrame, limit: int = MAX_DICTIONARY_ROWS) -> list:
     rows = df.limit(limit + 1).collect()
@@ -62,114 +60,41 @@ def expand_unmentions(phrases: DataFrame, merge: bool = False) -> DataFrame:
     return kept.unionByName(computed)
 
 
-def _sql_str(v: str) -> str:
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def spans_sql(col: str, pattern: str, guard: bool = False) -> str:
-    """The same span computation as :func:`regex_spans`, as one SQL expression
-    string (built once, parsed once on the JVM side)."""
-    p, t = _sql_str(pattern), f"`{col}`"
-    core = (f"aggregate(transform(regexp_extract_all({t}, {p}, 0), (m, i) -> "
-            f"named_struct('g', length(split({t}, {p}, -1)[i]), 'm', length(m))), "
-            f"named_struct('s', cast(array() as {SPAN_TYPE}), 'p', 0), "
-            f"(acc, x) -> named_struct('s', concat(acc.s, array(named_struct("
-            f"'start', cast(acc.p + x.g as int), 'end', cast(acc.p + x.g + x.m as int)))), "
-            f"'p', acc.p + x.g + x.m), acc -> acc.s)")
-    if not guard:
-        return core
-    return f"CASE WHEN {t} RLIKE {p} THEN {core} ELSE cast(array() as {SPAN_TYPE}) END"
-
-
-def regex_spans(text: Column, pattern: str, guard: bool = False) -> Column:
-    """All non-overlapping matches of ``pattern`` as ``[start, end)`` (0-based),
-    like ``re.finditer``: match i starts after the i gaps and i-1 matches before it.
-    With ``guard`` a single ``rlike`` comes first, so a phrase that is usually
-    absent (unmentions) costs one regex scan and no array work."""
-    if not guard:
-        return _spans(text, pattern)
-    return F.when(text.rlike(pattern), _spans(text, pattern)).otherwise(
-        F.array().cast(SPAN_TYPE))
-
-
-def _spans(text: Column, pattern: str) -> Column:
-    p = F.lit(pattern)
-    found = F.regexp_extract_all(text, p, 0)
-    gaps = F.split(text, pattern, -1)
-    lens = F.transform(found, lambda m, i: F.struct(
-        F.length(gaps[i]).alias("g"), F.length(m).alias("m")))
-    acc0 = F.struct(F.array().cast(SPAN_TYPE).alias("s"), F.lit(0).alias("p"))
-    return F.aggregate(
-        lens, acc0,
-        lambda acc, x: F.struct(
-            F.concat(acc["s"], F.array(F.struct(
-                (acc["p"] + x["g"]).cast("int").alias("start"),
-                (acc["p"] + x["g"] + x["m"]).cast("int").alias("end")))).alias("s"),
-            (acc["p"] + x["g"] + x["m"]).alias("p")))["s"]
+def _rows_of(phrases: DataFrame, *kinds: str) -> list[list[tuple[str, str]]]:
+    """(observation, phrase) rows of each kind."""
+    rows = _bounded_rows(phrases.select("observation", "phrase", "kind"))
+    return [[(r["observation"], r["phrase"]) for r in rows if r["kind"] == kind] for kind in kinds]
+
+
+def _exploded(sentences: DataFrame, matcher: Matcher, text: str) -> DataFrame:
+    find = F.arrow_udf(lambda t: span_lists(t, matcher), SPANS_TYPE)
+    return sentences.select("*", F.inline(find(F.col(text))))
 
 
 def phrase_spans(sentences: DataFrame, phrases: DataFrame, kind: str = "mention",
                  text: str = "text") -> DataFrame:
     """``(…sentence columns, observation, phrase, start, end)`` for every match
-    of every phrase of ``kind`` in every sentence."""
-    got = _bounded_rows(phrases.select("observation", "phrase", "kind"))
-    rows = [{"observation": o, "phrase": p} for o, p in
-            sorted({(r["observation"], r["phrase"]) for r in got if r["kind"] == kind})]
-    if not rows:
-        return sentences.select("*", F.lit(None).cast("string").alias("observation"),
-                                F.lit(None).cast("string").alias("phrase"),
-                                F.lit(None).cast("int").alias("start"),
-                                F.lit(None).cast("int").alias("end")).limit(0)
-    t = F.col(text)
-    per_phrase = F.array(*[
-        F.struct(F.lit(r["observation"]).alias("observation"), F.lit(r["phrase"]).alias("phrase"),
-                 regex_spans(t, r["phrase"]).alias("spans"))
-        for r in rows])
-    hits = F.filter(per_phrase, lambda x: F.size(x["spans"]) > 0)
-    exploded = sentences.select("*", F.explode(hits).alias("_h"))
-    return exploded.select(
-        *sentences.columns, F.col("_h.observation").alias("observation"),
-        F.col("_h.phrase").alias("phrase"), F.explode("_h.spans").alias("_s")).select(
-        *sentences.columns, "observation", "phrase",
-        F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
-
-
-def _not_blocked(blockers: Column):
-    def keep(s: Column) -> Column:
-        return ~F.exists(blockers, lambda u: (s["start"] < u["end"]) & (s["end"] > u["start"]))
-    return keep
+    of every phrase of ``kind`` in every sentence: ``[start, end)`` in code
+    points, matches of one phrase do not overlap."""
+    return _exploded(sentences, Matcher(*_rows_of(phrases, kind)), text)
 
 
 def filtered_spans(sentences: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
-    """Mention spans with unmention overlaps already removed, computed per
-    sentence in one projection (no join): a mention of observation *o* is
-    dropped when it overlaps any unmention span of *o* in the same sentence.
-    The per-phrase expressions are generated as SQL text and parsed once."""
-    rows = _bounded_rows(phrases.select("observation", "phrase", "kind"))
-    ment = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "mention"})
-    unm = sorted({(r["observation"], r["phrase"]) for r in rows if r["kind"] == "unmention"})
-    if not ment:
-        return phrase_spans(sentences, phrases.limit(0), "mention", text)
-    by_obs: dict[str, list[str]] = {}
-    for o, p in unm:
-        by_obs.setdefault(o, []).append(p)
-    items = []
-    for o, p in ment:
-        spans = spans_sql(text, p)
-        if o in by_obs:
-            blockers = "flatten(array(" + ", ".join(spans_sql(text, u, guard=True)
-                                                     for u in by_obs[o]) + "))"
-            spans = (f"filter({spans}, s -> NOT exists({blockers}, "
-                     f"u -> s.start < u.end AND s.end > u.start))")
-        items.append(f"named_struct('observation', {_sql_str(o)}, 'phrase', {_sql_str(p)}, "
-                     f"'spans', {spans})")
-    hits = F.expr("filter(array(" + ", ".join(items) + "), x -> size(x.spans) > 0)")
-    exploded = sentences.select("*", F.explode(hits).alias("_h"))
-    return exploded.select(
-        *sentences.columns, F.col("_h.observation").alias("observation"),
-        F.col("_h.phrase").alias("phrase"), F.explode("_h.spans").alias("_s")).select(
-        *sentences.columns, "observation", "phrase",
-        F.col("_s.start").alias("start"), F.col("_s.end").alias("end"))
+    """Mention spans with unmention overlaps already removed, per sentence
+    and map-side: a mention of observation *o* is dropped when it overlaps any
+    unmention span of *o* in the same sentence."""
+    return _exploded(sentences, Matcher(*_rows_of(phrases, "mention", "unmention")), text)
+
+
+def document_mentions(docs: DataFrame, phrases: DataFrame, patterns: DataFrame,
+                      text: str = "text") -> DataFrame:
+    """``docs`` with ``sentences`` (texts) and ``found`` (annotated, asserted
+    mentions, in ``ann_id`` order) as list columns.  Everything is computed
+    within the row, so rows that share a key stay apart and nothing is shuffled."""
+    matcher = Matcher(*_rows_of(phrases, "mention", "unmention"))
+    assertion = Assertion([(r["role"], r["pattern"]) for r in _bounded_rows(patterns.select("role", "pattern"))])
+    label = F.arrow_udf(lambda t: document_lists(t, matcher, assertion), DOCUMENT_TYPE)
+    return docs.withColumn("_d", label(F.col(text))).select(*docs.columns, "_d.sentences", "_d.found")
 
 
 def drop_unmentions(mentions: DataFrame, unmentions: DataFrame,
@@ -184,66 +109,15 @@ def drop_unmentions(mentions: DataFrame, unmentions: DataFrame,
     return mentions.join(u, cond, "left_anti")
 
 
-def annotate_mentions(mentions: DataFrame, key: str = "study_id",
-                      text: str = "text") -> DataFrame:
-    """Annotation columns: ``ann_id`` (0.. per document in sentence, start,
-    phrase order), document ``doc_offset``, ``length`` and the matched text."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy("sent_idx", "start", "observation", "phrase")
-    return (mentions
-            .withColumn("ann_id", (F.row_number().over(w) - 1).cast("int"))
-            .withColumn("doc_offset", (F.col("offset") + F.col("start")).cast("int"))
-            .withColumn("length", (F.col("end") - F.col("start")).cast("int"))
-            .withColumn("mention", F.substring(F.col(text), F.col("start") + 1, F.col("length"))))
-
-
-def split_pattern(pattern: str) -> tuple[str, str]:
-    """``A{m}B`` -> (``A`` anchored at the end of the text before the mention,
-    ``B`` anchored at the start of the text after it)."""
-    if "{m}" not in pattern:
-        raise ValueError(f"pattern without {{m}}: {pattern!r}")
-    pre, post = pattern.split("{m}", 1)
-    return (f"(?:{pre})$" if pre else ""), (f"^(?:{post})" if post else "")
-
-
-def _fires(before: Column, after: Column, pattern: str) -> Column:
-    pre, post = split_pattern(pattern)
-    cond = F.lit(True)
-    if pre:
-        cond = cond & before.rlike(pre)
-    if post:
-        cond = cond & after.rlike(post)
-    return cond
-
-
 def assert_status(mentions: DataFrame, patterns: DataFrame, text: str = "text") -> DataFrame:
     """Status of each mention: pre-negation uncertainty, then negation, then
     post-negation uncertainty, else positive.  A pattern ``A{m}B`` fires when
     the text before the mention ends with ``A`` and the text after it starts
-    with ``B``.  Adds ``status`` and ``label`` (1 / 0 / -1).  The before / after
-    texts are staged once and shared by all patterns."""
-    rows = _bounded_rows(patterns.select("role", "pattern"))
-    staged = mentions.withColumn("_before", F.substring(F.col(text), F.lit(1), F.col("start"))) \
-                     .withColumn("_after", F.substring(F.col(text), F.col("end") + 1, F.lit(1 << 30)))
-    before, after = F.col("_before"), F.col("_after")
-
-    def any_of(role: str) -> Column:
-        conds = [_fires(before, after, r["pattern"]) for r in rows if r["role"] == role]
-        out = F.lit(False)
-        for c in conds:
-            out = out | c
-        return out
-
-    status = (F.when(any_of("pre_uncertain"), F.lit("uncertain"))
-              .when(any_of("negation"), F.lit("negative"))
-              .when(any_of("post_uncertain"), F.lit("uncertain"))
-              .otherwise(F.lit("positive")))
-    out = staged.withColumn("status", status).drop("_before", "_after")
+    with ``B``.  Adds ``status`` and ``label`` (1 / 0 / -1)."""
+    assertion = Assertion([(r["role"], r["pattern"]) for r in _bounded_rows(patterns.select("role", "pattern"))])
+    status = F.arrow_udf(lambda t, s, e: pa.array(
+        [assertion.status(*m) for m in zip(t.to_pylist(), s.to_pylist(), e.to_pylist())], pa.string()), "string")
+    out = mentions.withColumn("status", status(text, "start", "end"))
     return out.withColumn("label", F.when(F.col("status") == "negative", F.lit(K.NEGATIVE))
                           .when(F.col("status") == "uncertain", F.lit(K.UNCERTAIN))
                           .otherwise(F.lit(K.POSITIVE)).cast("int"))
-
-
-def escape_phrase(phrase: str) -> str:
-    """Regex-quote a literal phrase (for dictionaries of plain words)."""
-    return re.escape(phrase)

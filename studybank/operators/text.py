@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from studybank import constants as K
+from studybank.operators.spans import SENTENCES_TYPE, sentence_lists
 
-# a sentence ends at . ! or ? followed by one space (cleaned text has single spaces)
-SENTENCE_BREAK = r"(?<=[.!?]) "
 
 
 def split_on_dot(df: DataFrame, col: str = "report", keep_order: bool = True) -> DataFrame:
@@ -22,18 +21,10 @@ def split_on_dot(df: DataFrame, col: str = "report", keep_order: bool = True) ->
 
 def split_sentences(df: DataFrame, col: str = "text", key: str = "study_id") -> DataFrame:
     """``(key, sent_idx, offset, text)``: sentences of a cleaned report with
-    their character offsets in it.  The offset is a running sum over the
-    sentences of one report (a window keyed by ``key``); callers that go on
-    working per report should partition by ``key`` first so that this and the
-    later per-report steps share one shuffle."""
-    pieces = df.select(key, F.posexplode(F.split(F.col(col), SENTENCE_BREAK, -1))
-                       .alias("sent_idx", "text"))
-    before = Window.partitionBy(key).orderBy("sent_idx").rowsBetween(
-        Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))
-    return (pieces.withColumn("offset", offset.cast("int"))
-            .where(F.length("text") > 0)
-            .select(key, F.col("sent_idx").cast("int").alias("sent_idx"), "offset", "text"))
+    their character offsets in it, counted within the row: rows that share a
+    key stay apart, and nothing is shuffled."""
+    lists = F.arrow_udf(sentence_lists, SENTENCES_TYPE)
+    return df.select(key, F.inline(lists(F.col(col))))
 
 
 def join_ranked(df: DataFrame, key: str, rank: str, col: str,

@@ -1,9 +1,8 @@
 """Report labelling job: clean -> sentences -> mentions -> unmention filter ->
 assertion -> label rows -> document vectors / long sentence labels.
 
-Everything is one lazy plan; the only shuffles are the unmention anti-join
-(keyed by study, sentence, observation), the per-document no-finding check and
-the per-(document, category) conflict resolution.
+Every step works within one report row, so the whole job is map-only and
+reports that share a study id are labelled apart.
 """
 
 from __future__ import annotations
@@ -16,69 +15,68 @@ from studybank.functions.text import clean_report
 from studybank.operators import labels as L
 from studybank.operators import mentions as M
 from studybank.operators.text import split_sentences
-from studybank.session import cut_lineage, spread
+from studybank.session import spread
+
+MENTION_COLUMNS = ("sent_idx", "offset", "observation", "phrase", "start", "end", "ann_id", "doc_offset",
+                   "length", "mention", "status", "label")
 
 
 def cleaned(reports: DataFrame, key: str = "study_id", col: str = "report") -> DataFrame:
-    """Cleaned text per report, hash-partitioned by ``key``: the sentence
-    offsets, mention ids, no-finding check and conflict resolution below are
-    all keyed by the report, so this one shuffle serves the whole job.  Null
-    reports are labelled as empty documents."""
-    return spread(reports.select(key, col), key).select(
-        key, F.coalesce(clean_report(F.col(col)), F.lit("")).alias("text"))
+    """Cleaned text per report; null reports are labelled as empty documents."""
+    return reports.select(key, F.coalesce(clean_report(F.col(col)), F.lit("")).alias("text"))
 
 
 def sentences(reports: DataFrame, key: str = "study_id", col: str = "report") -> DataFrame:
-    return split_sentences(cleaned(reports, key, col), "text", key)
+    return split_sentences(cleaned(spread(reports.select(key, col)), key, col), "text", key)
+
+
+def annotated(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
+              key: str = "study_id", col: str = "report",
+              merge_unmentions: bool = False) -> DataFrame:
+    """``key, report, text, sentences, found``: a row per report, its mentions as a list."""
+    docs = spread(reports.select(key, F.col(col).alias("report"))).withColumn(
+        "text", F.coalesce(clean_report(F.col("report")), F.lit("")))
+    return M.document_mentions(docs, M.expand_unmentions(phrases, merge=merge_unmentions), patterns)
 
 
 def mentions(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
              key: str = "study_id", col: str = "report",
              merge_unmentions: bool = False) -> DataFrame:
     """Annotated, asserted mentions:
-    ``key, sent_idx, offset, sentence, observation, phrase, start, end, ann_id,
-    doc_offset, length, mention, status, label``."""
-    return _mentions_of(cleaned(reports, key, col), phrases, patterns, key, merge_unmentions)
+    ``key, sent_idx, offset, observation, phrase, start, end, ann_id,
+    doc_offset, length, mention, status, label, sentence``."""
+    docs = annotated(reports, phrases, patterns, key, col, merge_unmentions)
+    rows = F.transform("found", lambda m: F.struct(
+        *[m[c].alias(c) for c in MENTION_COLUMNS], F.get(F.col("sentences"), m["pos"]).alias("sentence")))
+    return docs.select(key, F.inline(rows))
 
 
-def _mentions_of(docs: DataFrame, phrases: DataFrame, patterns: DataFrame, key: str,
-                 merge_unmentions: bool = False) -> DataFrame:
-    sents = split_sentences(docs, "text", key)
-    ph = M.expand_unmentions(phrases, merge=merge_unmentions)
-    kept = M.filtered_spans(sents, ph)
-    ann = M.annotate_mentions(kept, key)
-    asserted = M.assert_status(ann, patterns)
-    return asserted.withColumnRenamed("text", "sentence")
+def _label_lists(reports, phrases, patterns, key, col) -> DataFrame:
+    docs = annotated(reports, phrases, patterns, key, col)
+    rows = L.label_list(F.col("sentences"), F.col("found"), F.col("text"))
+    return docs.select(key, "report", rows.alias("rows"))
 
 
 def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
-               key: str = "study_id", col: str = "report",
-               materialise: bool = True, with_sentences: bool = True) -> DataFrame:
-    """Long label rows.  The mention table feeds several branches (own
-    labels, heart-failure rows, no-finding check), so by default it is written
-    once to the shared checkpoint folder instead of being recomputed per
-    branch; the cleaned text needed by the no-finding rows is a cheap
-    map-side recomputation."""
-    docs = cleaned(reports, key, col)
-    m = _mentions_of(docs, phrases, patterns, key)
-    cols = [key, "observation", "label", "mention"] + (["sentence"] if with_sentences else [])
-    if materialise:
-        m = cut_lineage(m.select(*cols), "mentions")
-    if not with_sentences:
-        m = m.withColumn("sentence", F.lit(None).cast("string"))
-        docs = docs.select(key, F.lit(None).cast("string").alias("text"))
-    return L.mention_labels(m, docs, key, "text")
-
+               key: str = "study_id", col: str = "report", rules: bool = False) -> DataFrame:
+    """Long label rows ``key, cat, val, sents``, with ``rules`` also the rule each row comes from."""
+    out = _label_lists(reports, phrases, patterns, key, col).select(key, F.inline("rows"))
+    return out if rules else out.drop("rule")
 
 
 def document_vectors(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                      key: str = "study_id", col: str = "report",
                      categories=K.CATEGORIES) -> DataFrame:
-    rows = label_rows(reports, phrases, patterns, key, col, with_sentences=False)
-    return L.document_labels(rows, reports.select(key), key, categories)
+    """One resolved vector per report row."""
+    docs = _label_lists(reports, phrases, patterns, key, col)
+    seen, *values = L.resolved_vector(F.col("rows"), categories)
+    return docs.select(key, seen).select(key, *values)
 
 
 def sentence_table(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                    key: str = "study_id", col: str = "report") -> DataFrame:
-    rows = label_rows(reports, phrases, patterns, key, col)
-    return L.sentence_labels(rows, reports, key, col)
+    """``mimic_id, report, cat, vals, sents``: every report row with its label
+    rows (null cat/vals/sents when it has none)."""
+    return (_label_lists(reports, phrases, patterns, key, col)
+            .select(F.col(key).alias("mimic_id"), "report", F.inline_outer("rows"))
+            .select("mimic_id", "report", "cat", F.col("val").alias("vals"), "sents"))

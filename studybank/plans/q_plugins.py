@@ -141,9 +141,8 @@ CHOSEN = ["Cardiomegaly", "Edema", "Lung Opacity", "No Finding"]
 SELECT r.study_id, {", ".join(f'w."{c}"' for c in CHOSEN)} FROM reports r LEFT JOIN wide w ON w.study_id = r.study_id
 """)
 def q_category_list(spark, sf_dir):
-    rep = B.reports(spark, sf_dir)
-    rows = labeller.label_rows(rep, B.phrases(spark), B.patterns(spark), with_sentences=False)
-    return L.document_labels(rows, rep.select("study_id"), "study_id", CHOSEN)
+    return labeller.document_vectors(B.reports(spark, sf_dir), B.phrases(spark), B.patterns(spark),
+                                     categories=CHOSEN)
 
 
 __all__ = ["K"]

@@ -11,6 +11,7 @@ from studybank.operators import mentions as M
 from studybank.operators import sections as S
 from studybank.operators import splits as SP
 from studybank.operators.metrics import bleu2
+from studybank.operators.spans import split_pattern
 from studybank.operators.text import join_ranked, pad_tokens, split_on_dot, word_tokens
 from studybank.plans import bindings as B
 from studybank.plans import labeller
@@ -44,7 +45,7 @@ SENTS = """
 sp AS (SELECT study_id, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS ps
        FROM clean),
 sx AS (SELECT study_id, ps, unnest(range(len(ps))) AS i FROM sp),
-sents AS (SELECT study_id, CAST(i AS INTEGER) AS sent_idx,
+sents AS MATERIALIZED (SELECT study_id, CAST(i AS INTEGER) AS sent_idx,
                  CAST(coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x) + 1)), 0) AS INTEGER) AS "offset",
                  ps[i + 1] AS text
           FROM sx WHERE length(ps[i + 1]) > 0)
@@ -81,7 +82,7 @@ def _spans_sql(name: str, table: str) -> str:
          regexp_extract_all(s.text, p.phrase) AS ms, string_split_regex(s.text, p.phrase) AS gs
   FROM sents s, {table} p WHERE regexp_matches(s.text, p.phrase)),
 {name}_x AS (SELECT *, unnest(range(len(ms))) AS i FROM {name}_m),
-{name} AS (
+{name} AS MATERIALIZED (
   SELECT study_id, sent_idx, "offset", text, observation, phrase,
          CAST(coalesce(list_sum(list_transform(gs[1:i + 1], lambda g: length(g))), 0)
               + coalesce(list_sum(list_transform(ms[1:i], lambda m: length(m))), 0) AS INTEGER) AS start,
@@ -92,12 +93,12 @@ def _spans_sql(name: str, table: str) -> str:
 
 
 def _fires_sql(pattern: str) -> str:
-    pre, post = M.split_pattern(pattern)
+    pre, post = split_pattern(pattern)
     conds = []
     if pre:
-        conds.append(f"regexp_matches(substring(text, 1, start), {_q(pre)})")
+        conds.append(f"regexp_matches(substring(text, 1, start), {_q(f'(?:{pre})$')})")
     if post:
-        conds.append(f"regexp_matches(substring(text, \"end\" + 1), {_q(post)})")
+        conds.append(f"regexp_matches(substring(text, \"end\" + 1), {_q(f'^(?:{post})')})")
     return "(" + " AND ".join(conds or ["TRUE"]) + ")"
 
 
@@ -118,7 +119,7 @@ LABELLER_T = f"""
 WITH {REPORTS}, {CLEAN}, {SENTS}, @@PHRASES@@,
 {_spans_sql('found', 'ment_ph')},
 {_spans_sql('unfound', 'unm_ph')},
-kept AS (
+kept AS MATERIALIZED (
   SELECT f.* FROM found f WHERE NOT EXISTS (
     SELECT 1 FROM unfound u WHERE u.study_id = f.study_id AND u.sent_idx = f.sent_idx
       AND u.observation = f.observation AND f.start < u."end" AND f."end" > u.start)),
@@ -130,7 +131,7 @@ ann AS (
   FROM kept),
 asserted AS (
   SELECT *, {_status_sql()} AS status FROM ann),
-lab AS (
+lab AS MATERIALIZED (
   SELECT *, CAST(CASE status WHEN 'negative' THEN 0 WHEN 'uncertain' THEN -1 ELSE 1 END AS INTEGER) AS label
   FROM asserted),
 own AS (SELECT study_id, observation AS cat, label AS val, text AS sents FROM lab
@@ -474,14 +475,21 @@ def _label_rows(spark, sf_dir):
     return labeller.label_rows(_reports(spark, sf_dir), B.phrases(spark), B.patterns(spark))
 
 
-@register("heart_failure_rule", LABELLER + "SELECT study_id, cat, CAST(val AS INTEGER) AS val, sents FROM hf")
+HF_PHRASES = [("Cardiomegaly", "chf", "mention"), ("Edema", "heart failure", "mention")]
+HF_REPORTS = """reports AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id,
+    replace(replace(text, ' the ', ' chf '), ' and ', ' heart failure ') AS report FROM documents)"""
+
+
+@register("heart_failure_rule", labeller_sql(
+    " UNION ALL ".join(f"SELECT {_q(o)} AS observation, {_q(p)} AS phrase, {_q(k)} AS kind" for o, p, k in HF_PHRASES)
+).replace(REPORTS, HF_REPORTS) + "SELECT study_id, cat, CAST(val AS INTEGER) AS val, sents FROM hf")
 def q_heart_failure(spark, sf_dir):
-    rows = _label_rows(spark, sf_dir)
-    hf = _mentions(spark, sf_dir).where(
-        F.col("label").isin(K.POSITIVE, K.UNCERTAIN) & F.col("mention").isin(*K.HEART_FAILURE_TEXTS))
-    return hf.select("study_id", F.lit(K.CARDIOMEGALY).alias("cat"),
-                     F.lit(K.UNCERTAIN).cast("int").alias("val"), F.col("sentence").alias("sents")) \
-        if rows is not None else None
+    """The rule's rows over the documents, two frequent words of which become the two texts it looks for."""
+    report = F.replace(F.replace("report", F.lit(" the "), F.lit(" chf ")), F.lit(" and "), F.lit(" heart failure "))
+    phrases = spark.createDataFrame(HF_PHRASES, "observation string, phrase string, kind string")
+    rows = labeller.label_rows(_reports(spark, sf_dir).withColumn("report", report), phrases, B.patterns(spark),
+                               rules=True)
+    return rows.where(F.col("rule") == "heart_failure").drop("rule")
 
 
 @register("no_finding_rule", LABELLER + "SELECT study_id, cat, CAST(val AS INTEGER) AS val, sents FROM nf")

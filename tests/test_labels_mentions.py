@@ -120,3 +120,71 @@ def test_pivot_and_attach(spark):
     assert st == {"s1": (0, 1), "s3": (None, None)}
     se = {r.study_id: (r.A, r.B) for r in L.attach_labels(embs, long, "sentence", ["A", "B"]).collect()}
     assert se == {"s1": (0, None), "s3": (None, None)}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labelling_is_map_only_and_rows_stay_apart(spark):
+    reports = spark.createDataFrame([("s1", "No edema. Edema is here."), ("s1", "Tube. No edema."), ("s2", "")],
+                                    "study_id string, report string")
+    phrases = spark.createDataFrame([("Edema", "edema", "mention"), ("Support Devices", "tube", "mention")],
+                                    "observation string, phrase string, kind string")
+    patterns = spark.createDataFrame([("negation", "(^| )no {m}")], "role string, pattern string")
+    found = sorted((r.ann_id, r.doc_offset, r.mention, r.label, r.sentence)
+                   for r in labeller.mentions(reports, phrases, patterns).collect())
+    assert found == [(0, 0, "tube", 1, "tube."), (0, 3, "edema", 0, "no edema."),
+                     (1, 9, "edema", 0, "no edema."), (1, 10, "edema", 1, "edema is here.")]
+    vectors = labeller.document_vectors(reports, phrases, patterns)
+    got = sorted((r["study_id"], r["Edema"], r["No Finding"]) for r in vectors.collect())
+    assert got == [("s1", 0, 1), ("s1", 1, None), ("s2", None, 1)]
+    assert "Exchange" not in _plan(labeller.cleaned(reports))
+    assert "hashpartitioning" not in _plan(vectors)
+
+
+def test_sentence_offsets_count_within_the_row(spark):
+    df = spark.createDataFrame([("s", "one. two."), ("s", "three. four.")], "study_id string, text string")
+    from studybank.operators.text import split_sentences
+    got = sorted((r.text, r.sent_idx, r.offset) for r in split_sentences(df).collect())
+    assert got == [("four.", 1, 7), ("one.", 0, 0), ("three.", 0, 0), ("two.", 1, 5)]
+
+
+def test_regex_and_self_overlapping_phrases(spark):
+    assert _spans(spark, "aaaaa", "aa") == [(0, 2), (2, 4)]
+    assert _spans(spark, "edema oedema", "o?edema") == [(0, 5), (6, 12)]
+    assert _spans(spark, "h\u00e9 \U0001f600 edema", "edema") == [(5, 10)]
+
+
+def test_spans_equal_brute_force():
+    import random
+    import re
+
+    from studybank.operators.spans import Matcher
+    rng = random.Random(7)
+    for _ in range(200):
+        units = ["".join(rng.choice("ab ") for _ in range(rng.randint(0, 12))) for _ in range(4)]
+        ment = [(rng.choice("XY"), "".join(rng.choice("ab") for _ in range(rng.randint(1, 3)))) for _ in range(4)]
+        unm = [(rng.choice("XY"), "".join(rng.choice("ab ") for _ in range(rng.randint(1, 4)))) for _ in range(2)]
+        want = []
+        for i, (o, p) in enumerate(sorted(set(ment))):
+            for u, unit in enumerate(units):
+                gone = [m.span() for q, x in unm if q == o for m in re.finditer(re.escape(x), unit)]
+                want += [(u, m.start(), i, m.end()) for m in re.finditer(re.escape(p), unit)
+                         if not any(m.start() < e and m.end() > s for s, e in gone)]
+        row, unit, start, end = Matcher(ment, unm).find(units)
+        assert list(zip(unit.tolist(), start.tolist(), row.tolist(), end.tolist())) == sorted(want)
+
+
+def test_many_phrases_and_one_long_sentence_take_linear_time(spark):
+    import time
+    words = [f"w{i}x" for i in range(300)]
+    reports = spark.createDataFrame([("s", " ".join(words[i % 300] for i in range(20_000)))],
+                                    "study_id string, report string")
+    phrases = spark.createDataFrame([("Cardiomegaly", w, "mention") for w in words],
+                                    "observation string, phrase string, kind string")
+    patterns = spark.createDataFrame([("negation", "(^| )(no|not) ([a-z]+ ){0,2}{m}")], "role string, pattern string")
+    begin = time.time()
+    found = labeller.mentions(reports, phrases, patterns)
+    assert found.select("ann_id", "label").agg(F.count("*"), F.max("ann_id")).collect()[0][:] == (20_000, 19_999)
+    assert time.time() - begin < 20
