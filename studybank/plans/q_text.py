@@ -16,6 +16,7 @@ from studybank.operators.text import join_ranked, pad_tokens, split_on_dot, word
 from studybank.plans import bindings as B
 from studybank.plans import labeller
 from studybank.plans.registry import register, rounded
+from studybank.session import spread
 
 # ----------------------------------------------------------------------------
 # SQL building blocks (DuckDB / RE2: no look-around, so the slash rule runs twice)
@@ -172,7 +173,7 @@ def _phr(spark):
 # ----------------------------------------------------------------------------
 @register("clean_report", f"WITH {REPORTS}, {CLEAN} SELECT study_id, text FROM clean")
 def q_clean(spark, sf_dir):
-    return labeller.cleaned(_reports(spark, sf_dir))
+    return labeller.cleaned(spread(_reports(spark, sf_dir)))
 
 
 @register("strip_newlines", """

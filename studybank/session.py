@@ -87,19 +87,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give CPU-heavy per-row work enough tasks.
-
-    With keys: hash-partition by them (the following per-key steps reuse it).
-    Without keys: repartition only when the scan yields fewer partitions than
-    the cluster has cores (e.g. one large Parquet row group); many input files
-    already give a parallel scan and are left alone."""
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work over a scan enough tasks.
+
+    Repartitions only when the scan yields fewer partitions than the cluster has
+    cores (e.g. one large Parquet row group); many input files already give a
+    parallel scan and are left alone.  So is a plan with a shuffle of its own:
+    counting its partitions would run it."""
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        return df
     spark = df.sparkSession
     target = max(spark.sparkContext.defaultParallelism,
                  int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    if keys:
-        # an explicit count: AQE must not coalesce CPU-bound text work into one task
-        return df.repartition(target, *keys)
     if df.rdd.getNumPartitions() >= target:
         return df
     return df.repartition(target)

@@ -188,3 +188,10 @@ def test_many_phrases_and_one_long_sentence_take_linear_time(spark):
     found = labeller.mentions(reports, phrases, patterns)
     assert found.select("ann_id", "label").agg(F.count("*"), F.max("ann_id")).collect()[0][:] == (20_000, 19_999)
     assert time.time() - begin < 20
+
+
+def test_spread_counts_no_partitions_of_a_shuffle(spark):
+    from studybank.session import spread
+    grouped = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
+    assert spread(grouped) is grouped
+    assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() >= 8
