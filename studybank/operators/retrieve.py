@@ -1,21 +1,14 @@
 """Exact cosine top-k of every query against a bank, without collecting the bank.
 
-Plan (cost |Q|·|B|·d, emitted rows |Q|·k·#bank-batches, never |Q|·|B|):
-
-* ``broadcast`` strategy — the query side is read with a hard row bound
-  (``limit(max_broadcast_rows + 1)``; if the bound is exceeded we do not
-  broadcast).  The L2-normalised query matrix is broadcast once; every bank
-  partition is scored with one dense matmul per Arrow batch in ``mapInPandas``
-  and keeps only its local top-k per query.  The final top-k is a
-  ``row_number() <= k`` window on ``query_id``; Spark inserts a partial
-  ``WindowGroupLimit`` before that shuffle, so at most k rows per query per
-  task cross the network.
-* ``block`` strategy — when the query side is larger than the broadcast bound,
-  both sides are grouped into hash blocks of about ``block_rows`` vectors
-  (bounded lists: keys are unique and the hash is uniform).  The block pairs are
-  formed with an equi-join on a replicated block id (the classic blocked matrix
-  product), each pair is scored by one matmul and, again, only k rows per query
-  leave the task.
+One plan for every size (cost |Q|·|B|·d, emitted rows at most |Q|·k per block
+of the bank, never |Q|·|B|): both sides are dealt by the hash of their key into
+blocks of about ``block_rows`` vectors, and every block of queries meets every
+block of the bank in one cell of a grid, as in a blocked matrix product.  A cell
+is scored by matmul and keeps k rows per query.  The final top-k is a
+``row_number() <= k`` window on ``query_id``, before whose shuffle Spark puts a
+partial ``WindowGroupLimit``.  No vector reaches the driver, which only counts
+the rows of both sides.  Keys must be unique, as in any bank: a key on many rows
+puts them all in one block.
 
 Ties are broken by the smaller ``bank_id``; zero vectors score 0.  Scores are
 computed in float64 so they agree with a SQL evaluation to ~1e-15.
@@ -109,13 +102,11 @@ def _grouped_topk(qids, qn, pdf: pd.DataFrame, vcol: str, k: int, group: str | N
 
 def topk(query: DataFrame, bank: DataFrame, k: int, *, query_key: str = "query_id",
          bank_key: str = "bank_id", vec: str = "embs", group: str | None = None,
-         strategy: str = "auto", max_broadcast_rows: int = 20000,
          block_rows: int = 2048) -> DataFrame:
     """Exact top-k bank rows per query: ``(query_id, [group,] rank, bank_id, sim)``.
 
     ``group`` (e.g. ``batch_id``) gives the top-k within each bank batch
-    instead of over the whole bank.  ``strategy``: ``auto`` (broadcast when the
-    query side is within the bound, else block), ``broadcast`` or ``block``."""
+    instead of over the whole bank."""
     if k <= 0:
         raise ValueError("k must be positive")
     q = query.select(F.col(query_key).cast("long").alias("query_id"), F.col(vec).alias("v"))
@@ -123,59 +114,28 @@ def topk(query: DataFrame, bank: DataFrame, k: int, *, query_key: str = "query_i
     if group:
         bcols.append(F.col(group))
     b = bank.select(*bcols)
+    q_blocks = max(1, math.ceil(q.select("query_id").count() / block_rows))
+    b_blocks = max(1, math.ceil(b.select("bank_id").count() / block_rows))
+    cell = ["_qblock", "_bblock"]
+    q = (q.withColumn("_qblock", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
+         .withColumn("_bblock", _every(b_blocks)))
+    b = (b.withColumn("_bblock", F.pmod(F.xxhash64("bank_id"), F.lit(b_blocks)))
+         .withColumn("_qblock", _every(q_blocks)))
     schema = _schema(group, bank.schema[group].dataType if group else None)
-    if strategy in ("auto", "broadcast"):
-        # Hard bound on what reaches the driver: never more than the limit + 1 rows.
-        local = q.limit(max_broadcast_rows + 1).toPandas()
-        if len(local) <= max_broadcast_rows:
-            return _topk_broadcast(local, b, k, group, schema)
-        if strategy == "broadcast":
-            raise ValueError(f"query side exceeds {max_broadcast_rows} rows; use block")
-    return _topk_block(q, b, k, block_rows, group, schema)
-
-
-def _topk_broadcast(local: pd.DataFrame, b: DataFrame, k: int, group, schema) -> DataFrame:
-    spark = b.sparkSession
-    qids = local["query_id"].to_numpy(dtype=np.int64)
-    qn = _normalise(_stack(local["v"]))
-    shared = spark.sparkContext.broadcast((qids, qn))
-
-    def score(batches):
-        ids, qmat = shared.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            yield from _grouped_topk(ids, qmat, pdf, "v", k, group)
-
-    return _final_topk(b.mapInPandas(score, schema), k, group)
-
-
-def _topk_block(q: DataFrame, b: DataFrame, k: int, block_rows: int, group,
-                schema) -> DataFrame:
-    n_q = q.count()
-    n_b = b.count()
-    nq_blocks = max(1, math.ceil(n_q / block_rows))
-    nb_blocks = max(1, math.ceil(n_b / block_rows))
-    qb = (q.withColumn("qblock", F.pmod(F.xxhash64("query_id"), F.lit(nq_blocks)))
-          .groupBy("qblock")
-          .agg(F.collect_list(F.struct("query_id", "v")).alias("qs")))
-    bb = (b.withColumn("bblock", F.pmod(F.xxhash64("bank_id"), F.lit(nb_blocks)))
-          .groupBy("bblock")
-          .agg(F.collect_list(F.struct(*b.columns)).alias("bs")))
-    # replicate the side with fewer blocks' worth of data onto every block of the other
-    pairs = qb.withColumn("bblock", F.explode(F.sequence(F.lit(0).cast("long"),
-                                                         F.lit(nb_blocks - 1).cast("long"))))
-    pairs = pairs.join(bb, "bblock")
-
-    def score(batches):
-        for pdf in batches:
-            for qs, bs in zip(pdf["qs"], pdf["bs"]):
-                qids = np.array([r["query_id"] for r in qs], dtype=np.int64)
-                qn = _normalise(_stack(pd.Series([r["v"] for r in qs])))
-                bpdf = pd.DataFrame([dict(r) for r in bs])
-                yield from _grouped_topk(qids, qn, bpdf, "v", k, group)
-
-    return _final_topk(pairs.select("qs", "bs").mapInPandas(score, schema), k, group)
+
+    def score(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
+        if len(qs) == 0 or len(bs) == 0:
+            return pd.DataFrame(columns=schema.names)
+        qids = qs["query_id"].to_numpy(dtype=np.int64)
+        return pd.concat(_grouped_topk(qids, _normalise(_stack(qs["v"])), bs, "v", k, group))
+
+    scored = q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(score, schema)
+    return _final_topk(scored, k, group)
+
+
+def _every(blocks: int):
+    """A row for each block of the other side."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
 
 
 def topk_cut(top: DataFrame, k: int, max_k: int | None = None) -> DataFrame:

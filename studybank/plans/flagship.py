@@ -24,30 +24,27 @@ def roles(spark: SparkSession, sf_dir: str, ratio: float = QUERY_RATIO,
     return split_off(B.vectors(spark, sf_dir), "vec_id", ratio=ratio, seed=seed)
 
 
-def retrieval_topk(spark: SparkSession, sf_dir: str, max_k: int = 10,
-                   strategy: str = "auto") -> DataFrame:
+def retrieval_topk(spark: SparkSession, sf_dir: str, max_k: int = 10) -> DataFrame:
     r = roles(spark, sf_dir)
     query = r.where(F.col("role") == "query")
     bank = r.where(F.col("role") == "bank")
     return topk(query, bank, max_k, query_key="vec_id", bank_key="vec_id",
-                vec="embedding", strategy=strategy)
+                vec="embedding")
 
 
 def evaluate(query: DataFrame, bank: DataFrame, labels: DataFrame, k: int = 2,
              max_k: int = 10, key: str = "vec_id", vec: str = "embedding",
-             strategy: str = "auto") -> tuple[DataFrame, DataFrame]:
+             block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
     """(per-query scores, one-row metrics) for any query / bank / label tables."""
     top = topk_cut(topk(query, bank, max_k, query_key=key, bank_key=key, vec=vec,
-                        strategy=strategy), k, max_k)
+                        block_rows=block_rows), k, max_k)
     scores = query_scores(query.select(F.col(key).alias("query_id")), top, labels, labels)
     return scores, retrieval_metrics(scores, k)
 
 
-def retrieval_eval(spark: SparkSession, sf_dir: str, k: int = 2, max_k: int = 10,
-                   strategy: str = "auto") -> DataFrame:
+def retrieval_eval(spark: SparkSession, sf_dir: str, k: int = 2, max_k: int = 10) -> DataFrame:
     r = roles(spark, sf_dir)
     query = r.where(F.col("role") == "query")
     bank = r.where(F.col("role") == "bank")
-    _, metrics = evaluate(query, bank, B.vector_labels(spark, sf_dir), k, max_k,
-                          strategy=strategy)
+    _, metrics = evaluate(query, bank, B.vector_labels(spark, sf_dir), k, max_k)
     return metrics

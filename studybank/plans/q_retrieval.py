@@ -113,10 +113,9 @@ WITH {ROLES}, {TOPK}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, bank_id, round(sim, 9) AS sim FROM t
 """)
 def q_join_similarity(spark, sf_dir):
-    """The same scoring through the blocked (query side too large) plan."""
+    """The same scoring over many small blocks."""
     q, b = _roles(spark, sf_dir)
-    return rounded(topk(q, b, MAX_K, query_key="vec_id", bank_key="vec_id", vec="embedding",
-                        strategy="block", block_rows=64))
+    return rounded(topk(q, b, MAX_K, query_key="vec_id", bank_key="vec_id", vec="embedding", block_rows=64))
 
 
 @register("topk_cut", f"""

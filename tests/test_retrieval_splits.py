@@ -46,8 +46,8 @@ def test_flagship_golden_values(spark):
     v = B.vectors(spark, SF)
     q = v.where(F.col("vec_id") % 10 == 0)
     b = v.where(F.col("vec_id") % 10 != 0)
-    for strategy in ("broadcast", "block"):
-        _, m = flagship.evaluate(q, b, B.vector_labels(spark, SF), strategy=strategy)
+    for block_rows in (2048, 64):
+        _, m = flagship.evaluate(q, b, B.vector_labels(spark, SF), block_rows=block_rows)
         r = m.collect()[0]
         assert (r.hits, r.test_instances) == (7, 50)
         assert r.flat_hit == pytest.approx(0.14) and r.precision == pytest.approx(0.07)
@@ -58,21 +58,21 @@ def test_topk_edge_cases(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "query_id long, embs array<double>")
     b = spark.createDataFrame([(10, [2.0, 0.0]), (5, [1.0, 0.0]), (7, [0.0, 1.0])],
                               "bank_id long, embs array<double>")
-    for strategy in ("broadcast", "block"):
-        got = topk(q, b, 2, strategy=strategy, block_rows=1).orderBy("query_id", "rank").collect()
+    for block_rows in (2048, 1):
+        got = topk(q, b, 2, block_rows=block_rows).orderBy("query_id", "rank").collect()
         assert [(r.query_id, r.rank, r.bank_id) for r in got] == [
             (1, 1, 5), (1, 2, 10), (2, 1, 5), (2, 2, 7)]
         assert all(r.sim == 0.0 for r in got if r.query_id == 2)
-        assert topk(q, b, 10, strategy=strategy).count() == 6   # k > bank size
+        assert topk(q, b, 10, block_rows=block_rows).count() == 6   # k > bank size
 
 
-def test_topk_block_equals_broadcast(spark):
+def test_topk_is_the_same_at_any_block_size(spark):
     rng = np.random.default_rng(0)
     rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
     v = spark.createDataFrame(rows, "id long, embs array<double>")
     q, b = v.where("id < 40"), v.where("id >= 40")
-    a = topk(q, b, 5, query_key="id", bank_key="id", strategy="broadcast")
-    c = topk(q, b, 5, query_key="id", bank_key="id", strategy="block", block_rows=16)
+    a = topk(q, b, 5, query_key="id", bank_key="id")
+    c = topk(q, b, 5, query_key="id", bank_key="id", block_rows=16)
     key = lambda r: (r.query_id, r.rank, r.bank_id)
     assert sorted(map(key, a.collect())) == sorted(map(key, c.collect()))
     # numpy brute force
