@@ -134,6 +134,14 @@ def expand_sentences(studies: DataFrame, long: DataFrame, key: str = "study_id",
     return studies.select(*others).join(sents, key).distinct()
 
 
+def sentence_labels(label_rows: DataFrame, reports: DataFrame, key: str = "study_id",
+                    report: str = "report") -> DataFrame:
+    """``(mimic_id, report, cat, vals, sents)``: every report with the label rows
+    of its key (null cat/vals/sents when it has none)."""
+    labels = label_rows.select(key, "cat", F.col("val").cast("int").alias("vals"), "sents")
+    return reports.select(key, F.col(report).alias("report")).join(labels, key, "left").withColumnRenamed(key, "mimic_id")
+
+
 def pair_studies(images: DataFrame, reports: DataFrame, key: str = "study_id") -> DataFrame:
     """Images x reports on the study (M:N inner join)."""
     return images.join(reports, key, "inner")
