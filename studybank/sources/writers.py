@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Every cell is quoted and written whole: Spark's default cuts the white space at both ends.
+CSV = {"quoteAll": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_sectioned(df: DataFrame, out: str, max_rows: int = 10000, single: bool = False) -> None:
     """Headerless ``(study_id, report)`` CSV, files of at most ``max_rows`` rows
     (or one file)."""
@@ -17,7 +21,7 @@ def write_sectioned(df: DataFrame, out: str, max_rows: int = 10000, single: bool
     if single:
         data = data.coalesce(1)
     (data.write.mode("overwrite").option("maxRecordsPerFile", max_rows)
-     .option("quoteAll", True).option("escape", '"').csv(out))
+     .options(**CSV).csv(out))
 
 
 def write_splits(df: DataFrame, out: str) -> None:
@@ -28,7 +32,7 @@ def write_splits(df: DataFrame, out: str) -> None:
 def write_split_csv(df: DataFrame, out: str) -> None:
     """Split rows as CSV with a header and an index column."""
     (df.select("index", "study_id", "path", "report").write.mode("overwrite")
-     .option("header", True).option("quoteAll", True).option("escape", '"').csv(out))
+     .option("header", True).options(**CSV).csv(out))
 
 
 def write_bank_query(df: DataFrame, out: str) -> None:
@@ -42,8 +46,7 @@ def write_embeddings(df: DataFrame, out: str, max_rows: int = 50000) -> None:
 
 
 def write_sentence_labels(df: DataFrame, out: str) -> None:
-    (df.write.mode("overwrite").option("header", True).option("quoteAll", True)
-     .option("escape", '"').csv(out))
+    (df.write.mode("overwrite").option("header", True).options(**CSV).csv(out))
 
 
 def write_preds(df: DataFrame, out: str) -> None:

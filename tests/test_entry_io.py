@@ -94,3 +94,11 @@ def test_streaming_equals_batch(spark):
     streamed = spark.read.parquet(out).drop("batch_id")
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+
+
+def test_csv_keeps_white_space_at_the_ends(spark, tmp_path):
+    from studybank.sources import readers as R
+    from studybank.sources import writers as W
+    rows = [("s1", " a b "), ("s2", "\nx\n"), ("s3", '"q", r')]
+    W.write_sectioned(spark.createDataFrame(rows, "study_id string, report string"), str(tmp_path / "out"))
+    assert sorted(map(tuple, R.read_sectioned(spark, str(tmp_path / "out")).collect())) == rows
