@@ -43,9 +43,15 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(1).alias("val")))
 
 
+def pieces(text: str):
+    """A row for each '.'-piece of a text; one null row for a null text."""
+    return F.explode_outer(F.split(F.col(text), r"\.", -1))
+
+
 def long_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(mimic_id, report, cat, vals, sents)`` long sentence labels built from
-    ``labels`` x ``documents``: the sentence is the report's first '.'-piece."""
+    ``labels`` x ``documents``: a row for each '.'-piece of the report, all with
+    the report's label."""
     lab = table(spark, sf_dir, "labels")
     doc = table(spark, sf_dir, "documents").select("doc_id", "text")
     cells = lab.select("doc_id", F.expr(
@@ -58,7 +64,7 @@ def long_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("report"),
         "cat",
         F.col("vals").cast("int").alias("vals"),
-        F.split(F.col("text"), r"\.", 2).getItem(0).alias("sents"),
+        pieces("text").alias("sents"),
     )
 
 

@@ -61,17 +61,15 @@ def q_sectioned_csv(spark, sf_dir):
 
 
 @register("sink_sectioned", """
-SELECT count(*) AS rows, CAST(ceil(count(*) / 300.0) AS BIGINT) AS min_files FROM documents
+SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id, text AS report, true AS file_within_limit FROM documents
 """)
 def q_sink_sectioned(spark, sf_dir):
-    """Rows written and the number of files they needed (<= 300 rows each)."""
+    """The rows read back, and whether the file of each keeps to 300 rows."""
     out = shared_dir(spark, "sectioned")
-    W.write_sectioned(B.reports(spark, sf_dir).repartition(1), out, max_rows=300)
-    back = spark.read.text(out).select(F.col("_metadata.file_path").alias("f"))
-    per_file = back.groupBy("f").count()
-    rows = R.read_sectioned(spark, out).count()
-    return per_file.agg(F.lit(rows).cast("long").alias("rows"),
-                        F.count(F.lit(1)).cast("long").alias("min_files"))
+    W.write_sectioned(B.reports(spark, sf_dir), out, max_rows=300)
+    back = R.read_sectioned(spark, out).select("*", F.col("_metadata.file_path").alias("file"))
+    sizes = back.groupBy("file").agg((F.count(F.lit(1)) <= 300).alias("file_within_limit"))
+    return back.join(sizes, "file").drop("file")
 
 
 @register("src_split_csv", SPLIT_SQL + """
@@ -94,8 +92,11 @@ def q_sink_splits(spark, sf_dir):
     return spark.read.parquet(out).select("study_id", "path", "split")
 
 
-@register("src_label_csvs", f"WITH {LONG} SELECT mimic_id, report, cat, vals, sents FROM long")
+@register("src_label_csvs", f"""
+WITH {LONG} SELECT mimic_id, nullif(report, '') AS report, cat, vals, nullif(sents, '') AS sents FROM long
+""")
 def q_label_csvs(spark, sf_dir):
+    """A CSV cell can't tell an empty text from none: both are read as null."""
     out = shared_dir(spark, "labels_csv")
     W.write_sentence_labels(B.long_labels(spark, sf_dir).repartition(3), out)
     return R.read_sentence_labels(spark, out)

@@ -18,7 +18,7 @@ LONG = """
 long AS (
   SELECT 's' || CAST(l.doc_id AS VARCHAR) AS mimic_id, d.text AS report, u.cat,
          CAST(CASE WHEN l.doc_id % 5 = 0 AND u.vals IS NOT NULL THEN -1 ELSE u.vals END AS INTEGER) AS vals,
-         string_split(d.text, '.')[1] AS sents
+         unnest(coalesce(string_split(d.text, '.'), [NULL])) AS sents
   FROM labels l
   CROSS JOIN LATERAL (VALUES ('quality', l.quality), ('toxic', l.toxic)) AS u(cat, vals)
   JOIN documents d ON d.doc_id = l.doc_id)
@@ -27,13 +27,13 @@ long AS (
 REPORTS = "reports AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id, text AS report FROM documents)"
 IMAGES = "images AS (SELECT 's' || CAST(page_id AS VARCHAR) AS study_id, url AS path FROM pages)"
 EMBS = ("embs AS (SELECT 's' || CAST(doc_id AS VARCHAR) AS study_id, "
-        "string_split(text, '.')[1] AS target FROM documents)")
+        "unnest(coalesce(string_split(text, '.'), [NULL])) AS target FROM documents)")
 
 
 def _embs(spark, sf_dir):
     d = B.table(spark, sf_dir, "documents")
     return d.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("study_id"),
-                    F.split(F.col("text"), r"\.", 2).getItem(0).alias("target"))
+                    B.pieces("text").alias("target"))
 
 
 def _pairs(spark, sf_dir):

@@ -388,7 +388,7 @@ def q_custom_slice(spark, sf_dir):
 
 
 def _normalise_sql(c: str) -> str:
-    name = f"lower(trim({c}))"
+    name = f"lower(trim({c}, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11)))"
     whens = " ".join(f"WHEN {name} = {_q(k)} THEN {_q(v)}" for k, v in K.SECTION_NAME_MAP.items())
     mains = " ".join(f"WHEN contains({name}, {_q(m)}) THEN {_q(m)}" for m in K.MAIN_SECTIONS)
     import re as _re
@@ -398,14 +398,13 @@ def _normalise_sql(c: str) -> str:
 
 
 @register("section_normalise", f"""
-WITH h AS (SELECT doc_id, array_to_string(string_split(lower(text), ' ')[1:2], ' ') AS header FROM documents)
+WITH h AS (SELECT doc_id, unnest(coalesce(string_split(lower(text), '.'), [NULL])) AS header FROM documents)
 SELECT doc_id, header, {_normalise_sql('header')} AS name FROM h
 """)
 def q_section_normalise(spark, sf_dir):
-    """Header candidates: the first two words of each document."""
-    d = B.table(spark, sf_dir, "documents")
-    header = F.array_join(F.slice(F.split(F.lower("text"), " "), 1, 2), " ")
-    return d.select("doc_id", header.alias("header")).select(
+    """Header candidates: every '.'-piece of each document."""
+    d = B.table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    return d.select("doc_id", B.pieces("text").alias("header")).select(
         "doc_id", "header", T.normalise_section(F.col("header")).alias("name"))
 
 
@@ -413,14 +412,22 @@ def q_section_normalise(spark, sf_dir):
 # mentions and labels
 # ----------------------------------------------------------------------------
 @register("unmention_expand", f"""
-WITH {_phrases_sql()}
-SELECT observation, phrase, 'unmention' AS kind FROM unm_ph
-UNION ALL SELECT observation, phrase, 'mention' AS kind FROM ment_ph
+WITH {REPORTS}, {CLEAN}, {SENTS}, {_phrases_sql()}, {_spans_sql('found', 'ment_ph')}, {_spans_sql('unfound', 'unm_ph')},
+expanded AS (SELECT observation, phrase, 'unmention' AS kind FROM unm_ph
+             UNION ALL SELECT observation, phrase, 'mention' AS kind FROM ment_ph),
+hits AS (SELECT observation, phrase, 'unmention' AS kind, count(*) AS n FROM unfound GROUP BY ALL
+         UNION ALL SELECT observation, phrase, 'mention' AS kind, count(*) AS n FROM found GROUP BY ALL)
+SELECT observation, phrase, kind, coalesce(n, 0) AS spans FROM expanded LEFT JOIN hits USING (observation, phrase, kind)
 """)
 def q_unmention_expand(spark, sf_dir):
-    """Dictionary expansion; the phrases are then matched over the documents in
-    the queries below."""
-    return _phr(spark).select("observation", "phrase", "kind")
+    """The expanded dictionary, and how many spans each phrase has in the documents."""
+    phr, key = _phr(spark), ["observation", "phrase", "kind"]
+    hits = None
+    for kind in ("mention", "unmention"):
+        spans = M.phrase_spans(_sents(spark, sf_dir), phr, kind).select("observation", "phrase")
+        n = spans.withColumn("kind", F.lit(kind)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        hits = n if hits is None else hits.unionByName(n)
+    return phr.select(*key).join(hits, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("spans"))
 
 
 @register("mention_spans", f"""
