@@ -121,13 +121,18 @@ def skip_accounting(scores: DataFrame) -> DataFrame:
 
 
 def _ngrams(tokens: Column, n: int) -> Column:
-    """Array of space-joined n-grams of a token array."""
+    """Array of space-joined n-grams of a token array.  The array is bound once as
+    a lambda variable: named inside the inner lambda, its whole expression (the
+    split of the text) would be computed again for every n-gram."""
     if n == 1:
         return tokens
-    idx = F.sequence(F.lit(0), F.size(tokens) - n)
-    return F.when(F.size(tokens) >= n, F.transform(
-        idx, lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(
-        F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        at = F.sequence(F.lit(1), F.size(t) - (n - 1))
+        return F.when(F.size(t) >= n, F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(
+            F.array().cast("array<string>"))
+
+    return F.transform(F.array(tokens), grams)[0]
 
 
 def bleu2(df: DataFrame, key: str, ref: str, cand: str, out: str = "bleu") -> DataFrame:

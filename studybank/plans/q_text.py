@@ -534,33 +534,37 @@ def q_doc_vector(spark, sf_dir):
 
 
 @register("bleu2", """
-WITH p AS (SELECT b.item_id, d.text AS ref, b.text AS cand FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-t AS (SELECT item_id,
+WITH p AS (SELECT c.doc_id, coalesce(r.text, '') AS ref, coalesce(c.text, '') AS cand
+           FROM documents c LEFT JOIN documents r ON r.doc_id = xor(c.doc_id, 1)),
+t AS (SELECT doc_id,
              list_filter(string_split(regexp_replace(replace(replace(ref, chr(10), ''), chr(13), ''),
                                                      '[^0-9a-zA-Z ]+', ' ', 'g'), ' '), lambda w: w <> '') AS r,
              list_filter(string_split(regexp_replace(replace(replace(cand, chr(10), ''), chr(13), ''),
                                                      '[^0-9a-zA-Z ]+', ' ', 'g'), ' '), lambda w: w <> '') AS c
       FROM p),
 g AS (
-  SELECT item_id, 1 AS n, 'c' AS side, unnest(c) AS gram FROM t
-  UNION ALL SELECT item_id, 1, 'r', unnest(r) FROM t
-  UNION ALL SELECT item_id, 2, 'c', unnest(list_transform(range(greatest(len(c) - 1, 0)),
+  SELECT doc_id, 1 AS n, 'c' AS side, unnest(c) AS gram FROM t
+  UNION ALL SELECT doc_id, 1, 'r', unnest(r) FROM t
+  UNION ALL SELECT doc_id, 2, 'c', unnest(list_transform(range(greatest(len(c) - 1, 0)),
                                                          lambda i: c[i + 1] || ' ' || c[i + 2])) FROM t
-  UNION ALL SELECT item_id, 2, 'r', unnest(list_transform(range(greatest(len(r) - 1, 0)),
+  UNION ALL SELECT doc_id, 2, 'r', unnest(list_transform(range(greatest(len(r) - 1, 0)),
                                                          lambda i: r[i + 1] || ' ' || r[i + 2])) FROM t),
-cnt AS (SELECT item_id, n, gram, sum(CASE WHEN side = 'c' THEN 1 ELSE 0 END) AS cc,
+cnt AS (SELECT doc_id, n, gram, sum(CASE WHEN side = 'c' THEN 1 ELSE 0 END) AS cc,
                sum(CASE WHEN side = 'r' THEN 1 ELSE 0 END) AS rc FROM g GROUP BY ALL),
-m AS (SELECT item_id, sum(CASE WHEN n = 1 THEN least(cc, rc) END) AS m1,
-             sum(CASE WHEN n = 2 THEN least(cc, rc) END) AS m2 FROM cnt GROUP BY item_id),
-j AS (SELECT t.item_id, len(t.c) AS cl, len(t.r) AS rl, coalesce(m.m1, 0) AS m1, coalesce(m.m2, 0) AS m2
-      FROM t LEFT JOIN m ON m.item_id = t.item_id)
-SELECT item_id, round(CASE WHEN m1 = 0 OR m2 = 0 OR cl = 0 THEN 0.0
+m AS (SELECT doc_id, sum(CASE WHEN n = 1 THEN least(cc, rc) END) AS m1,
+             sum(CASE WHEN n = 2 THEN least(cc, rc) END) AS m2 FROM cnt GROUP BY doc_id),
+j AS (SELECT t.doc_id, len(t.c) AS cl, len(t.r) AS rl, coalesce(m.m1, 0) AS m1, coalesce(m.m2, 0) AS m2
+      FROM t LEFT JOIN m ON m.doc_id = t.doc_id)
+SELECT doc_id, round(CASE WHEN m1 = 0 OR m2 = 0 OR cl = 0 THEN 0.0
                       ELSE (CASE WHEN cl > rl THEN 1.0 ELSE exp(1 - rl / cl) END)
                            * exp(0.5 * ln(m1 / greatest(1, cl)) + 0.5 * ln(m2 / greatest(1, cl - 1))) END, 9) AS bleu
 FROM j
 """)
 def q_bleu2(spark, sf_dir):
-    b = B.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("cand"))
-    d = B.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"),
-                                                   F.col("text").alias("ref"))
-    return rounded(bleu2(b.join(d, "item_id"), "item_id", "ref", "cand"))
+    """Every document against its neighbour (the id with the lowest bit turned; an empty text if there is none)."""
+    d = B.table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    cand = d.select("doc_id", text.alias("cand"))
+    ref = d.select(F.col("doc_id").bitwiseXOR(F.lit(1)).alias("doc_id"), text.alias("ref"))
+    pairs = cand.join(ref, "doc_id", "left").fillna("", ["ref"])
+    return rounded(bleu2(pairs, "doc_id", "ref", "cand"))

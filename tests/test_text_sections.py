@@ -124,3 +124,9 @@ def test_bleu2_golden(spark, ref, cand, want):
     df = spark.createDataFrame([(1, ref, cand)], "id int, ref string, cand string")
     got = bleu2(df, "id", "ref", "cand").collect()[0]["bleu"]
     assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_bleu2_of_a_long_text(spark):
+    text = " ".join(f"w{i * i % 7919}" for i in range(20000))
+    df = spark.createDataFrame([(1, text, text)], "id long, ref string, cand string")
+    assert bleu2(df, "id", "ref", "cand").collect()[0]["bleu"] == pytest.approx(1.0)
