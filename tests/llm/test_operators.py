@@ -134,6 +134,50 @@ def test_decontamination(spark, docs, empty):
     assert decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def smith_waterman(a, b):
+    """Best local alignment's score of two word lists, cell by cell."""
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, row[j] - 1))
+        before, best = row, max(best, *row)
+    return best
+
+
+def test_decontamination_finds_every_copy_above_the_threshold(spark):
+    """Edited copies, each edited in its own way, against full alignment of every document with every item."""
+    rng = random.Random(12)
+    lengths = [8, 8, 9, 10, 11, 12, 20, 40]
+    items = [words(rng, n).split() for n in lengths]
+    for x in items[4:]:  # a pair that many items and documents share
+        x[2:4] = ["very", "common"]
+    texts = []
+    for item in items:
+        n = len(item)
+        copies = [[w if i % 6 != 3 else "new" for i, w in enumerate(item)],  # an edit every six words
+                  [w if i % 6 != 2 else "new" for i, w in enumerate(item)],
+                  [w for i, w in enumerate(item) if i % 6 != 4],
+                  [w for i, w in enumerate(item) for w in ([w, "more"] if i % 2 else [w])],  # no three words in a row are left
+                  item[:3] + ["new"] + item[4:],
+                  item[:n // 2] + words(rng, n // 3).split() + item[n // 2:],
+                  item[n // 3:], item[:n // 2]]
+        for c in copies:
+            texts.append(words(rng, rng.randint(0, 90)).split() + c + words(rng, rng.randint(0, 90)).split())
+    texts += [words(rng, 60).split() + ["very", "common"] * 30 for _ in range(10)] + [["very"], []]
+    expected = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            score = smith_waterman(item, t) / (2 * len(item))
+            if score >= decontam.THRESHOLD:
+                expected[d, i] = score
+    assert len(expected) > 45
+    rows = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(rows, bench).collect()}
+    assert got == expected
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(20):
