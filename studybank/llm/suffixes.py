@@ -4,7 +4,8 @@ A string of SPAN bytes is found at its anchor: the place, among the WINDOW first
 GRAM bytes have the least hash.  Equal strings have their anchors at equal offsets, so
 only suffixes at anchors are sorted, about two in WINDOW.  Anchors whose next CORE bytes occur
 once can't matter and are left out first; anchors whose whole surroundings repeat are
-settled by counting.  The suffixes of the rest are sorted in runs, cut by sampled splitters and exchanged
+settled by counting.  Where one core has very many surroundings, which no splitter could cut, every string of it is
+counted by its hash.  The suffixes of the rest are sorted in runs, cut by sampled splitters and exchanged
 front-coded; loser trees that keep the common prefix of every loser with its winner merge
 them without comparing known prefixes again.  The merged order and its common prefixes tell which strings repeat.
 """
@@ -27,8 +28,10 @@ SPAN, WINDOW, GRAM = 200, 150, 16
 CORE, LEFT = SPAN - WINDOW + 1, WINDOW - 1
 #: Bytes of text worked on at a time; starts of one piece of a long text.
 PIECE = 1 << 20
-#: Suffixes of one run, suffixes merged by one task, suffixes sampled for the splitters.
-RUN, PART, SAMPLE = 100_000, 40_000, 4096
+#: Suffixes of one run, suffixes merged by one task, suffixes sampled for the splitters: at least, and for each part.
+RUN, PART, SAMPLE, PER_PART = 100_000, 40_000, 4096, 16
+#: Most suffixes of one core that are merged; those of others are counted, in runs of so many.
+HOT, HOT_RUN = 2000, 4000
 #: Fills a suffix up at the end of its text; no byte of UTF-8.
 PAD = 0xFF
 
@@ -171,21 +174,29 @@ def _shared(right: np.ndarray) -> np.ndarray:
 
 
 def _runs(splitters: list[bytes]):
+    """Runs of the suffixes at ``ats``; those of hot cores (complements, below 0) are part -1."""
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple] = []
-        count = 0
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        count = {False: 0, True: 0}
+
+        def cut(hot: bool) -> pd.DataFrame:
+            out = _cut(held[hot], []).assign(part=-1) if hot else _cut(held[hot], splitters)
+            held[hot], count[hot] = [], 0
+            return out
+
         for b in batches:
-            for tid, text, packed in zip(b["tid"], b["text"], b["ats"]):
-                packed = np.sort(np.asarray(packed, dtype=np.int64))
-                for lo in range(0, len(packed), RUN):
-                    some = packed[lo:lo + RUN]
-                    held.append((np.full(len(some), tid), some, *_sides(_raw(text), some >> 16)))
-                    count += len(some)
-                    if count >= RUN:
-                        yield _cut(held, splitters)
-                        held, count = [], 0
-        if held:
-            yield _cut(held, splitters)
+            for tid, text, ats in zip(b["tid"], b["text"], b["ats"]):
+                ats = np.asarray(ats, dtype=np.int64)
+                for hot, packed, size in ((False, np.sort(ats[ats >= 0]), RUN), (True, np.sort(~ats[ats < 0]), HOT_RUN)):
+                    for lo in range(0, len(packed), size):
+                        some = packed[lo:lo + size]
+                        held[hot].append((np.full(len(some), tid), some, *_sides(_raw(text), some >> 16)))
+                        count[hot] += len(some)
+                        if count[hot] >= size:
+                            yield cut(hot)
+        for hot in held:
+            if held[hot]:
+                yield cut(hot)
     return write
 
 
@@ -298,6 +309,40 @@ def repeated(lcp: np.ndarray, left: np.ndarray, low: np.ndarray, high: np.ndarra
     return out
 
 
+STRINGS = ["tid", "a", "b", "h", "g"]
+
+
+def _strings(tid: int, at: int, left: bytes, key: bytes) -> Iterator[tuple]:
+    """The strings of a suffix with the bytes before it, as rows of STRINGS, told apart by their md5."""
+    p, high, low = at >> 16, (at >> 8) & 255, at & 255
+    text = left[:high][::-1] + key
+    for j in range(low, high + 1):
+        digest = hashlib.md5(text[high - j:high - j + SPAN]).digest()
+        yield (tid, p - j, p - j + SPAN,
+               int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The strings of runs of hot cores: those that repeat within a run as intervals (h null), and each
+    different one once, with its number in the run."""
+    for b in batches:
+        for shared, tails, lefts, tids, ats in zip(b["shared"], b["tails"], b["lefts"], b["tids"], b["ats"]):
+            rows: list[tuple] = []
+            begin = 0
+            some = zip(np.frombuffer(tids, np.int64).tolist(), np.frombuffer(ats, np.int64).tolist(), _suffixes(shared, tails))
+            for tid, at, (_, key) in some:
+                end = begin + ((at >> 8) & 255)
+                rows.extend(_strings(tid, at, lefts[begin:end], key))
+                begin = end
+            all_ = pd.DataFrame(rows, columns=STRINGS)
+            all_["n"] = all_.groupby(["h", "g"])["a"].transform("size")
+            met = all_[all_["n"] > 1].sort_values(["tid", "a"])
+            new = ((met["tid"] != met["tid"].shift()) | (met["a"] != met["a"].shift() + 1)).cumsum()
+            found = met.groupby(new).agg(tid=("tid", "first"), a=("a", "first"), b=("b", "last"))
+            both = pd.concat([found.assign(h=None, g=None, n=None), all_.drop_duplicates(["h", "g"])])
+            yield both.astype({"tid": "int64", "a": "int64", "b": "int64", "h": "Int64", "g": "Int64", "n": "Int64"})
+
+
 def _merged(splitters: list[bytes]):
     def solve(runs: pd.DataFrame) -> pd.DataFrame:
         part = int(runs["part"].iloc[0])
@@ -334,15 +379,8 @@ def _merged(splitters: list[bytes]):
             found = pd.DataFrame({"tid": tid[row[go]], "a": s[last], "b": s[go] + SPAN, "h": None, "g": None})
         else:
             found = pd.DataFrame({"tid": [], "a": [], "b": [], "h": [], "g": []})
-        rows = []
-        for i, key in crossing:
-            own = np.arange(low[i], high[i] + 1)
-            text = left[i, :high[i]][::-1].tobytes() + key
-            for j in own:
-                digest = hashlib.md5(text[high[i] - j:high[i] - j + SPAN]).digest()
-                rows.append((tid[i], p[i] - j, p[i] - j + SPAN,
-                             int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
-        both = pd.concat([found, pd.DataFrame(rows, columns=["tid", "a", "b", "h", "g"])]) if rows else found
+        rows = [x for i, key in crossing for x in _strings(int(tid[i]), int(at[i]), left[i].tobytes(), key)]
+        both = pd.concat([found, pd.DataFrame(rows, columns=STRINGS)]) if rows else found
         return both.astype({"tid": "int64", "a": "int64", "b": "int64", "h": "Int64", "g": "Int64"})
     return solve
 
@@ -401,27 +439,39 @@ def intervals(docs: DataFrame) -> DataFrame:
     sure = sure.select("tid", a.alias("a"), b.alias("b"))
     # one suffix for each kind of surroundings, where kinds of one core differ and one of them is single
     open_ = stored(kinds.groupBy("core").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least"))
-                   .filter("kinds > 1 and least = 1").select("core"), "suffix-open")
-    chosen = stored(kinds.join(open_, "core").select("one.tid", "one.at"), "suffix-chosen")
-    parts = min(SAMPLE, -(-chosen.count() // PART))
+                   .filter("kinds > 1 and least = 1").select("core", (F.col("kinds") > HOT).alias("hot")), "suffix-open")
+    chosen = stored(kinds.join(open_, "core").select("one.tid", "one.at", "hot"), "suffix-chosen")
+    calm = chosen.filter("not hot")
+    sizes = {r["hot"]: r["count"] for r in chosen.groupBy("hot").count().collect()}
+    parts = -(-sizes.get(False, 0) // PART)
     splitters: list[bytes] = []
     if parts > 1:
-        sample = F.broadcast(chosen.orderBy(F.xxhash64("tid", "at"), "tid", "at").limit(SAMPLE))
+        every = max(1, sizes[False] // max(SAMPLE, PER_PART * parts))
+        sample = F.broadcast(calm.filter(F.pmod(F.xxhash64("tid", "at"), F.lit(every)) == 0).select("tid", "at"))
         at = F.shiftright("at", 16)
         raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-        got = (long.join(sample, "tid").select(F.substring(raw, at.cast("int") + 1, F.lit(SPAN)).alias("k")).distinct().collect())
+        got = (long.join(sample, "tid").select("tid", "at", F.substring(raw, at.cast("int") + 1, F.lit(SPAN)).alias("k")).distinct().collect())
         keys = sorted(bytes(r["k"]).ljust(SPAN, bytes([PAD])) for r in got)
         splitters = sorted({keys[len(keys) * i // parts] for i in range(1, parts)})
-    per_text = chosen.groupBy("tid").agg(F.collect_list("at").alias("ats"))
+    per_text = chosen.groupBy("tid").agg(F.collect_list(F.when(F.col("hot"), F.bitwise_not("at")).otherwise(F.col("at"))).alias("ats"))
     runs = _texts(long).join(per_text, "tid").select("tid", "text", "ats").mapInPandas(_runs(splitters), RUN_SCHEMA)
-    solved = stored(runs.groupBy("part").applyInPandas(_merged(splitters), "tid long, a long, b long, h long, g long"),
-                    "suffix-solved")
+    if True in sizes:
+        runs = stored(runs, "suffix-runs")
+    solved = stored(runs.filter("part >= 0").groupBy("part").applyInPandas(
+        _merged(splitters), "tid long, a long, b long, h long, g long"), "suffix-solved")
     found = sure.union(solved.filter("h is null").select("tid", "a", "b"))
+    # strings of a hot core, and of one that falls on a splitter, are counted whole
+    counted = []
+    if True in sizes:
+        strings = stored(runs.filter("part < 0").mapInPandas(_counted, "tid long, a long, b long, h long, g long, n long"),
+                         "suffix-strings")
+        found = found.union(strings.filter("h is null").select("tid", "a", "b"))
+        counted.append(strings.filter("h is not null"))
     if splitters:
-        # strings of a core that falls on a splitter are counted whole
-        whole = solved.filter("h is not null")
-        twice = stored(whole.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"), "suffix-crossing")
-        found = found.union(whole.join(twice, ["h", "g"]).select("tid", "a", "b"))
+        counted.append(solved.filter("h is not null").withColumn("n", F.lit(1).cast("long")))
+    for whole in counted:
+        twice = stored(whole.groupBy("h", "g").agg(F.sum("n").alias("n")).filter("n > 1").select("h", "g"), "suffix-crossing")
+        found = found.union(whole.filter("n = 1").join(twice, ["h", "g"]).select("tid", "a", "b"))
     return found.distinct()
 
 

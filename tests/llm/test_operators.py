@@ -68,6 +68,43 @@ def test_suffixes(docs, empty, monkeypatch):
     assert suffixes.without_repeats(empty).count() == 0
 
 
+def test_a_passage_of_very_many_documents_is_not_merged_by_one_task(spark, monkeypatch):
+    rng = random.Random(21)
+    passages = [words(rng, 90), words(rng, 120)]
+    texts = [words(rng, 40) + " " + passages[i % 4 == 0] + " " + words(rng, 40) for i in range(300)]
+    texts += [passages[0], "same left " + passages[0], "the same left " + passages[0] + " right", texts[0][:500], texts[5]]
+    raws = [t.encode() for t in texts]
+    seen = {}
+    for raw in raws:
+        for s in range(len(raw) - 199):
+            seen[raw[s:s + 200]] = seen.get(raw[s:s + 200], 0) + 1
+    expected = []
+    for i, raw in enumerate(raws):
+        gone = np.zeros(len(raw), dtype=bool)
+        for s in range(len(raw) - 199):
+            if seen[raw[s:s + 200]] > 1:
+                gone[s:s + 200] = True
+        expected.append((i, int(gone.sum()), hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()))
+    merged = suffixes._merged
+
+    def bounded(splitters):
+        solve = merged(splitters)
+
+        def check(runs):
+            assert sum(len(x) // 8 for x in runs["ats"]) <= 80, "too many suffixes in one task"
+            return solve(runs)
+        return check
+
+    monkeypatch.setattr(suffixes, "_merged", bounded)
+    monkeypatch.setattr(suffixes, "PART", 20)
+    monkeypatch.setattr(suffixes, "SAMPLE", 4)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for hot in (25, 40):
+        monkeypatch.setattr(suffixes, "HOT", hot, raising=False)
+        got = suffixes.without_repeats(rows).collect()
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == expected
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for k in (1, 2, 3, 7):
