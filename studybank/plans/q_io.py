@@ -151,19 +151,13 @@ SELECT DISTINCT CASE lang WHEN 'en' THEN 'En Words' WHEN 'fr' THEN 'Fr Words' WH
 FROM documents WHERE regexp_extract(text, '^([A-Za-z]+)', 1) <> ''
 """)
 def q_phrase_dictionary(spark, sf_dir):
-    """Phrase files per language (``<lang>_words.txt``) holding the distinct
+    """Phrase folders per language (``<lang>_words``) holding the distinct
     ASCII first words of its documents, one per line (a blank line included)."""
     out = shared_dir(spark, "phrases")
     d = B.table(spark, sf_dir, "documents")
     word = F.lower(F.regexp_extract("text", r"^([A-Za-z]+)", 1))
-    lines = d.select(F.concat(F.lit(out + "/"), F.col("lang"), F.lit("_words.txt")).alias("path"),
-                     word.alias("w"))
-    # a dictionary file lists distinct phrases: the list per file is bounded by
-    # the vocabulary, not by the number of documents
-    files = lines.distinct().groupBy("path").agg(
-        F.concat_ws("\n", F.array_sort(F.collect_list("w"))).alias("body"))
-    W.materialise(W.write_files(files.select("path", F.encode("body", "utf-8").alias("data"))))
-    return R.read_phrases(spark, out, "mention").distinct()
+    W.write_phrases(d.select(F.concat("lang", F.lit("_words")).alias("observation"), word.alias("phrase")), out)
+    return R.read_phrase_folders(spark, out, "mention").distinct()
 
 
 HISTORY_SQL = ("SELECT * FROM (" + metrics_sql(1, ", 'k1' AS \"case\"") + ") UNION ALL SELECT * FROM ("

@@ -96,6 +96,13 @@ def read_phrases(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     return load_phrases(lines, kind)
 
 
+def read_phrase_folders(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """The phrase folders of ``write_phrases`` -> ``(observation, phrase, kind)``."""
+    from studybank.operators.mentions import load_phrases
+    lines = spark.read.schema("value string, observation string").text(folder)
+    return load_phrases(lines.select("value", F.concat("observation", F.lit(".txt")).alias("path")), kind)
+
+
 def read_patterns(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """Assertion pattern files in fixed roles -> ``(role, pattern)``."""
     out = None

@@ -101,6 +101,11 @@ def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -
     return df.select(path_col, data_col).mapInPandas(run, f"{path_col} string")
 
 
+def write_phrases(df: DataFrame, out: str) -> None:
+    """Distinct phrases ``(observation, phrase)``, one a line, in a folder ``<observation>`` each of any number of files."""
+    df.select("observation", "phrase").distinct().write.mode("overwrite").partitionBy("observation").text(out)
+
+
 def write_images(df: DataFrame, out: str) -> None:
     """Resized images as Parquet rows ``(path, height, width, nChannels, data)``."""
     df.select("path", "height", "width", "nChannels", "data").write.mode("overwrite").parquet(out)

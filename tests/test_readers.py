@@ -1,6 +1,7 @@
 """Readers for the plug-in files: assertion patterns, phrase files, model config."""
 
 import json
+import re
 
 from studybank.session import shared_dir
 from studybank.sources import readers as R
@@ -22,6 +23,20 @@ def test_read_patterns_roles_and_blank_lines(spark):
                    ("pre_uncertain", "(^| )may {m}")]
 
 
+def test_phrase_dictionary_gathers_no_vocabulary(spark, monkeypatch):
+    """A language's words are written as rows, in several files, not as one cell."""
+    from studybank.plans import q_io
+    from studybank.sources import writers as W
+    plans = []
+    seen = W.write_files
+    monkeypatch.setattr(W, "write_files", lambda df, *a: plans.append(df) or seen(df, *a))
+    got = sorted(map(tuple, q_io.q_phrase_dictionary(spark, "/root/testdata/sf0.001").collect()))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("lang", "text").collect()
+    first = {(r.lang, m.group().lower()) for r in docs if (m := re.match("[A-Za-z]+", r.text or ""))}
+    assert got == sorted((lang.capitalize() + " Words", w, "mention") for lang, w in first)
+    assert not plans
+
+
 def test_read_phrases_observation_names(spark):
     root = shared_dir(spark, "phr_test")
     _write(spark, f"{root}/pleural_effusion.txt", "effusion\n\npleural_fluid\n")
