@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from studybank.llm.common import HashSet, distinct, shingle_hashes, word_hashes
 
-#: Words of the shortest item.
+#: Words of the shortest item that may be edited; shorter ones must be held as they are.
 MIN_WORDS = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Least share of the item's own score.
@@ -45,17 +45,17 @@ class Items:
         self.ids = ids
         self.words = [h[a:b] for a, b in zip(cut, cut[1:])]
         length = np.diff(cut)
-        self.bar = np.full(len(ids), threshold)
+        self.bar = np.where(length < MIN_WORDS, 1.0, threshold)
         pairs = np.ceil((2 * self.bar - 1) * length - 1 - 1e-9).astype(np.int64)
         size = np.where(pairs > 0, 2, 1)
         self.need = np.where(pairs > 0, pairs, np.maximum(1, np.ceil(self.bar * length - 1e-9).astype(np.int64)))
         #: Words by which leads of one copy can differ, and at least the item's own.
         self.unit = np.maximum(length, np.ceil(2 * (1 - self.bar) * length).astype(np.int64))
-        self.sizes = [int(n) for n in np.unique(size[length >= MIN_WORDS])]
+        self.sizes = [int(n) for n in np.unique(size[length > 0])]
         found = []
         for n in self.sizes:
             gram, of, at = shingle_hashes(h, doc, n)
-            own = (size[of] == n) & (length[of] >= MIN_WORDS)
+            own = size[of] == n
             found.append((gram[own], of[own], at[own] - cut[of[own]]))
         none = np.zeros(0, dtype=np.int64)
         found.append((none.view(np.uint64), none, none))
@@ -222,7 +222,7 @@ def _counts(docs: DataFrame, items: Items) -> dict[int, int]:
 
 
 def hits_of(items: Items, text: Column) -> Column:
-    """Array of the items that a text holds a copy of (HITS); null and short texts have none."""
+    """Array of the items that a text holds a copy of (HITS); null texts have none."""
     packed = pickle.dumps(items)
 
     @F.pandas_udf("string")
@@ -240,8 +240,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
     ``score`` is the best local alignment's over the item's own (1: all words in order), at least
     ``threshold``.  Words are lower-cased runs of letters and digits, counted from 0.  Items of fewer than
-    MIN_WORDS words tell nothing and take no part, nor do null items; repeated items count once, items
-    of one id and different texts each.  Null and empty texts match nothing; repeated documents
+    MIN_WORDS words count only whole and unedited (score 1); null items and items without words take no part; repeated
+    items count once, items of one id and different texts each.  Null and empty texts match nothing; repeated documents
     are reported each.  Other columns are ignored."""
     out = None
     for items in blocks(docs, benchmark, threshold):

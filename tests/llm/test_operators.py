@@ -215,6 +215,23 @@ def test_decontamination_finds_every_copy_above_the_threshold(spark):
     assert got == expected
 
 
+def test_short_items_are_matched_whole(spark):
+    rng = random.Random(14)
+    items = [words(rng, n).split() for n in range(1, 8)]
+    texts, expected = [], set()
+    for i, item in enumerate(items):
+        item[0] = f"item{i}"
+        before, after = words(rng, 40).split(), words(rng, 40).split()
+        for copy, whole in ((item, True), (item[:1] + ["new"] + item[1:], not i), (item[1:], False),
+                            ([x.upper() + "," for x in item], True), (["new"] + item[1:], False)):
+            if whole:
+                expected.add((len(texts), i, 1.0, 40, 40 + len(item)))
+            texts.append(" ".join(before + copy + after))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(99, "?!")], "item_id long, text string")
+    assert {tuple(r) for r in decontam.contaminated(rows, bench).collect()} == expected
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(20):
