@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studybank.llm import chat, decontam, jaccard, langid, mixing, sharding, suffixes, topk, toxicity, warc
+from studybank.llm import (
+    chat, decontam, jaccard, langid, mixing, negatives, sharding, suffixes, tokens, topk, toxicity, warc, whitening)
 from studybank.llm.common import table
 from studybank.session import shared_dir
 
@@ -174,3 +175,46 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated strings of 200 bytes cover in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffixes.without_repeats(docs, texts=False).drop("kept")
+
+
+#: Vocabulary file of op11, by its name among the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+@query("op11_tokens")
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, through a cache that this query begins empty."""
+    import public_tokenizers
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # white space only separates this vocabulary's tokens, and case is dropped
+    tokenizer = tokens.load(public_tokenizers.path(VOCABULARY), fold_space=True, fold_case=True)
+    return tokens.token_counts(docs, tokenizer, shared_dir(spark, "token-cache"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the four leading components."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op13_negatives", """
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND label IS NOT NULL
+             AND len(embedding) = len(list_filter(embedding, lambda x: isfinite(x)))),
+p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+             list_inner_product(a.q, b.q)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM p WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+       other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3""")
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every vector whose vec_id is divisible by 50, some labels changed first."""
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(vectors.filter("vec_id % 50 = 0"), vectors)
