@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studybank.llm.common import byte_size, stored
@@ -38,8 +38,8 @@ _OPEN: dict[str, object] = {}
 class Tokenizer:
     """A public tokenizer: its library (``tokenizers`` or ``sentencepiece``) and the bytes of its file.
 
-    ``fold_space``: white space only separates tokens, so runs of ASCII white space are one blank and ends
-    are trimmed.  ``fold_case``: ASCII case makes no difference, so ASCII texts without a special string are
+    ``fold_space``: white space only separates tokens, so ASCII white space becomes blanks, runs of up to eight one
+    blank, and ends are trimmed.  ``fold_case``: ASCII case makes no difference, so ASCII texts without a special string are
     lower-cased.  Neither may be set for a tokenizer that tells such texts apart."""
 
     library: str
@@ -60,19 +60,25 @@ class Tokenizer:
             return []
         return [t["content"] for t in json.loads(self.model).get("added_tokens", [])]
 
-    def normalised(self, text: Column) -> Column:
-        """Content of the text: equal contents have equal counts (null: empty)."""
-        text = F.coalesce(text, F.lit(""))
+    def with_content(self, df: DataFrame) -> DataFrame:
+        """``df`` (text) with ``content``, the normalised text: equal contents have equal counts (null: empty).
+
+        Each step is a column of its own, so that none is computed again where it is used twice."""
+        text = F.coalesce("text", F.lit(""))
         if self.fold_space:
-            text = F.regexp_replace(text, r"[ \t\n\r\f\x0B]+", " ")
+            for c in "\t\n\r\f\x0b":
+                text = F.replace(text, F.lit(c), F.lit(" "))
+            for run in (4, 2, 2):
+                text = F.replace(text, F.lit(" " * run), F.lit(" "))
             text = F.trim(text)
-        if self.fold_case:
-            lower = F.lower(text)
-            plain = F.octet_length(text) == F.length(text)
-            for s in self.special:
-                plain &= ~F.contains(lower, F.lit(s.lower()))
-            text = F.when(plain, lower).otherwise(text)
-        return text
+        df = df.withColumn("content", text)
+        if not self.fold_case:
+            return df
+        df = df.withColumn("lower", F.lower("content"))
+        plain = F.octet_length("content") == F.length("content")
+        for s in self.special:
+            plain &= ~F.contains("lower", F.lit(s.lower()))
+        return df.withColumn("content", F.when(plain, F.col("lower")).otherwise(F.col("content"))).drop("lower")
 
     def opened(self):
         """Counts of an Arrow array of contents, as a function; the library's own object is kept in the worker."""
@@ -188,10 +194,8 @@ def token_counts(docs: DataFrame, tokenizer: Tokenizer, cache: str, limit: int =
     empty; repeated rows and null doc_ids are rows like others; other columns are ignored.  Texts are counted whole."""
     spark = docs.sparkSession
     path = f"{cache.rstrip('/')}/version={tokenizer.version}"
-    content = tokenizer.normalised(F.col("text"))
-    digest = F.unhex(F.sha2(F.col("content").cast("binary"), 256))
-    texts = docs.select("doc_id", byte_size(F.col("text")).alias("n_bytes"), content.alias("content"))
-    texts = texts.withColumn("digest", digest)
+    texts = tokenizer.with_content(docs.select("doc_id", "text")).withColumn("n_bytes", byte_size(F.col("text")))
+    texts = texts.withColumn("digest", F.unhex(F.sha2(F.col("content").cast("binary"), 256)))
     keyed = stored(texts.select("doc_id", "n_bytes", "digest"), "tokens-keyed")
 
     copies = stored(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("copies")), "tokens-digests")
