@@ -14,15 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from studybank.llm.blocks import PACK_BYTES, Rows, component_bytes, packed
 from studybank.llm.common import stored
 from studybank.llm.topk import quantised, usable
 
-#: Bytes of components of the anchors and of the candidates of a cell, and of one packed block.
-ANCHOR_BYTES, CELL_BYTES, PACK_BYTES = 1 << 24, 1 << 25, 1 << 20
+#: Bytes of components of the anchors and of the candidates of a cell.
+ANCHOR_BYTES, CELL_BYTES = 1 << 24, 1 << 25
 #: Anchors and candidates of a tile, and components multiplied at a time.
 TILE_ANCHORS, TILE_ROWS, SLAB = 512, 4096, 1024
 #: Least side that is split again.
@@ -69,72 +69,7 @@ def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out[:a.shape[0], :b.shape[1]]
 
 
-def _narrow(x: np.ndarray) -> np.ndarray:
-    """In the smallest integer type that holds all values."""
-    low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
-    for t in (np.int16, np.int32):
-        if np.iinfo(t).min <= low and high <= np.iinfo(t).max:
-            return x.astype(t)
-    return x
-
-
-def _packed(rows: DataFrame, cells: int, name: str, pack_bytes: int) -> DataFrame:
-    """Blocks of rows (id, label, q, wants) as binary, of about ``pack_bytes`` of components, dealt over cells."""
-    from pyspark import TaskContext
-
-    def flat(column) -> tuple[bytes, np.ndarray]:
-        return np.diff(column.offsets.to_numpy()).astype(np.int32).tobytes(), column.flatten().to_numpy(zero_copy_only=False)
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, seq = TaskContext.get().partitionId(), 0
-        for b in batches:
-            sizes = np.diff(b.column("q").offsets.to_numpy())
-            ends = np.cumsum(sizes.astype(np.int64) * 8)
-            lo = 0
-            while lo < b.num_rows:
-                before = ends[lo - 1] if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, before + pack_bytes, side="right")))
-                part = b.slice(lo, hi - lo)
-                lengths, values = flat(part.column("q"))
-                counts, wants = flat(part.column("wants"))
-                values = _narrow(values.astype(np.int64))
-                yield pa.RecordBatch.from_pydict({
-                    name: pa.array([(at + 31 * seq) % cells], pa.int32()),
-                    "ids": [part.column("id").to_numpy().astype(np.int64).tobytes()],
-                    "labels": [part.column("label").to_numpy().astype(np.int64).tobytes()],
-                    "lengths": [lengths], "kind": [values.dtype.str], "parts": [values.tobytes()],
-                    "counts": [counts], "wants": [wants.astype(np.int64).tobytes()]})
-                lo, seq = hi, seq + 1
-
-    return rows.mapInArrow(pack, f"{name} int, ids binary, labels binary, lengths binary, kind string, parts binary, "
-                                 "counts binary, wants binary")
-
-
-class _Rows:
-    """Rows of one side of a cell: ids, labels, components of any number each, wanted scores."""
-
-    def __init__(self, packs: pd.DataFrame):
-        def joined(name, kind):
-            return np.concatenate([np.frombuffer(x, kind) for x in packs[name]] or [np.zeros(0, kind)])
-
-        self.ids, self.labels = joined("ids", np.int64), joined("labels", np.int64)
-        self.lengths = joined("lengths", np.int32).astype(np.int64)
-        self.first = np.cumsum(self.lengths) - self.lengths
-        self.parts = np.concatenate([np.frombuffer(x, k) for x, k in zip(packs["parts"], packs["kind"])] or [np.zeros(0, np.int16)])
-        counts = joined("counts", np.int32)
-        self.wants = np.split(joined("wants", np.int64), np.cumsum(counts)[:-1]) if len(counts) else []
-
-    def slab(self, rows: np.ndarray, lo: int, hi: int) -> np.ndarray:
-        """Components lo to hi of ``rows``, 0 where a row has none."""
-        take = np.clip(self.lengths[rows] - lo, 0, hi - lo)
-        out = np.zeros((len(rows), hi - lo), dtype=np.int64)
-        i = np.repeat(np.arange(len(rows)), take)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(take) - take, take)
-        out[i, j] = self.parts[self.first[rows][i] + lo + j]
-        return out
-
-
-def _products(a: _Rows, rows_a: np.ndarray, b: _Rows, rows_b: np.ndarray) -> np.ndarray:
+def _products(a: Rows, rows_a: np.ndarray, b: Rows, rows_b: np.ndarray) -> np.ndarray:
     """Inner products of all pairs, a slab of components at a time; rows that end before a slab don't enter it."""
     out = np.zeros((len(rows_a), len(rows_b)), dtype=np.int64)
     most = min(a.lengths[rows_a].max(initial=0), b.lengths[rows_b].max(initial=0))
@@ -197,7 +132,7 @@ def _tiles(rows: np.ndarray, size: int) -> Iterator[np.ndarray]:
 
 def _positives_of_cell(k: int):
     def mine(anchors: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        a, c = _Rows(anchors), _Rows(cands)
+        a, c = Rows(anchors), Rows(cands)
         heaps = _Heaps(len(a.ids), k)
         for label in np.unique(a.labels):
             rows_a = np.flatnonzero(a.labels == label)
@@ -221,7 +156,7 @@ def _window(score: int, low: int, high: int) -> tuple[int, int]:
 
 def _negatives_of_cell(k: int, low: int, high: int):
     def mine(anchors: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        a, c = _Rows(anchors), _Rows(cands)
+        a, c = Rows(anchors), Rows(cands)
         wanted = [(r, int(p), *_window(int(p), low, high)) for r, scores in enumerate(a.wants) for p in scores]
         wanted = [w for w in wanted if w[2] <= w[3]]
         heaps = _Heaps(len(wanted), k)
@@ -251,16 +186,13 @@ def _negatives_of_cell(k: int, low: int, high: int):
 
 def _grid(anchors: DataFrame, cands: DataFrame, cell, schema: str) -> DataFrame:
     """``cell`` applied to every block of anchors with every block of candidates."""
-    def bytes_of(df):
-        return df.agg(F.sum(F.size("q").cast("long") * 8).alias("b")).first()["b"] or 0
-
     spark = cands.sparkSession
-    size = bytes_of(cands)
+    size = component_bytes(cands)
     cells = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / CELL_BYTES))
-    groups = max(1, math.ceil(bytes_of(anchors) / ANCHOR_BYTES))
+    groups = max(1, math.ceil(component_bytes(anchors) / ANCHOR_BYTES))
     pack = max(1 << 12, min(PACK_BYTES, size // (2 * cells)))
-    a = _packed(anchors, groups, "g", PACK_BYTES).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    c = _packed(cands, cells, "c", pack).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    a = packed(anchors, groups, "g", PACK_BYTES).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    c = packed(cands, cells, "c", pack).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     return a.groupBy("g", "c").cogroup(c.groupBy("g", "c")).applyInPandas(cell, schema)
 
 
@@ -286,11 +218,10 @@ def hard_negatives(anchors: DataFrame, vectors: DataFrame, positives: int = 5, n
         return df.filter(usual).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"),
                                        quantised(F.col("embedding")).alias("q")).distinct()
 
-    none = F.array().cast("array<bigint>").alias("wants")
-    cands = stored(ready(vectors).select("*", none), "negatives-rows")
+    cands = stored(ready(vectors), "negatives-rows")
     asked = stored(ready(anchors).groupBy("id").agg(F.min(F.struct("q", "label")).alias("m"))
                    .select("id", "m.label", "m.q"), "negatives-anchors")
-    found = _grid(asked.select("*", none), cands, _positives_of_cell(positives),
+    found = _grid(asked, cands, _positives_of_cell(positives),
                   "anchor_id long, positive_id long, positive_score long")
     best = stored(_ranked(found, ["anchor_id"], "positive_score", "positive_id", positives).drop("rank"), "negatives-positives")
     # at most ``positives`` scores an anchor
