@@ -113,6 +113,20 @@ def attach_labels(embs: DataFrame, long: DataFrame, level: str = "study",
     raise ValueError("level must be 'study' or 'sentence'")
 
 
+def label_cells(rows: DataFrame, long: DataFrame, level: str, ident: str, key: str = "study_id",
+                target: str = "target") -> DataFrame:
+    """``(id, cat, val)``: the non-null label cells of ``rows`` (``ident``, study, text), the highest value of each category
+    over the row's study (``level="study"``) or over its sentence (``"sentence"``: equal study and text)."""
+    own = rows.select(F.col(ident).alias("id"), F.col(key).alias("_k"), F.col(target).alias("_t"))
+    lab = long.where("vals IS NOT NULL").select("mimic_id", "sents", "cat", "vals")
+    same = F.col("_k") == F.col("mimic_id")
+    if level == "sentence":
+        same &= F.col("_t") == F.col("sents")
+    elif level != "study":
+        raise ValueError("level must be 'study' or 'sentence'")
+    return own.join(lab, same).groupBy("id", "cat").agg(F.max("vals").alias("val"))
+
+
 def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id",
                   every: bool = False) -> DataFrame:
     """Attach the report text of each study: the smallest, so the join never fans out, or with

@@ -94,8 +94,9 @@ def query_scores(queries: DataFrame, top: DataFrame, query_labels: DataFrame,
 def retrieval_metrics(scores: DataFrame, k: int) -> DataFrame:
     """One row: flat-hit rate over all queries, hits, macro precision / recall
     over evaluated queries, F1 of those means (NULL when undefined), mean
-    duplicates, k and the evaluated count."""
+    duplicates, k and the evaluated count; mean BLEU if the scores have it."""
     ev = F.col("status") == "evaluated"
+    with_bleu = "bleu" in scores.columns
     agg = scores.agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum(F.col("flat_hit").cast("int")).alias("_hits"),
@@ -103,6 +104,7 @@ def retrieval_metrics(scores: DataFrame, k: int) -> DataFrame:
         F.avg(F.when(ev, F.col("recall"))).alias("recall"),
         F.avg(F.when(ev, F.col("duplicates").cast("double"))).alias("duplicates"),
         F.sum(ev.cast("long")).alias("test_instances"),
+        *([F.avg(F.when(ev, F.col("bleu"))).alias("bleu")] if with_bleu else []),
     )
     p, r = F.col("precision"), F.col("recall")
     return agg.select(
@@ -113,6 +115,7 @@ def retrieval_metrics(scores: DataFrame, k: int) -> DataFrame:
         F.col("duplicates"),
         F.lit(k).cast("int").alias("k"),
         F.col("test_instances").cast("long").alias("test_instances"),
+        *([F.col("bleu")] if with_bleu else []),
     )
 
 
@@ -120,51 +123,88 @@ def skip_accounting(scores: DataFrame) -> DataFrame:
     return scores.groupBy("status").agg(F.count(F.lit(1)).alias("queries"))
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
-    """Array of space-joined n-grams of a token array.  The array is bound once as
-    a lambda variable: named inside the inner lambda, its whole expression (the
-    split of the text) would be computed again for every n-gram."""
-    if n == 1:
-        return tokens
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: named twice, its whole expression would be computed twice."""
+    return F.transform(F.array(value), use)[0]
 
-    def grams(t: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(t) - (n - 1))
-        return F.when(F.size(t) >= n, F.transform(at, lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(
-            F.array().cast("array<string>"))
 
-    return F.transform(F.array(tokens), grams)[0]
+def _bigrams(tokens: Column) -> Column:
+    """Pairs of neighbouring tokens, joined by a blank (tokens hold none)."""
+    return F.zip_with(F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))), F.slice(tokens, 2, F.size(tokens)),
+                      lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _numbered(grams: Column) -> Column:
+    """Each gram with its occurrence's number (``the``, ``the`` -> ``0 the``, ``1 the``): a multiset as a set.
+
+    The grams are sorted, so equal ones are runs; a run is numbered from its first place.  One sort, then linear."""
+    def number(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s) - 1)
+        firsts = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+
+        def runs(starts: Column) -> Column:
+            def run(first: Column, nth: Column) -> Column:
+                last = F.coalesce(F.get(starts, nth + 1), F.size(s)) - first - 1
+                return F.transform(F.sequence(F.lit(0), last), lambda o: F.concat(o.cast("string"), F.lit(" "), F.get(s, first)))
+            return F.flatten(F.transform(starts, run))
+
+        return F.when(F.size(s) > 0, _bound(firsts, runs)).otherwise(F.array().cast("array<string>"))
+
+    return _bound(F.sort_array(grams), number)
+
+
+def clipped_matches(cand: Column, ref: Column) -> Column:
+    """How many of the candidate's grams the reference holds, each counted as often as both hold it."""
+    return F.size(F.array_intersect(_numbered(cand), _numbered(ref)))
+
+
+def bleu2_score(cand: Column, ref: Column) -> Column:
+    """Sentence BLEU with weights (0.5, 0.5) of two token arrays, within the row.
+
+    Zero unigram or bigram overlap (or an empty candidate) gives 0; brevity penalty ``exp(1 - r/c)`` when ``c <= r``."""
+    def score(x: Column) -> Column:
+        c, r = x["c"], x["r"]
+        m1, m2 = clipped_matches(c, r), clipped_matches(_bigrams(c), _bigrams(r))
+        found = F.struct(F.size(c).alias("c"), F.size(r).alias("r"), m1.alias("m1"), m2.alias("m2"))
+        return _bound(found, _bleu2_of)
+
+    return _bound(F.struct(cand.alias("c"), ref.alias("r")), score)
+
+
+def _bleu2_of(n: Column) -> Column:
+    penalty = F.when(n["c"] > n["r"], F.lit(1.0)).otherwise(F.exp(1 - F.try_divide(n["r"].cast("double"), n["c"].cast("double"))))
+    geo = F.exp(0.5 * F.log(n["m1"] / F.greatest(F.lit(1), n["c"])) + 0.5 * F.log(n["m2"] / F.greatest(F.lit(1), n["c"] - 1)))
+    return F.when((n["c"] == 0) | (n["m1"] == 0) | (n["m2"] == 0), F.lit(0.0)).otherwise(penalty * geo)
+
+
+def report_tokens(text: Column) -> Column:
+    """Tokens of a reference report: newlines deleted, ``[^0-9a-zA-Z ]`` runs as spaces, split."""
+    return alnum_tokens(strip_newlines(text))
 
 
 def bleu2(df: DataFrame, key: str, ref: str, cand: str, out: str = "bleu") -> DataFrame:
-    """Sentence BLEU with weights (0.5, 0.5) per row, after newline deletion and
-    ``[^0-9a-zA-Z ]`` -> space cleaning.  Clipped n-gram counts are computed
-    relationally (explode, count per gram, ``least``), so a 20,000-word report
-    costs linear work and one report never forms an unbounded group.  Zero
-    unigram or bigram overlap (or an empty candidate) gives 0; brevity penalty
-    ``exp(1 - r/c)`` when ``c <= r``."""
-    toks = df.select(key, alnum_tokens(strip_newlines(F.col(ref))).alias("_r"),
-                     alnum_tokens(strip_newlines(F.col(cand))).alias("_c"))
-    grams = toks.select(key, F.explode(F.array(
-        *[F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"),
-                   _ngrams(F.col(col), n).alias("g"))
-          for n in (1, 2) for side, col in (("c", "_c"), ("r", "_r"))])).alias("x"))
-    flat = grams.select(key, "x.n", "x.side", F.explode("x.g").alias("gram"))
-    counts = flat.groupBy(key, "n", "gram").agg(
-        F.sum((F.col("side") == "c").cast("long")).alias("cc"),
-        F.sum((F.col("side") == "r").cast("long")).alias("rc"))
-    clipped = counts.groupBy(key).agg(
-        F.sum(F.when(F.col("n") == 1, F.least("cc", "rc"))).alias("m1"),
-        F.sum(F.when(F.col("n") == 2, F.least("cc", "rc"))).alias("m2"))
-    lens = toks.select(key, F.size("_c").alias("c_len"), F.size("_r").alias("r_len"))
-    j = lens.join(clipped, key, "left").fillna(0, ["m1", "m2"])
-    c_len, r_len = F.col("c_len"), F.col("r_len")
-    bp = F.when(c_len > r_len, F.lit(1.0)).otherwise(
-        F.exp(1 - r_len.cast("double") / c_len.cast("double")))
-    geo = F.exp(0.5 * F.log(F.col("m1") / F.greatest(F.lit(1), c_len))
-                + 0.5 * F.log(F.col("m2") / F.greatest(F.lit(1), c_len - 1)))
-    score = F.when((F.col("m1") == 0) | (F.col("m2") == 0) | (c_len == 0), F.lit(0.0)) \
-             .otherwise(bp * geo)
-    return j.select(key, score.alias(out))
+    """``(key, bleu)``: BLEU-2 of each row's candidate text against its reference text, both cleaned alike.
+
+    All within the row, so nothing is shuffled; work is a sort of each row's tokens, and a text of any length is one row's."""
+    return df.select(key, bleu2_score(report_tokens(F.col(cand)), report_tokens(F.col(ref))).alias(out))
+
+
+def retrieved_texts(top: DataFrame, bank: DataFrame, bank_key: str = "bank_id", text: str = "target") -> DataFrame:
+    """``(query_id, texts)``: the retrieved texts of each query in rank order (at most k a query)."""
+    own = top.select("query_id", "rank", "bank_id").join(
+        bank.select(F.col(bank_key).alias("bank_id"), F.col(text).alias("_t")), "bank_id")
+    return own.groupBy("query_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t"))), lambda x: x["_t"]).alias("texts"))
+
+
+def retrieved_bleu(reports: DataFrame, texts: DataFrame, key: str = "query_id", report: str = "report") -> DataFrame:
+    """``(query_id, bleu)``: BLEU-2 of a query's retrieved texts, joined by ``". "`` in rank order, against its own report.
+
+    ``texts`` is the result of ``retrieved_texts``.  A null report counts as empty, null texts are left out of the joined one.
+    Only the reference loses its newlines; in the joined text they are spaces like any other mark."""
+    pairs = reports.select(F.col(key).alias("query_id"), F.coalesce(report, F.lit("")).alias("_ref")).join(texts, "query_id")
+    made = alnum_tokens(F.array_join("texts", ". "))
+    return pairs.select("query_id", bleu2_score(made, report_tokens(F.col("_ref"))).alias("bleu"))
 
 
 def predictions(queries: DataFrame, top: DataFrame, bank: DataFrame, scores: DataFrame,
@@ -172,11 +212,7 @@ def predictions(queries: DataFrame, top: DataFrame, bank: DataFrame, scores: Dat
                 bank_key: str = "bank_id", bank_text: str = "target") -> DataFrame:
     """Prediction records ``(study_id, query, hit_classes, out)`` for evaluated
     queries; ``out`` lists the retrieved texts in rank order."""
-    texts = top.join(bank.select(F.col(bank_key).alias("bank_id"),
-                                 F.col(bank_text).alias("_t")), "bank_id")
-    outs = texts.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "_t"))),
-                    lambda x: x["_t"]).alias("out"))
+    outs = retrieved_texts(top, bank, bank_key, bank_text).withColumnRenamed("texts", "out")
     q = queries.select(F.col(query_key).alias("query_id"), "study_id",
                        strip_newlines(F.col(query_text)).alias("query"))
     return (scores.where(F.col("status") == "evaluated")

@@ -1,29 +1,43 @@
 """Exact cosine top-k of every query against a bank, without collecting the bank.
 
-One plan for every size (cost |Q|·|B|·d, emitted rows at most |Q|·k per block
-of the bank, never |Q|·|B|): both sides are dealt by the hash of their key into
-blocks of about ``block_rows`` vectors, and every block of queries meets every
-block of the bank in one cell of a grid, as in a blocked matrix product.  A cell
-is scored by matmul and keeps k rows per query.  The final top-k is a
-``row_number() <= k`` window on ``query_id``, before whose shuffle Spark puts a
-partial ``WindowGroupLimit``.  No vector reaches the driver, which only counts
-the rows of both sides.  Keys must be unique, as in any bank: a key on many rows
-puts them all in one block.
-
-Ties are broken by the smaller ``bank_id``; zero vectors score 0.  Scores are
-computed in float64 so they agree with a SQL evaluation to ~1e-15.
+One plan for every size (cost |Q|·|B|·d at most, emitted rows at most |Q|·k per
+cell, never |Q|·|B|): both sides are packed where they lie into blocks of raw
+components, sized by bytes and dealt over the rows and columns of a grid; every
+group of queries meets every cell of the bank once, as in a blocked matrix
+product.  The grid is rectangular: a bank vector is sent once for each group of
+queries (``QUERY_BYTES``), a query once for each cell of the bank
+(``BANK_BYTES``).  Within a cell the rows lie in tiles round pivots; a query keeps
+a running heap of its k best and skips a tile whose radius puts every row of it
+below the heap (angles obey the triangle inequality, so nothing is lost).  The final
+top-k is a ``row_number() <= k`` window on ``query_id``, before whose shuffle Spark
+puts a partial ``WindowGroupLimit``.  No vector reaches the driver, which only learns
+the rows and components of both sides.
+
+Ties are broken by the smaller ``bank_id``; zero vectors score 0; rows without a
+vector take no part.  Scores are computed in float64 so they agree with a SQL
+evaluation to ~1e-15.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of the queries and of the bank rows that meet in a cell, and of one packed block.
+QUERY_BYTES, BANK_BYTES, PACK_BYTES = 1 << 24, 1 << 25, 1 << 20
+#: Queries scored at a time; bank rows of a tile.
+QUERY_CHUNK, TILE_ROWS = 512, 2048
+#: Rounding that a bound may be wrong by.
+_SLACK = 1e-9
+
+
 def _schema(group: str | None, group_type=T.LongType()) -> T.StructType:
     fields = [T.StructField("query_id", T.LongType(), False)]
     if group:
@@ -33,9 +47,6 @@ def _schema(group: str | None, group_type=T.LongType()) -> T.StructType:
     return T.StructType(fields)
 
 
-QUERY_CHUNK = 512
-
-
 def _normalise(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -43,42 +54,121 @@ def _normalise(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _stack(vectors: pd.Series, width: int | None = None) -> np.ndarray:
-    if len(vectors) == 0:
-        return np.zeros((0, width or 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _packed(df: DataFrame, ident: str, cell: str, cells: int, rows: int | None, group: str | None = None) -> DataFrame:
+    """Blocks of rows (``ident``, v[, group]) as binary, of about PACK_BYTES (or ``rows`` rows), dealt over ``cells``.
+
+    A block holds one value of ``group``."""
+    from pyspark import TaskContext
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seq = TaskContext.get().partitionId(), 0
+        for b in batches:
+            sizes = np.diff(b.column("v").offsets.to_numpy())
+            width = int(sizes.max(initial=0))
+            if (sizes != width).any():
+                raise ValueError("vectors of different lengths")
+            most = rows or max(1, PACK_BYTES // max(1, 8 * width))
+            cuts = set(range(0, b.num_rows, most)) | {b.num_rows}
+            if group:
+                values = b.column(group).dictionary_encode(null_encoding="encode").indices.to_numpy()
+                cuts |= set((np.flatnonzero(values[1:] != values[:-1]) + 1).tolist())
+            ends = sorted(cuts)
+            for lo, hi in zip(ends, ends[1:]):
+                part = b.slice(lo, hi - lo)
+                own = part.column("v").flatten().to_numpy(zero_copy_only=False)
+                block = {cell: pa.array([(at + 31 * seq) % cells], pa.int64()),
+                         "ids": [part.column(ident).to_numpy().astype(np.int64).tobytes()],
+                         "width": pa.array([width], pa.int32()), "kind": [own.dtype.str], "parts": [own.tobytes()]}
+                if group:
+                    block[group] = part.column(group).slice(0, 1)
+                yield pa.RecordBatch.from_pydict(block)
+                seq += 1
+
+    fields = [T.StructField(cell, T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("width", T.IntegerType()),
+              T.StructField("kind", T.StringType()), T.StructField("parts", T.BinaryType())]
+    if group:
+        fields.append(T.StructField(group, df.schema[group].dataType))
+    return df.mapInArrow(pack, T.StructType(fields))
+
+
+def _unpacked(packs: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors of length 1 or 0) in the order of the ids."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in packs["ids"]])
+    m = np.concatenate([np.frombuffer(x, kind).astype(np.float64).reshape(-1, width)
+                        for x, kind, width in zip(packs["parts"], packs["kind"], packs["width"])])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], _normalise(m[order])
+
+
+def _tiles(unit: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(places, pivot, radius): rows of unit length by their nearest pivot, some rows spread over all.
+
+    Every row lies within the radius (an angle) of its pivot; rows of length 0 have no angle, so their tile is never
+    skipped."""
+    n = len(unit)
+    if n <= 2 * TILE_ROWS:
+        return [(np.arange(n), np.zeros(unit.shape[1]), math.pi)]
+    count = -(-n // TILE_ROWS)
+    pivots = unit[np.linspace(0, n - 1, count).astype(np.int64)]
+    near = np.empty(n, dtype=np.int64)
+    cosine = np.empty(n)
+    for lo in range(0, n, TILE_ROWS):
+        s = unit[lo:lo + TILE_ROWS] @ pivots.T
+        near[lo:lo + TILE_ROWS] = s.argmax(axis=1)
+        cosine[lo:lo + TILE_ROWS] = s.max(axis=1)
+    empty = ~unit.any(axis=1)
+    out = []
+    for p in range(count):
+        places = np.flatnonzero(near == p)
+        for lo in range(0, len(places), 2 * TILE_ROWS):
+            own = places[lo:lo + 2 * TILE_ROWS]
+            wide = empty[own].any() or not pivots[p].any()
+            out.append((own, pivots[p], math.pi if wide else float(np.arccos(np.clip(cosine[own].min(), -1, 1)))))
+    return out
 
 
 def _local_topk(qids: np.ndarray, qn: np.ndarray, bids: np.ndarray, bn: np.ndarray,
-                k: int) -> pd.DataFrame:
-    """Top-k (by sim desc, bank_id asc) of each query within one bank block."""
-    order = np.argsort(bids, kind="stable")
-    bids, bn = bids[order], bn[order]
-    nb = len(bids)
-    take = min(k, nb)
-    out_q, out_b, out_s = [], [], []
-    if take == 0 or len(qids) == 0:
-        return pd.DataFrame({"query_id": np.array([], np.int64),
-                             "bank_id": np.array([], np.int64),
-                             "sim": np.array([], np.float64)})
+                k: int) -> tuple[pd.DataFrame, int]:
+    """Top-k (by sim desc, bank_id asc) of each query within one cell's bank rows, and how many pairs were scored."""
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+    tiles, scored = _tiles(bn), 0
+    pivots = np.stack([t[1] for t in tiles])
+    radius = np.array([t[2] for t in tiles])
     for lo in range(0, len(qids), QUERY_CHUNK):
-        s = qn[lo:lo + QUERY_CHUNK] @ bn.T                      # (q, nb)
-        if take < nb:
-            kth = -np.partition(-s, take - 1, axis=1)[:, take - 1:take]
-            above = s > kth
-            ties = s == kth
-            need = take - above.sum(axis=1, keepdims=True)
-            # bank ids are sorted, so the first ties are the smallest ids
-            chosen = above | (ties & (np.cumsum(ties, axis=1) <= need))
-        else:
-            chosen = np.ones_like(s, dtype=bool)
-        qi, bj = np.nonzero(chosen)
-        out_q.append(qids[lo:lo + QUERY_CHUNK][qi])
-        out_b.append(bids[bj])
-        out_s.append(s[qi, bj])
-    return pd.DataFrame({"query_id": np.concatenate(out_q).astype(np.int64),
-                         "bank_id": np.concatenate(out_b).astype(np.int64),
-                         "sim": np.concatenate(out_s).astype(np.float64)})
+        q = qn[lo:lo + QUERY_CHUNK]
+        angle = np.arccos(np.clip(q @ pivots.T, -1, 1)) - radius
+        bound = np.where(radius < math.pi, np.cos(np.maximum(angle, 0)), 1.0) + _SLACK
+        best = np.full((len(q), k), -np.inf)
+        ids = np.full((len(q), k), np.iinfo(np.int64).max)
+        for t in np.argsort(-bound.mean(axis=0), kind="stable"):
+            live = np.flatnonzero(bound[:, t] >= best[:, k - 1])
+            if not len(live):
+                continue
+            places = tiles[t][0]
+            s = q[live] @ bn[places].T
+            scored += s.size
+            rows, cols = _highest(s, min(k, len(places)))
+            add = s[rows, cols].reshape(len(live), -1)
+            every = np.concatenate((best[live], add), axis=1)
+            names = np.concatenate((ids[live], bids[places][cols].reshape(len(live), -1)), axis=1)
+            order = np.lexsort((names, -every), axis=-1)[:, :k]
+            best[live] = np.take_along_axis(every, order, axis=1)
+            ids[live] = np.take_along_axis(names, order, axis=1)
+        i, j = np.nonzero(best > -np.inf)
+        for column, values in zip(found, (qids[lo:lo + QUERY_CHUNK][i], ids[i, j], best[i, j])):
+            column.append(values)
+    cols = [np.concatenate(c) for c in found]
+    return pd.DataFrame({"query_id": cols[0], "bank_id": cols[1], "sim": cols[2]}), scored
+
+
+def _highest(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k highest of each row; of ties, the first columns."""
+    if k == s.shape[1]:
+        return np.nonzero(np.ones_like(s, dtype=bool))
+    kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k, None]
+    above, ties = s > kth, s == kth
+    need = k - above.sum(axis=1, keepdims=True)
+    return np.nonzero(above | (ties & (np.cumsum(ties, axis=1) <= need)))
 
 
 def _final_topk(scored: DataFrame, k: int, group: str | None = None) -> DataFrame:
@@ -89,50 +179,69 @@ def _final_topk(scored: DataFrame, k: int, group: str | None = None) -> DataFram
             .select(*keys, F.col("rank").cast("int").alias("rank"), "bank_id", "sim"))
 
 
-def _grouped_topk(qids, qn, pdf: pd.DataFrame, vcol: str, k: int, group: str | None):
-    """Local top-k of one bank chunk, separately for each value of ``group``."""
-    parts = [(None, pdf)] if not group else list(pdf.groupby(group, dropna=False, sort=False))
-    for gval, sub in parts:
-        bn = _normalise(_stack(sub[vcol], qn.shape[1]))
-        out = _local_topk(qids, qn, sub["bank_id"].to_numpy(np.int64), bn, k)
-        if group:
-            out.insert(1, group, gval)
-        yield out
+def _sizes(q: DataFrame, b: DataFrame) -> dict[str, tuple[int, int]]:
+    """(rows, bytes as packed) of both sides, in one pass."""
+    def side(df: DataFrame, name: str) -> DataFrame:
+        each = 4 if isinstance(df.schema["v"].dataType.elementType, T.FloatType) else 8
+        return df.select(F.lit(name).alias("side"), (F.size("v").cast("long") * each + 8).alias("n"))
+
+    rows = side(q, "q").unionAll(side(b, "b")).groupBy("side").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    found = {r["side"]: (r["rows"], r["n"]) for r in rows.collect()}
+    return {name: found.get(name, (0, 0)) for name in "qb"}
 
 
 def topk(query: DataFrame, bank: DataFrame, k: int, *, query_key: str = "query_id",
          bank_key: str = "bank_id", vec: str = "embs", group: str | None = None,
-         block_rows: int = 2048) -> DataFrame:
+         block_rows: int | None = None) -> DataFrame:
     """Exact top-k bank rows per query: ``(query_id, [group,] rank, bank_id, sim)``.
 
-    ``group`` (e.g. ``batch_id``) gives the top-k within each bank batch
-    instead of over the whole bank."""
+    ``group`` (e.g. ``batch_id``) gives the top-k within each bank batch instead of over the whole bank; the bank is then
+    sorted by it first, so a batch lies in few cells and a large one is cut.  ``block_rows`` sets the rows of a cell's
+    sides instead of their bytes."""
     if k <= 0:
         raise ValueError("k must be positive")
-    q = query.select(F.col(query_key).cast("long").alias("query_id"), F.col(vec).alias("v"))
+    q = query.select(F.col(query_key).cast("long").alias("query_id"), F.col(vec).alias("v")).where("v IS NOT NULL")
     bcols = [F.col(bank_key).cast("long").alias("bank_id"), F.col(vec).alias("v")]
     if group:
         bcols.append(F.col(group))
-    b = bank.select(*bcols)
-    q_blocks = max(1, math.ceil(q.select("query_id").count() / block_rows))
-    b_blocks = max(1, math.ceil(b.select("bank_id").count() / block_rows))
-    cell = ["_qblock", "_bblock"]
-    q = (q.withColumn("_qblock", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)))
-         .withColumn("_bblock", _every(b_blocks)))
-    b = (b.withColumn("_bblock", F.pmod(F.xxhash64("bank_id"), F.lit(b_blocks)))
-         .withColumn("_qblock", _every(q_blocks)))
+    b = bank.select(*bcols).where("v IS NOT NULL")
+    sizes = _sizes(q, b)
+
+    def blocks(side: str, most: int) -> int:
+        rows, size = sizes[side]
+        return max(1, math.ceil(rows / block_rows) if block_rows else math.ceil(size / most))
+
+    groups = blocks("q", QUERY_BYTES)
+    cores = query.sparkSession.sparkContext.defaultParallelism
+    cells = max(blocks("b", BANK_BYTES), min(cores, blocks("b", PACK_BYTES)))
+    if group:
+        b = b.repartitionByRange(cells, group, "bank_id").sortWithinPartitions(group, "bank_id")
+    qs = _packed(q, "query_id", "_g", groups, block_rows).withColumn("_c", _every(cells))
+    bs = _packed(b, "bank_id", "_c", cells, block_rows, group).withColumn("_g", _every(groups))
     schema = _schema(group, bank.schema[group].dataType if group else None)
 
-    def score(qs: pd.DataFrame, bs: pd.DataFrame) -> pd.DataFrame:
-        if len(qs) == 0 or len(bs) == 0:
+    def score(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if len(queries) == 0 or len(rows) == 0:
             return pd.DataFrame(columns=schema.names)
-        qids = qs["query_id"].to_numpy(dtype=np.int64)
-        return pd.concat(_grouped_topk(qids, _normalise(_stack(qs["v"])), bs, "v", k, group))
+        qids, qn = _unpacked(queries)
+        parts = [(None, rows)] if not group else _by_value(rows, group)
+        out = []
+        for value, packs in parts:
+            out.append(_local_topk(qids, qn, *_unpacked(packs), k)[0])
+            if group:
+                out[-1].insert(1, group, pd.Series([None if pd.isna(value) else value] * len(out[-1]), index=out[-1].index, dtype=object))
+        return pd.concat(out)
 
-    scored = q.groupBy(*cell).cogroup(b.groupBy(*cell)).applyInPandas(score, schema)
+    scored = qs.groupBy("_g", "_c").cogroup(bs.groupBy("_g", "_c")).applyInPandas(score, schema)
     return _final_topk(scored, k, group)
 
 
+def _by_value(rows: pd.DataFrame, group: str) -> list[tuple]:
+    """Rows of each value of ``group``, null among them."""
+    codes, values = pd.factorize(rows[group], use_na_sentinel=False)
+    return [(value, rows[codes == i]) for i, value in enumerate(values)]
+
+
 def _every(blocks: int):
     """A row for each block of the other side."""
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))

@@ -43,6 +43,37 @@ def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.lit(1).alias("val")))
 
 
+def bank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as rows of a bank: ``(vec_id, study_id, batch_id, pos, target, embs)``.  A vector's text is the document of
+    its id (its own name if there is none), two neighbours are one study, a batch holds 100."""
+    v, d = vectors(spark, sf_dir), table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("vector "), F.col("vec_id").cast("string"))
+    return v.join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left").select(
+        "vec_id", _study_of("vec_id").alias("study_id"), F.floor(F.col("vec_id") / 100).cast("int").alias("batch_id"),
+        (F.col("vec_id") % 100).cast("int").alias("pos"), F.coalesce("text", name).alias("target"),
+        F.col("embedding").alias("embs"))
+
+
+def bank_sentence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence labels of ``bank_rows``: ``(mimic_id, report, cat, vals, sents)``, cells of quality and toxic (as in
+    ``long_labels``) and one of four groups of vector labels with the values 1, 0 and -1."""
+    rows = bank_rows(spark, sf_dir).select("vec_id", F.col("study_id").alias("mimic_id"), F.col("target").alias("sents"))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.expr(
+        "stack(2, 'quality', quality, 'toxic', toxic) as (cat, vals)"))
+    lab = lab.withColumn("vals", F.when((F.col("vec_id") % 5 == 0) & F.col("vals").isNotNull(), F.lit(-1))
+                         .otherwise(F.col("vals")))
+    own = vectors(spark, sf_dir).where("label IS NOT NULL").select(
+        "vec_id", F.concat(F.lit("group "), (F.col("label") % 4).cast("string")).alias("cat"),
+        (F.lit(1) - F.col("label") % 3).alias("vals"))
+    cells = lab.select("vec_id", "cat", F.col("vals").cast("int").alias("vals")).unionAll(
+        own.select("vec_id", "cat", F.col("vals").cast("int").alias("vals")))
+    return rows.join(cells, "vec_id").select("mimic_id", F.col("sents").alias("report"), "cat", "vals", "sents")
+
+
+def _study_of(ident: str):
+    return F.concat(F.lit("s"), F.floor(F.col(ident) / 2).cast("string"))
+
+
 def pieces(text: str):
     """A row for each '.'-piece of a text; one null row for a null text."""
     return F.explode_outer(F.split(F.col(text), r"\.", -1))

@@ -6,6 +6,7 @@ from studybank.plans import registry
 
 _MODULES = [
     "studybank.plans.q_retrieval",
+    "studybank.plans.q_evaluation",
     "studybank.plans.q_labels",
     "studybank.plans.q_text",
     "studybank.plans.q_contrastive",

@@ -34,7 +34,7 @@ def retrieval_topk(spark: SparkSession, sf_dir: str, max_k: int = 10) -> DataFra
 
 def evaluate(query: DataFrame, bank: DataFrame, labels: DataFrame, k: int = 2,
              max_k: int = 10, key: str = "vec_id", vec: str = "embedding",
-             block_rows: int = 2048) -> tuple[DataFrame, DataFrame]:
+             block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(per-query scores, one-row metrics) for any query / bank / label tables."""
     top = topk_cut(topk(query, bank, max_k, query_key=key, bank_key=key, vec=vec,
                         block_rows=block_rows), k, max_k)

@@ -126,8 +126,8 @@ def read_model_config(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics history of all cases (Parquet partitioned by ``case``)."""
-    return spark.read.parquet(folder)
+    """Metrics history of all cases and runs; columns that a run lacks are null."""
+    return spark.read.option("mergeSchema", True).parquet(folder).drop("run")
 
 
 def read_images(spark: SparkSession, folder: str, mode: str = "drop") -> DataFrame:

@@ -53,9 +53,18 @@ def write_preds(df: DataFrame, out: str) -> None:
     df.select("study_id", "query", "hit_classes", "out").write.mode("overwrite").json(out)
 
 
+#: Columns that tell one run of a case from another.
+RUN_COLUMNS = ("k", "bank", "query", "test_size", "random_state")
+
+
 def append_metrics(df: DataFrame, out: str) -> None:
-    """Append one metrics row to the history (no read-modify-write)."""
-    df.write.mode("append").partitionBy("case").parquet(out)
+    """Append metrics rows to the history (no read-modify-write), in a folder for each case and run.
+
+    A run is named by a digest of its RUN_COLUMNS, those it has; the same run written again, as by a retried job,
+    replaces its own folder and no other.  Rows may have columns that earlier ones lack."""
+    named = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("~"))) for c in RUN_COLUMNS if c in df.columns]
+    (df.withColumn("run", F.md5(F.concat_ws("\n", *named))).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("case", "run").parquet(out))
 
 
 def local_path(path: str) -> str:
