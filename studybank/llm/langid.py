@@ -20,6 +20,8 @@ from studybank.llm.common import distinct
 
 #: Training documents of one language; n-grams kept for a language; lengths of n-grams.
 SAMPLE, KEPT, SIZES = 1000, 10_000, (3, 4)
+#: N-grams up to which a filter is filled with those of one document.
+LEAST = 1000
 MAX_LANGUAGES = 64
 #: Slots of the filter; each n-gram has two.
 SLOTS, PROBES = 1 << 18, 2
@@ -140,18 +142,31 @@ class Filters:
                         hits[:, i] += np.bincount(of, weights=own, minlength=len(texts))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Filters | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT, least: int = LEAST) -> Filters | None:
     """Filters from the labelled documents ``docs`` (doc_id, text, lang).
 
-    Of every language, at most ``sample`` documents (the least hashes of doc_id) are read; an
-    n-gram counts if two of them have it, and the ``kept`` n-grams most of them have go into the
-    filter.  Null lang or text is no label.  More than MAX_LANGUAGES languages raise an error.
-    None if there is nothing to learn from."""
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    picked = (rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    Of every language, at most ``sample`` different documents (the least hashes) are read.  The ``kept`` n-grams that
+    most of them have go into the filter, those of one document only where a language has fewer than ``least``
+    others, as one with a single document has.  A language whose texts are too short for an n-gram has no filter.
+    Null lang or text is no label.  More than MAX_LANGUAGES languages raise an error.  None if there is nothing to
+    learn from."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    about = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("key").alias("n"))
+             .limit(MAX_LANGUAGES + 1).collect()}
+    if len(about) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    if not about:
+        return None
+    # a hash leaves each language's sort at least half as many rows again as it takes, and not many more
+    near = F.lit(False)
+    for lang, n in about.items():
+        part = int((1 << 30) * min(1.0, (1.7 * sample + 100) / max(1, n)))
+        near |= (F.col("lang") == lang) & (F.pmod("key", F.lit(1 << 30)) < part)
+    order = Window.partitionBy("lang").orderBy("key")
+    picked = (rows.select("lang", "key").filter(near).distinct()
               .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= sample)
-              .select("doc_id", "lang").distinct().limit(MAX_LANGUAGES * sample + 1))
+              .select("lang", "key").limit(MAX_LANGUAGES * sample + 1))
 
     def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -160,14 +175,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> Filters |
                 h, n = np.unique(np.concatenate(got), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "h": h.astype(np.int64), "n": n.astype(np.int64)})
 
-    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"], "left_semi").select("lang", "text")
+    texts = rows.join(F.broadcast(picked), ["lang", "key"], "left_semi").dropDuplicates(["lang", "key"])
     seen = texts.mapInPandas(grams, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
-    rows = (seen.filter("n > 1").withColumn("r", F.row_number().over(best)).filter(F.col("r") <= kept)
-            .groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h"))
-            .limit(MAX_LANGUAGES + 1).collect())
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # n-grams of one document fill a filter up to ``least`` only
+    rows = (seen.withColumn("r", F.row_number().over(best)).filter((F.col("r") <= kept) & ((F.col("n") > 1) | (F.col("r") <= least)))
+            .groupBy("lang").agg(F.sort_array(F.collect_list("h")).alias("h")).collect())
     return Filters({r["lang"]: np.array(r["h"], dtype=np.int64).astype(np.uint32) for r in rows}) if rows else None
 
 
@@ -201,7 +214,10 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row of ``docs``; learned from the rows not held out."""
+    """doc_id, held_out, lang_pred, score for every row of ``docs`` (doc_id, text, lang); learned from the rows not held out.
+
+    A null text, and one without a letter, is ``und``; long texts are read whole; repeated rows are learned from once and
+    predicted alike.  An empty table gives no rows; other columns are ignored."""
     marked = docs.select("doc_id", "text", "lang", (remainder(F.col("doc_id"), folds) == held).alias("held_out"))
     predict = predictor(learn(marked.filter(~F.col("held_out"))))
     return (marked.withColumn("_p", predict("text"))

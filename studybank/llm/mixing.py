@@ -20,8 +20,10 @@ from studybank.llm.common import inline_table, stored, text_md5
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most sources; their totals and cuts are held by the driver. More raise an error.
 MAX_SOURCES = 100_000
-#: Ranges of virtual time for each unit of it.
+#: Ranges of virtual time for each unit of it, and of a range that is cut again.
 RANGES = 1024
+#: Pairs sorted together at the cut; cuts that a double's digits are told apart by.
+EDGE, RESOLVED = 20_000, 6
 
 
 def words(text: Column) -> Column:
@@ -94,40 +96,57 @@ def mix(docs: DataFrame, weights=(1, 2, 3), epochs: int = 3, seed: int = 7) -> D
         "source_size", "target", "cum"), "mix-pairs")
     pairs = pairs.select("sid", "k", "e", "n",
                          ((F.col("e") * F.col("source_size") + F.col("cum")) / F.col("target")).alias("v"))
-    pairs = pairs.withColumn("r", F.least(F.floor(F.col("v") * RANGES), F.lit(4 * RANGES)).cast("int"))
-    # words by range of virtual time: at most 4 * RANGES + 1 rows
-    cut, given = 4 * RANGES + 1, 0
-    for r, n in sorted((x["r"], x["n"]) for x in pairs.groupBy("r").agg(F.sum("n").alias("n")).collect()):
-        if given + n > budget:
-            cut = r
-            break
-        given += n
-    order = Window.partitionBy("r").orderBy("v", "sid", "k", "e")
-    edge = (pairs.filter(F.col("r") == cut)
-            .withColumn("run", F.sum("n").over(order)).filter(F.col("run") <= budget - given)
-            .agg(F.max(F.struct("v", "sid", "k", "e")).alias("m")).first()["m"])
-    took = F.col("r") < cut
-    if edge is not None:
-        at = F.struct(F.lit(edge["v"]).cast("double").alias("v"), F.lit(edge["sid"]).alias("sid"),
-                      F.lit(edge["k"]).alias("k"), F.lit(edge["e"]).alias("e"))
-        took = took | ((F.col("r") == cut) & (F.struct("v", "sid", "k", "e") <= at))
+    took = _until(pairs, budget)
     last = {r["sid"]: r["m"] for r in
             pairs.filter(took).groupBy("sid").agg(F.max(F.struct("e", "k")).alias("m")).collect()}
     for s in sources:
         m = last.get(s["sid"])
         s |= {"full": m["e"] if m else 0, "until": m["k"] if m else ""}
     cuts = F.broadcast(inline_table(
-        spark, sources, "src string, sid int, source_size long, target double, full int, until string")
-        .drop("sid").withColumnRenamed("src", "_src"))
-    out = docs.join(cuts, docs["source"].eqNullSafe(cuts["_src"]), "left").withColumn("size", words(F.col("text")))
-    copies = F.when(F.col("size") == 0, 0).otherwise(
-        F.col("full") + F.when(shuffle_key(seed) <= F.col("until"), 1).otherwise(0))
+        spark, sources, "src string, sid int, source_size long, target double, full int, until string"))
+    # the row travels as one column, so no column of its own can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("source").alias("of"), words(F.col("text")).alias("size"),
+                       shuffle_key(seed).alias("key"))
+    out = rows.join(cuts, F.col("of").eqNullSafe(F.col("src")), "left")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("full") + F.when(F.col("key") <= F.col("until"), 1).otherwise(0))
     out = out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size"))
-    return out.select(*docs.columns, *new)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *new)
+
+
+def _until(pairs: DataFrame, budget: int) -> Column:
+    """Condition for the pairs (v, sid, k, e, n) that come before the words reach ``budget``, in the order of v, sid, k, e.
+
+    Words are counted by range of virtual time; the range in which the budget ends is cut into ranges again until few
+    pairs are in it (or, after RESOLVED cuts, only pairs of one time), and only those are sorted."""
+    inside, below, x, given = F.lit(True), F.lit(False), F.col("v"), 0
+    for depth in range(RESOLVED):
+        r = F.least(F.floor(x * RANGES), F.lit(4 * RANGES)).cast("int")
+        # at most 4 * RANGES + 1 rows
+        rows = (pairs.filter(inside).groupBy(r.alias("r")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect())
+        cut = None
+        for at, n, count in sorted((g["r"], g["n"], g["rows"]) for g in rows):
+            if given + n > budget:
+                cut = at
+                break
+            given += n
+        if cut is None:
+            return below | inside
+        below, inside = below | (inside & (r < cut)), inside & (r == cut)
+        if count <= EDGE:
+            break
+        x = x * RANGES - cut
+    order = Window.partitionBy("one").orderBy("v", "sid", "k", "e")
+    edge = (pairs.filter(inside).withColumn("one", F.lit(0)).withColumn("run", F.sum("n").over(order))
+            .filter(F.col("run") <= budget - given).agg(F.max(F.struct("v", "sid", "k", "e")).alias("m")).first()["m"])
+    if edge is None:
+        return below
+    at = F.struct(F.lit(edge["v"]).cast("double").alias("v"), F.lit(edge["sid"]).alias("sid"),
+                  F.lit(edge["k"]).alias("k"), F.lit(edge["e"]).alias("e"))
+    return below | (inside & (F.struct("v", "sid", "k", "e") <= at))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with their own columns."""
     out = mix(docs, **options).filter("copies > 0")
-    return (out.withColumn("_copy", F.explode(F.expr("sequence(1, copies)")))
-            .select(*[c for c in docs.columns]))
+    return (out.select(F.struct(*docs.columns).alias("row"), F.explode(F.expr("sequence(1, copies)")).alias("copy"))
+            .select("row.*"))

@@ -18,6 +18,8 @@ from studybank.llm.common import byte_size, inline_table, stored
 
 SLOTS = 1 << 14
 NODES = 64
+#: Copies of one key that one row is exploded into.
+PIECE = 10_000
 
 
 def ring(spark, shards: int, nodes: int = NODES) -> list[tuple[int, int]]:
@@ -85,6 +87,11 @@ def place_documents(docs: DataFrame, shards: int = 40, nodes: int = NODES, slack
     ranked = keys.withColumn("to", F.sum("n").over(run)).withColumn("from", F.col("to") - F.col("n"))
     met = ranked.join(side, "place").filter((F.col("from") < F.col("hi")) & (F.col("to") > F.col("lo")))
     first, last = F.greatest("from", "lo"), F.least("to", "hi") - 1
-    return (met.withColumn("rank", F.explode(F.sequence(first, last)))
+    met = met.withColumns({"first": first, "last": last})
+    # copies of one key beyond PIECE are dealt over tasks before they become rows
+    many = F.col("last") - F.col("first") >= PIECE
+    hot = met.filter(many).withColumn("first", F.explode(F.sequence("first", "last", F.lit(PIECE).cast("long"))))
+    hot = hot.withColumn("last", F.least("last", F.col("first") + (PIECE - 1))).repartition("first", "shard")
+    return (met.filter(~many).unionByName(hot).withColumn("rank", F.explode(F.sequence("first", "last")))
             .select("doc_id", "size", "text_crc32", "shard",
                     (F.col("base") + F.col("rank") - F.col("lo")).alias("slot")))

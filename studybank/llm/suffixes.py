@@ -32,6 +32,8 @@ PIECE = 1 << 20
 RUN, PART, SAMPLE, PER_PART = 100_000, 40_000, 4096, 16
 #: Most suffixes of one core that are merged; those of others are counted, in runs of so many.
 HOT, HOT_RUN = 2000, 4000
+#: Texts whose numbers are broadcast to find them (8 bytes each); more are found by a shuffle.
+FEW = 200_000
 #: Fills a suffix up at the end of its text; no byte of UTF-8.
 PAD = 0xFF
 
@@ -411,23 +413,44 @@ def _removed(b: pd.DataFrame, texts: bool) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["tid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    """One row for each different text: tid (its hash), text.  Two texts of one hash raise an error."""
-    check = F.xxhash64(F.lit(1), F.col("text"))
-    t = (docs.select(_tid(F.col("text")).alias("tid"), check.alias("c"), "text").groupBy("tid")
+def _hash(text: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(text, F.lit("")))
+
+
+def _clashes(docs: DataFrame) -> list[int]:
+    """First hashes that two different texts share, told by a second hash: n^2 / 2^65 of them are to be expected of n texts."""
+    both = docs.filter(F.octet_length("text") >= SPAN).select(_hash(F.col("text"), 0).alias("h"), _hash(F.col("text"), 1).alias("c"))
+    rows = both.groupBy("h").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c <> d").select("h").collect()
+    return sorted(r["h"] for r in rows)
+
+
+def _tid(text: Column, clashes: list[int]) -> Column:
+    """Number of a text: its first hash, or its third where the first is shared."""
+    return F.when(_hash(text, 0).isin(clashes), _hash(text, 2)).otherwise(_hash(text, 0)) if clashes else _hash(text, 0)
+
+
+def _texts(docs: DataFrame, clashes: list[int]) -> DataFrame:
+    """One row for each different text: tid, text.  Two texts of one number raise an error; as clashes are
+    numbered anew, that takes texts that share two hashes."""
+    t = (docs.select(_tid(F.col("text"), clashes).alias("tid"), _hash(F.col("text"), 1).alias("c"), "text").groupBy("tid")
          .agg(F.first("text").alias("text"), F.min("c").alias("c"), F.max("c").alias("d")))
-    return t.select("tid", F.when(F.col("c") != F.col("d"), F.raise_error(F.lit("two texts have one hash")).cast("string"))
+    return t.select("tid", F.when(F.col("c") != F.col("d"), F.raise_error(F.lit("two texts have one number")).cast("string"))
                     .otherwise(F.col("text")).alias("text"))
 
 
-def _tid(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+def _texts_of(docs: DataFrame, clashes: list[int], wanted: DataFrame) -> DataFrame:
+    """``_texts`` of the tids that ``wanted`` (one row a tid) has, joined to it.  Unless very many are wanted, no other text is
+    shuffled."""
+    ids = wanted.select("tid")
+    if wanted.count() <= FEW:
+        tid = _tid(F.col("text"), clashes)
+        docs = docs.select("text", tid.alias("tid")).join(F.broadcast(ids), "tid", "left_semi")
+    return _texts(docs, clashes).join(wanted, "tid")
 
 
-def intervals(docs: DataFrame) -> DataFrame:
+def intervals(docs: DataFrame, clashes: list[int]) -> DataFrame:
     """(tid, a, b): byte intervals of texts that are covered by repeated strings; they may overlap."""
-    spark = docs.sparkSession
-    long = docs.select(_tid(F.col("text")).alias("tid"), "text").filter(F.octet_length("text") >= SPAN)
+    long = docs.select(_tid(F.col("text"), clashes).alias("tid"), "text").filter(F.octet_length("text") >= SPAN)
     cores = stored(long.select("text").mapInPandas(_cores, "core long, n long").groupBy("core")
                    .agg(F.sum("n").alias("n")).filter("n > 1").select("core"), "suffix-cores")
     met = stored(long.mapInPandas(_placed, "core long, around long, tid long, at long").join(cores, "core"), "suffix-met")
@@ -453,8 +476,9 @@ def intervals(docs: DataFrame) -> DataFrame:
         got = (long.join(sample, "tid").select("tid", "at", F.substring(raw, at.cast("int") + 1, F.lit(SPAN)).alias("k")).distinct().collect())
         keys = sorted(bytes(r["k"]).ljust(SPAN, bytes([PAD])) for r in got)
         splitters = sorted({keys[len(keys) * i // parts] for i in range(1, parts)})
-    per_text = chosen.groupBy("tid").agg(F.collect_list(F.when(F.col("hot"), F.bitwise_not("at")).otherwise(F.col("at"))).alias("ats"))
-    runs = _texts(long).join(per_text, "tid").select("tid", "text", "ats").mapInPandas(_runs(splitters), RUN_SCHEMA)
+    per_text = stored(chosen.groupBy("tid").agg(
+        F.collect_list(F.when(F.col("hot"), F.bitwise_not("at")).otherwise(F.col("at"))).alias("ats")), "suffix-ats")
+    runs = _texts_of(long, clashes, per_text).select("tid", "text", "ats").mapInPandas(_runs(splitters), RUN_SCHEMA)
     if True in sizes:
         runs = stored(runs, "suffix-runs")
     solved = stored(runs.filter("part >= 0").groupBy("part").applyInPandas(
@@ -482,13 +506,14 @@ def without_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     (those bytes as text; a character cut in half becomes the replacement character; null where
     nothing was removed, and without ``texts``).  Strings are UTF-8 bytes and are judged on the input; they never cross texts.  Null text
     is empty; copies of a text of SPAN bytes or more lose all of it, repeated rows too.  Other columns are ignored."""
-    spans = intervals(docs).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    clashes = _clashes(docs)
+    spans = stored(intervals(docs, clashes).groupBy("tid").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "suffix-spans")
     long = docs.filter(F.octet_length("text") >= SPAN)
-    cut = _texts(long).join(spans, "tid").select("tid", "text", "spans").mapInPandas(
+    cut = _texts_of(long, clashes, spans).select("tid", "text", "spans").mapInPandas(
         _remove(texts), "tid long, n_removed long, n_spans long, kept_sha256 string, kept string")
     cut = stored(cut, "suffix-cut")
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", _tid(F.col("text")).alias("tid"), byte_size(F.col("text")).alias("n_bytes"),
+    rows = docs.select("doc_id", _tid(F.col("text"), clashes).alias("tid"), byte_size(F.col("text")).alias("n_bytes"),
                        F.sha2(raw, 256).alias("whole"))
     none = F.lit(0).cast("long")
     return rows.join(cut, "tid", "left").select(

@@ -1,25 +1,26 @@
 """Exact top-k by inner product: exhaustive term-at-a-time accumulation.
 
 Vectors are integer weights per component.  Query blocks meet candidate blocks on a grid
-(each side is sent once per block of the other, packed).  In a cell of the grid, each
-component is a term with a posting list of the candidates that have it; every query with
-the term scatters its weighted postings into dense score arrays.  A partition of the scores
-selects the cell's k best, and one window merges the cells.
+(each side is sent once per block of the other, packed), of bounded bytes.  In a cell of the grid,
+each component is a term with a posting list of the candidates that have it, made once for a tile of
+candidates; every query with the term scatters its weighted postings into dense score arrays, which are
+all that is dense.  A partition of the scores selects the cell's k best, and one window merges the cells.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows packed together, rows of candidates and of queries that meet in one cell of the grid.
-PACK, CELL_ROWS, CELL_QUERIES = 1024, 65536, 4096
+from studybank.llm.blocks import PACK_BYTES, Rows, component_bytes, packed
+from studybank.llm.common import stored
+
+#: Bytes of components of the queries and of the candidates that meet in one cell of the grid.
+QUERY_BYTES, CELL_BYTES = 1 << 23, 1 << 25
 #: Scores held at a time: queries by candidates.
 TILE_QUERIES, TILE_ROWS = 128, 2048
 _NONE = np.iinfo(np.int64).min
@@ -36,47 +37,32 @@ def quantised(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.floor(x.cast("double") * 256).cast("long"))
 
 
-def _packed(df: DataFrame, cells: int, name: str) -> DataFrame:
-    """Blocks of up to PACK rows (id, q) as binary: ids, row lengths, components; dealt over cells."""
-    from pyspark import TaskContext
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId()
-        seq = 0
-        for b in batches:
-            for lo in range(0, b.num_rows, PACK):
-                part = b.slice(lo, PACK)
-                q = part.column("q")
-                sizes = np.diff(q.offsets.to_numpy()).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({
-                    name: pa.array([(at + 31 * seq) % cells], pa.int32()),
-                    "ids": [part.column("id").to_numpy(zero_copy_only=False).astype(np.int64).tobytes()],
-                    "sizes": [sizes.tobytes()],
-                    "parts": [q.flatten().to_numpy(zero_copy_only=False).astype(np.int64).tobytes()]})
-                seq += 1
-
-    return df.mapInArrow(pack, f"{name} int, ids binary, sizes binary, parts binary")
-
-
-def _unpacked(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, matrix with shorter rows filled by 0)."""
-    ids = np.concatenate([np.frombuffer(x, np.int64) for x in frame["ids"]])
-    sizes = np.concatenate([np.frombuffer(x, np.int32) for x in frame["sizes"]]).astype(np.int64)
-    parts = np.concatenate([np.frombuffer(x, np.int64) for x in frame["parts"]])
-    out = np.zeros((len(ids), max(1, int(sizes.max(initial=0)))), dtype=np.int64)
-    row = np.repeat(np.arange(len(ids)), sizes)
-    out[row, np.arange(len(parts)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = parts
-    return ids, out
-
-
-def accumulate(queries: np.ndarray, cands: np.ndarray) -> np.ndarray:
+class Postings:
+    """Posting lists of some rows: for each term, the rows that have it (numbered from 0) and their weights."""
+
+    def __init__(self, rows: Rows, which: np.ndarray):
+        size = rows.lengths[which]
+        row = np.repeat(np.arange(len(which)), size)
+        term = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        weight = rows.parts[np.repeat(rows.first[which], size) + term].astype(np.int64)
+        some = np.flatnonzero(weight)
+        order = some[np.argsort(term[some], kind="stable")]
+        self.size = len(which)
+        self.row, self.weight = row[order], weight[order]
+        self.terms, first = np.unique(term[order], return_index=True)
+        self.first = np.append(first, len(order))
+
+    def of(self, at: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.row[self.first[at]:self.first[at + 1]], self.weight[self.first[at]:self.first[at + 1]]
+
+
+def accumulate(queries: Postings, cands: Postings) -> np.ndarray:
     """Score of every candidate for every query, term at a time."""
-    acc = np.zeros((len(queries), len(cands)), dtype=np.int64)
-    for t in range(min(queries.shape[1], cands.shape[1])):
-        has, posting = np.flatnonzero(queries[:, t]), np.flatnonzero(cands[:, t])
-        if not len(has) or not len(posting):
-            continue
-        weighted = np.multiply.outer(queries[has, t], cands[posting, t])
+    acc = np.zeros((queries.size, cands.size), dtype=np.int64)
+    _, mine, theirs = np.intersect1d(queries.terms, cands.terms, assume_unique=True, return_indices=True)
+    for i, j in zip(mine, theirs):
+        (has, own), (posting, other) = queries.of(i), cands.of(j)
+        weighted = np.multiply.outer(own, other)
         if weighted.shape == acc.shape:
             acc += weighted
         else:
@@ -98,24 +84,26 @@ def _cell(k: int):
     def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found: list[list] = [[], [], []]
         if len(q) and len(c):
-            q_ids, queries = _unpacked(q)
-            c_ids, cands = _unpacked(c)
-            order = np.argsort(c_ids, kind="stable")
-            c_ids, cands = c_ids[order], cands[order]
-            for i in range(0, len(q_ids), TILE_QUERIES):
-                kept: list[list] = [[] for _ in q_ids[i:i + TILE_QUERIES]]
-                for j in range(0, len(c_ids), TILE_ROWS):
-                    acc = accumulate(queries[i:i + TILE_QUERIES], cands[j:j + TILE_ROWS])
-                    acc[q_ids[i:i + TILE_QUERIES, None] == c_ids[None, j:j + TILE_ROWS]] = _NONE
-                    for r, row in enumerate(acc):
-                        at = _best(row, c_ids[j:j + TILE_ROWS], k)
-                        kept[r].append((c_ids[j + at], row[at]))
-                for r, parts in enumerate(kept):
-                    ids, scores = (np.concatenate(x) for x in zip(*parts))
-                    at = _best(scores, ids, k)
-                    found[0].append(np.full(len(at), q_ids[i + r]))
-                    found[1].append(ids[at])
-                    found[2].append(scores[at])
+            queries, cands = Rows(q), Rows(c)
+            order = np.argsort(cands.ids, kind="stable")
+            c_ids = cands.ids[order]
+            asked = [np.arange(i, min(i + TILE_QUERIES, len(queries.ids))) for i in range(0, len(queries.ids), TILE_QUERIES)]
+            terms = [Postings(queries, rows) for rows in asked]
+            kept: list[list] = [[] for _ in queries.ids]
+            for j in range(0, len(c_ids), TILE_ROWS):
+                ids, postings = c_ids[j:j + TILE_ROWS], Postings(cands, order[j:j + TILE_ROWS])
+                for rows, own in zip(asked, terms):
+                    acc = accumulate(own, postings)
+                    acc[queries.ids[rows, None] == ids[None]] = _NONE
+                    for r, row in zip(rows, acc):
+                        at = _best(row, ids, k)
+                        kept[r].append((ids[at], row[at]))
+            for r, parts in enumerate(kept):
+                ids, scores = (np.concatenate(x) for x in zip(*parts))
+                at = _best(scores, ids, k)
+                found[0].append(np.full(len(at), queries.ids[r]))
+                found[1].append(ids[at])
+                found[2].append(scores[at])
         cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
         return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
     return search
@@ -137,10 +125,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             F.col("vec_id").cast("long").alias("id"), quantised(F.col("embedding")).alias("q"))
 
     asked = ready(queries).groupBy("id").agg(F.min("q").alias("q"))
-    cells = max(2 * spark.sparkContext.defaultParallelism, math.ceil(vectors.count() / CELL_ROWS))
-    groups = max(1, math.ceil(queries.count() / CELL_QUERIES))
-    qs = _packed(asked, groups, "g").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-    cs = _packed(ready(vectors), cells, "c").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked, every = stored(asked, "topk-queries"), ready(vectors)
+    size = component_bytes(every)
+    cells = max(2 * spark.sparkContext.defaultParallelism, math.ceil(size / CELL_BYTES))
+    groups = max(1, math.ceil(component_bytes(asked) / QUERY_BYTES))
+    pack = max(1 << 12, min(PACK_BYTES, size // (2 * cells)))
+    qs = packed(asked, groups, "g", PACK_BYTES).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    cs = packed(every, cells, "c", pack).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     best = (qs.groupBy("g", "c").cogroup(cs.groupBy("g", "c"))
             .applyInPandas(_cell(k), "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -196,20 +196,23 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     At most ``sample`` labelled ids of each label are used, weighted to the labels' true shares.
     85 % of them (by hash) give lexicon and trees, in two parts that lend each other the lexicon while trees
     grow; 15 % give the calibration.  Null labels and ids are left out; an id with both labels counts once
-    for each.  Too few labels of one kind give a constant score, their share."""
+    for each.  Of documents with one id the least text is read, so no more than 2 * ``sample`` rows are.
+    Too few labels of one kind give a constant score, their share."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").select(
-        "doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxic")).alias("h"))
+        "doc_id", "toxic", F.xxhash64("doc_id", F.lit("toxic")).alias("h")).distinct()
     count = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(count) < 2:
         return Model(constant=float(next(iter(count), 0)))
-    # at most 2 * sample rows
+    # at most 2 * sample rows; the hash leaves about half as many again to each sort
     picked = None
     for y in (0, 1):
-        part = known.filter(F.col("toxic") == y).orderBy("h", "doc_id").limit(sample)
+        near = F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * min(1.0, (1.5 * sample + 100) / count[y]))
+        part = known.filter((F.col("toxic") == y) & near).orderBy("h", "doc_id").limit(sample)
         picked = part if picked is None else picked.union(part)
     part = F.pmod("h", F.lit(20))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id").select(
-        "toxic", "text", F.when(part < 9, 0).when(part < 17, 1).otherwise(2).alias("part"))
+    texts = stored(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic", "h")
+                   .agg(F.min("text").alias("text")).select(
+        "toxic", "text", F.when(part < 9, 0).when(part < 17, 1).otherwise(2).alias("part")), "toxic-sample")
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -282,8 +285,9 @@ def scorer(model: Model):
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0) -> DataFrame:
     """``docs`` (doc_id, text and others) with held_out, score and predicted (1 from 0.5 on).
 
-    Only labels of ids that aren't held out are learned from.  Columns of the input named
-    like a new one are replaced."""
+    Only labels of ids that aren't held out are learned from.  Null and empty texts have a score like others;
+    repeated rows are scored each, alike; an empty table stays empty.  Columns of the input named like a new one are
+    replaced."""
     out = remainder(F.col("doc_id"), folds) == held
     model = learn(docs, labels.filter(~out))
     docs = docs.drop("held_out", "score", "predicted")

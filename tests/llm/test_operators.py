@@ -410,3 +410,111 @@ def test_toxicity(spark):
 def test_isotonic_is_monotone_and_pools():
     x, y = toxicity.isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert list(x) == [0, 0, 1, 2, 3, 3] and list(y) == [0, 0, 0.5, 0.5, 1, 1]
+
+
+def test_a_language_with_one_document_is_learned(spark):
+    rng = random.Random(6)
+    rows = [(i, words(rng, 60), "en") for i in range(40)]
+    rows += [(100 + i, "zu ui zzu uiz " * 20, "zz" if i == learned else None) for learned in [next(
+        i for i in range(60) if zlib.crc32(str(100 + i).encode()) % 4 != 2)] for i in range(60)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert {got[i] for i in range(100, 160)} == {"zz"} and {got[i] for i in range(40)} == {"en"}
+
+
+def test_one_id_on_very_many_rows_of_language_and_toxicity(spark):
+    """A null or repeated id on most rows: what is learned from stays bounded, every row gets a result."""
+    rng = random.Random(16)
+    rows = [(i, words(rng, 20), "en") for i in range(60)] + [(None, words(rng, 5), "en") for _ in range(2000)]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} == {"en"}
+    docs = spark.createDataFrame([(i % 60 if i > 300 else i, words(rng, 8)) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(4, 0)] * 500, "doc_id long, toxic int")
+    out = toxicity.toxicity(docs, labels)
+    assert out.count() == 3000 and out.filter("score between 0 and 1").count() == 3000
+    model = toxicity.learn(docs, labels, sample=50)
+    assert model is not None
+
+
+def test_two_texts_of_one_hash(spark, monkeypatch):
+    """A first hash that all texts share: they are told apart by the next ones."""
+    real = suffixes._hash
+    monkeypatch.setattr(suffixes, "_hash", lambda text, seed: F.lit(1).cast("long") if seed == 0 else real(text, seed))
+    rng = random.Random(2)
+    one = words(rng, 80)
+    rows = spark.createDataFrame([(1, one), (2, one + " x"), (3, words(rng, 90)), (4, "short")], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffixes.without_repeats(rows).collect()}
+    assert got == {1: len(one), 2: len(one), 3: 0, 4: 0}
+
+
+def test_the_cut_of_a_mix_is_found_in_ever_smaller_ranges(docs, monkeypatch):
+    whole = sorted(map(str, mixing.mix(docs).collect()))
+    for edge, ranges in ((1, 4), (1, 1024), (0, 2)):
+        monkeypatch.setattr(mixing, "EDGE", edge)
+        monkeypatch.setattr(mixing, "RANGES", ranges)
+        assert sorted(map(str, mixing.mix(docs).collect())) == whole
+
+
+def test_copies_of_one_key_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PIECE", 7)
+    rows = [(5, "same")] * 400 + [(i, "x") for i in range(200)]
+    got = sharding.place_documents(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()
+    assert len(got) == 600
+    for s in range(6):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(100))
+
+
+def test_names_of_inner_columns_may_occur_in_the_input(docs):
+    """Extra columns named like anything the operators use inside; results are the same without them."""
+    names = ["until", "full", "_src", "src", "row", "key", "of", "size", "copies_", "_md5", "md5", "digest", "id", "sig", "h", "k", "n", "e", "v", "r",
+             "sid", "_copy", "copy", "place", "lo", "hi", "first", "last", "shard", "part", "lang_", "_p", "tid", "spans", "c", "g", "rank", "words"]
+    rows = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    wide = rows.selectExpr("*", *[f"'x' AS `{n}`" for n in names])
+    plain = ["doc_id", "text", "lang", "source", "n_chars"]
+
+    def same(of, *columns):
+        a, b = (sorted(str(tuple(r)) for r in of(x).select(*columns).collect()) for x in (rows, wide))
+        assert a == b and a
+
+    same(mixing.mix, "doc_id", "source_size", "target", "copies", "taken")
+    same(mixing.mixed_documents, *plain)
+    assert mixing.mixed_documents(wide).columns == wide.columns
+    same(jaccard.keep_one, *plain)
+    assert jaccard.keep_one(wide).columns == wide.columns
+    same(lambda d: sharding.place_documents(d, 3), "doc_id", "shard", "slot")
+    same(langid.identify, "doc_id", "lang_pred", "score")
+    same(suffixes.without_repeats, "doc_id", "kept_sha256")
+    items = rows.sparkSession.createDataFrame([(1, "two words of no text at all, and some more of them")], "item_id long, text string")
+    same(lambda d: decontam.clean(d, items), *plain)
+
+
+def test_large_groups_of_near_copies_are_settled_by_leaders(spark, monkeypatch):
+    """Groups far over a path's limit, loosely and closely alike, and texts between them: no link is lost."""
+    monkeypatch.setattr(jaccard, "LIMIT", 24)
+    monkeypatch.setattr(jaccard, "LEADERS", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    rng = random.Random(12)
+    texts = []
+    for edits in (1, 2, 4):
+        base = words(rng, 90).split()
+        for _ in range(120):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(len(own))] = words(rng, 1) + "q"
+            texts.append(" ".join(own))
+    common_part = words(rng, 60)  # texts that share much, but not enough
+    texts += [common_part + " " + words(rng, 60) for _ in range(80)]
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for t in texts]
+    linked = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = {r.doc_id: (r.class_id, r.links) for r in jaccard.classes(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = jaccard._roots(np.array(linked))
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    assert {i: c for i, (c, _) in got.items()} == {i: least[r] for i, r in enumerate(root)}
+    assert {i: n for i, (_, n) in got.items()} == {i: sum(row) for i, row in enumerate(linked)}
