@@ -39,28 +39,43 @@ def png_bytes(px: np.ndarray) -> bytes:
             + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
 
 
-def _pixels(h, w, c, data) -> np.ndarray:
-    return np.frombuffer(bytes(data), dtype=np.uint8).reshape(int(h), int(w), int(c))
+def _groups(*columns: pd.Series):
+    """(places, values) of the rows that agree in all columns."""
+    found: dict[tuple, list[int]] = {}
+    for r, values in enumerate(zip(*columns)):
+        found.setdefault(tuple(int(v) for v in values), []).append(r)
+    for values, rows in found.items():
+        yield np.array(rows), values
 
 
-def _as_frame(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["height", "width", "nChannels", "data"])
+def _stack(data: pd.Series, rows: np.ndarray, h: int, w: int, c: int) -> np.ndarray:
+    """Pixels of images of one shape as one array (image, row, column, channel)."""
+    raw = b"".join(bytes(data.iloc[r]) for r in rows)
+    return np.frombuffer(raw, dtype=np.uint8).reshape(len(rows), h, w, c)
+
+
+class _Images:
+    """Images of a batch, put together from groups of one shape."""
+
+    def __init__(self, n: int):
+        self.rows: list[tuple | None] = [None] * n
+
+    def put(self, places: np.ndarray, px: np.ndarray) -> None:
+        px = np.ascontiguousarray(px)
+        for r, one in zip(places, px):
+            self.rows[r] = (*px.shape[1:], one.tobytes())
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame(self.rows, columns=["height", "width", "nChannels", "data"])
 
 
 @F.pandas_udf(IMAGE_TYPE)
 def _to_rgb(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.DataFrame:
-    rows = []
-    for hh, ww, cc, dd in zip(h, w, c, data):
-        px = _pixels(hh, ww, cc, dd)
-        if cc == 1:
-            px = np.repeat(px, 3, axis=2)
-        elif cc == 4:
-            px = px[:, :, :3]
-        else:
-            px = px[:, :, :3]
-        rgb = px[:, :, ::-1] if cc >= 3 else px          # BGR -> RGB
-        rows.append((int(hh), int(ww), 3, np.ascontiguousarray(rgb).tobytes()))
-    return _as_frame(rows)
+    out = _Images(len(h))
+    for rows, (hh, ww, cc) in _groups(h, w, c):
+        px = _stack(data, rows, hh, ww, cc)
+        out.put(rows, np.repeat(px, 3, axis=3) if cc == 1 else px[..., 2::-1])   # BGR[A] -> RGB
+    return out.frame()
 
 
 def to_rgb(df: DataFrame) -> DataFrame:
@@ -71,31 +86,29 @@ def to_rgb(df: DataFrame) -> DataFrame:
 
 
 def _bilinear(px: np.ndarray, nh: int, nw: int) -> np.ndarray:
-    h, w = px.shape[:2]
+    """Images of one shape (image, row, column, channel) resized, rounded to bytes."""
+    h, w = px.shape[1:3]
     ys = (np.arange(nh) + 0.5) * h / nh - 0.5
     xs = (np.arange(nw) + 0.5) * w / nw - 0.5
     y0 = np.clip(np.floor(ys).astype(int), 0, h - 1)
     x0 = np.clip(np.floor(xs).astype(int), 0, w - 1)
     y1, x1 = np.clip(y0 + 1, 0, h - 1), np.clip(x0 + 1, 0, w - 1)
-    wy = np.clip(ys - y0, 0, 1)[:, None, None]
-    wx = np.clip(xs - x0, 0, 1)[None, :, None]
+    wy = np.clip(ys - y0, 0, 1)[None, :, None, None]
+    wx = np.clip(xs - x0, 0, 1)[None, None, :, None]
     f = px.astype(np.float64)
-    top = f[y0][:, x0] * (1 - wx) + f[y0][:, x1] * wx
-    bot = f[y1][:, x0] * (1 - wx) + f[y1][:, x1] * wx
+    top = f[:, y0][:, :, x0] * (1 - wx) + f[:, y0][:, :, x1] * wx
+    bot = f[:, y1][:, :, x0] * (1 - wx) + f[:, y1][:, :, x1] * wx
     return np.clip(np.rint(top * (1 - wy) + bot * wy), 0, 255).astype(np.uint8)
 
 
 def _resize_udf(size: int):
     @F.pandas_udf(IMAGE_TYPE)
     def run(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for hh, ww, cc, dd in zip(h, w, c, data):
-            px = _pixels(hh, ww, cc, dd)
-            s = size / min(int(hh), int(ww))
-            nh, nw = max(1, round(int(hh) * s)), max(1, round(int(ww) * s))
-            out = _bilinear(px, nh, nw)
-            rows.append((nh, nw, int(cc), out.tobytes()))
-        return _as_frame(rows)
+        out = _Images(len(h))
+        for rows, (hh, ww, cc) in _groups(h, w, c):
+            s = size / min(hh, ww)
+            out.put(rows, _bilinear(_stack(data, rows, hh, ww, cc), max(1, round(hh * s)), max(1, round(ww * s))))
+        return out.frame()
     return run
 
 
@@ -135,14 +148,15 @@ def _tensor_udf(size: int, mean, std):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(h: pd.Series, w: pd.Series, c: pd.Series, data: pd.Series, bx: pd.Series,
             by: pd.Series, bs: pd.Series) -> pd.Series:
-        out = []
-        m = np.asarray(mean).reshape(3, 1, 1)
-        s = np.asarray(std).reshape(3, 1, 1)
-        for hh, ww, cc, dd, x, y, side in zip(h, w, c, data, bx, by, bs):
-            px = _pixels(hh, ww, cc, dd)[int(y):int(y) + int(side), int(x):int(x) + int(side)]
+        m = np.asarray(mean).reshape(1, 3, 1, 1)
+        s = np.asarray(std).reshape(1, 3, 1, 1)
+        out: list = [None] * len(h)
+        for rows, (hh, ww, cc, x, y, side) in _groups(h, w, c, bx, by, bs):
+            px = _stack(data, rows, hh, ww, cc)[:, y:y + side, x:x + side]
             px = _bilinear(px, size, size).astype(np.float32) / 255.0
-            chw = (np.transpose(px, (2, 0, 1)) - m) / s
-            out.append(chw.astype(np.float32).ravel())
+            chw = ((np.transpose(px, (0, 3, 1, 2)) - m) / s).astype(np.float32).reshape(len(rows), -1)
+            for r, one in zip(rows, chw):
+                out[r] = one
         return pd.Series(out)
     return run
 

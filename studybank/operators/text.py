@@ -36,6 +36,24 @@ def join_ranked(df: DataFrame, key: str, rank: str, col: str,
         lambda x: x["t"]), sep).alias(out))
 
 
+#: A word of a dictionary: a letter, then letters and marks.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+
+
+def word_dictionary(df: DataFrame, col: str = "text", by: str = "lang", share: float = 0.0) -> DataFrame:
+    """``(by, word, texts)``: every word of the whole texts of each ``by``, lower-cased, and how many texts hold it.
+
+    ``share`` leaves out words that fewer than that part of the texts hold; it is a cut by frequency, not a rank, so no
+    language is sorted in one place.  Counts are added up before their shuffle.  Null texts and a null ``by`` have no words."""
+    rows = df.where(F.col(by).isNotNull() & F.col(col).isNotNull())
+    words = rows.select(by, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(col)), F.lit(WORD), F.lit(0)))).alias("word"))
+    found = words.groupBy(by, "word").agg(F.count(F.lit(1)).alias("texts"))
+    if not share:
+        return found
+    total = rows.groupBy(F.col(by).alias("_by")).agg((F.count(F.lit(1)) * share).alias("_least"))
+    return found.join(total, F.col(by) == F.col("_by")).where(F.col("texts") >= F.col("_least")).drop("_by", "_least")
+
+
 def word_tokens(text: Column) -> Column:
     """Lower-case word tokens (the stand-in for a subword tokenizer)."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -14,6 +14,7 @@ _MODULES = [
     "studybank.plans.q_encode",
     "studybank.plans.q_streaming",
     "studybank.plans.q_plugins",
+    "studybank.plans.q_jobs",
     "studybank.plans.q_sections_sql",   # attaches oracles to section queries above
 ]
 

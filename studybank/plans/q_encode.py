@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from studybank.constants import IMAGE_MEAN, IMAGE_STD
 from studybank.operators import encode as E
 from studybank.operators import images as I
 from studybank.operators.text import pad_tokens, word_tokens
@@ -50,6 +51,27 @@ MODEL_CONFIG = {"models": [
      "add_projection": False, "embed_dim": 16},
     {"model_path": "baseline-b", "image_encoder": "grid-means", "text_encoder": "hashed-ngrams",
      "add_projection": True, "embed_dim": 32}]}
+#: Widths of the bundled encoders, which the second model projects.
+SIDES = {"text": 64, "image": 48}
+
+
+def write_model_config(spark) -> str:
+    """The config as a JSON file, and a folder of projection weights for each model that asks for one.
+
+    Weights are a fixed rule: W[j][i] = sin(i + 1) * cos(j + 1), b[j] = j / 10."""
+    import json
+    root = shared_dir(spark, "model_config")
+    models = [m | {"model_path": f"{root}/{m['model_path']}"} for m in MODEL_CONFIG["models"]]
+    for m in models:
+        if m["add_projection"]:
+            width = F.when(F.col("side") == "text", SIDES["text"]).otherwise(SIDES["image"])
+            rows = spark.range(m["embed_dim"]).select(F.explode(F.array(F.lit("text"), F.lit("image"))).alias("side"),
+                                                      F.col("id").cast("int").alias("row"))
+            (rows.withColumn("weights", F.transform(F.sequence(F.lit(1), width), lambda i: F.sin(i) * F.cos(F.col("row") + 1)))
+             .withColumn("bias", F.col("row") / 10.0).write.mode("overwrite").parquet(m["model_path"]))
+    spark.createDataFrame([(json.dumps({"models": models}),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{root}/config")
+    return f"{root}/config"
 
 
 @register("multi_model_embed", """
@@ -58,14 +80,45 @@ FROM documents, (VALUES ('out_grihas_16', 16), ('out_grihas_32', 32)) AS t(c, d)
 """)
 def q_multi_model(spark, sf_dir):
     """Every model of a JSON config (read with the config reader) embeds the
-    reports; one union'd job keyed by ``case``."""
-    import json
-    path = shared_dir(spark, "model_config")
-    spark.createDataFrame([(json.dumps(MODEL_CONFIG),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(path)
-    configs = R.read_model_config(spark, path)
-    return E.embed_all(B.reports(spark, sf_dir), configs).select("study_id", "case", "embed_type",
-                                                                  F.size("embs").alias("dim"))
+    reports in one pass, keyed by ``case``."""
+    configs = R.read_model_config(spark, write_model_config(spark))
+    return E.embed_config(configs, texts=B.reports(spark, sf_dir)).select("study_id", "case", "embed_type",
+                                                                          F.size("embs").alias("dim"))
+
+
+def _vector_sql(ident: str, values: str) -> str:
+    """Vectors of both models from a table (ident, values): normalised as they are, and projected first."""
+    unit = "list_transform(p, lambda y: round(CASE WHEN sqrt(list_dot_product(p, p)) > 0 THEN y / sqrt(list_dot_product(p, p)) ELSE 0.0 END, 6))"
+    return f"""
+SELECT {ident}, c AS "case", {unit} AS embs FROM (
+  SELECT {ident}, 'out_grihas_16' AS c, plain AS p FROM {values}
+  UNION ALL
+  SELECT {ident}, 'out_grihas_32', list_transform(range(32), lambda j: list_dot_product(wide,
+         list_transform(range(len(wide)), lambda i: sin(i + 1) * cos(j + 1))) + j / 10.0) FROM {values})
+"""
+
+
+@register("multi_model_texts", f"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
+                                      lambda w: w <> '') AS tk FROM documents),
+g AS (SELECT doc_id, unnest(tk) AS gram FROM t
+      UNION ALL SELECT doc_id, unnest(list_transform(range(greatest(len(tk) - 1, 0)),
+                                                     lambda i: tk[i + 1] || ' ' || tk[i + 2])) FROM t),
+h AS (SELECT doc_id, CAST('0x' || substr(md5(gram), 1, 8) AS BIGINT) AS h, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT doc_id, 16 AS width, h % 16 AS b, sum(n) AS n FROM h GROUP BY ALL
+      UNION ALL SELECT doc_id, 64, h % 64, sum(n) FROM h GROUP BY ALL),
+grid AS (SELECT t.doc_id, w.width, r.b FROM t, (VALUES (16), (64)) w(width), range(64) r(b) WHERE r.b < w.width),
+v AS (SELECT grid.doc_id, grid.width, list(CAST(coalesce(c.n, 0) AS DOUBLE) ORDER BY grid.b) AS x
+      FROM grid LEFT JOIN c ON c.doc_id = grid.doc_id AND c.width = grid.width AND c.b = grid.b GROUP BY ALL),
+sides AS (SELECT 's' || CAST(a.doc_id AS VARCHAR) AS study_id, a.x AS plain, b.x AS wide FROM v a JOIN v b ON a.doc_id = b.doc_id
+         WHERE a.width = 16 AND b.width = 64)
+{_vector_sql('study_id', 'sides')}
+""")
+def q_multi_model_texts(spark, sf_dir):
+    """The text vectors of both models, one of them projected."""
+    configs = R.read_model_config(spark, write_model_config(spark))
+    out = E.embed_config(configs, texts=B.reports(spark, sf_dir), precision="double")
+    return out.select("study_id", "case", _round_arr(F.col("embs"), 6).alias("embs"))
 
 
 def _tokens(spark, sf_dir):
@@ -224,6 +277,71 @@ def q_embed_image(spark, sf_dir):
         "study_id", F.size("embs").alias("dim"))
 
 
+#: Pixels of the pictures of ``write_vector_images``, as (row, column, channel) lists in RGB order.
+PIXELS_SQL = """
+e AS (SELECT vec_id, coalesce(label, 0) % 2 = 0 AS grey, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (SELECT *, list_min(x) AS lo, list_max(x) - list_min(x) AS span FROM e),
+g AS (SELECT vec_id, grey, list_transform(x, lambda y: CASE WHEN span = 0 THEN 0.0 ELSE round_even((y - lo) / span * 255, 0) END) AS g FROM s),
+px AS (SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, g AS red,
+              CASE WHEN grey THEN g ELSE list_transform(range(64), lambda i: g[(7 - i // 8) * 8 + i % 8 + 1]) END AS green,
+              CASE WHEN grey THEN g ELSE list_transform(g, lambda y: 255 - y) END AS blue FROM g)
+"""
+
+
+@register("image_pixels", f"""
+WITH {PIXELS_SQL}
+SELECT study_id, CAST(list_sum(red) AS BIGINT) AS red, CAST(list_sum(green) AS BIGINT) AS green, CAST(list_sum(blue) AS BIGINT) AS blue,
+       CAST(list_sum(list_transform(range(64), lambda i: (i + 1) * (red[i + 1] + 2 * green[i + 1] + 3 * blue[i + 1]))) AS BIGINT) AS placed
+FROM px
+""")
+def q_image_pixels(spark, sf_dir):
+    """Sums of each channel after the decoder and the RGB step, and a sum that depends on every pixel's place."""
+    rgb = I.to_rgb(_images(spark, sf_dir))
+    values = rgb.withColumn("hex", F.hex("data")).withColumn("at", F.expr("sequence(0, 191)")).select(
+        _sid(), F.transform("at", lambda i: F.conv(F.substring("hex", i * 2 + 1, F.lit(2)), 16, 10).cast("long")).alias("v"))
+
+    def total(weight):
+        return F.aggregate(F.expr("sequence(0, 191)"), F.lit(0).cast("long"),
+                           lambda acc, i: acc + (F.get("v", i) * weight(i)).cast("long"))
+
+    def channel(c):
+        return total(lambda i: F.when(i % 3 == c, 1).otherwise(0))
+
+    return values.select("study_id", channel(0).alias("red"), channel(1).alias("green"), channel(2).alias("blue"),
+                         total(lambda i: (F.floor(i / 3) + 1) * (i % 3 + 1)).alias("placed"))
+
+
+@register("image_tensors", f"""
+WITH {PIXELS_SQL}
+SELECT study_id, 192 AS n, [CAST(list_sum(red) AS BIGINT), CAST(list_sum(green) AS BIGINT), CAST(list_sum(blue) AS BIGINT)] AS sums FROM px
+""")
+def q_image_tensors(spark, sf_dir):
+    """The normalised tensors of whole pictures in their own size, each channel's mean taken back to its sum of pixels."""
+    out = I.to_tensor(I.crop_boxes(I.to_rgb(_images(spark, sf_dir)), mode="center"), size=8)
+
+    def pixels(c):
+        part = F.slice("tensor", 64 * c + 1, 64)
+        total = F.aggregate(part, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+        return F.round((total * IMAGE_STD[c] + 64 * IMAGE_MEAN[c]) * 255).cast("long")
+
+    return out.select(_sid(), F.size("tensor").alias("n"), F.array(*[pixels(c) for c in range(3)]).alias("sums"))
+
+
+@register("multi_model_images", f"""
+WITH {PIXELS_SQL},
+m AS (SELECT study_id, flatten(list_transform(range(16), lambda k: list_transform([red, green, blue], lambda ch:
+        list_avg(list_transform(range(4), lambda p: ch[((k // 4) * 2 + p // 2) * 8 + (k % 4) * 2 + p % 2 + 1]))))) AS wide FROM px),
+sides AS (SELECT study_id, wide AS plain, wide FROM m)
+{_vector_sql('study_id', 'sides')}
+""")
+def q_multi_model_images(spark, sf_dir):
+    """The image vectors of both models, one of them projected."""
+    configs = R.read_model_config(spark, write_model_config(spark))
+    images = I.to_rgb(_images(spark, sf_dir)).withColumn("image", I.image_struct(None)).withColumn("study_id", _sid())
+    out = E.embed_config(configs, images=images, precision="double")
+    return out.select("study_id", "case", _round_arr(F.col("embs"), 6).alias("embs"))
+
+
 @register("sink_images", """
 SELECT 's' || CAST(vec_id AS VARCHAR) AS study_id, 16 AS height, 16 AS width, 3 AS "nChannels" FROM embeddings
 """)

@@ -3,8 +3,6 @@ user encoders, user dictionaries and overrides, user category lists."""
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from studybank.operators import labels as L
 from studybank.operators import sections as S
 from studybank.plans import bindings as B
 from studybank.plans import labeller
-from studybank.plans.q_encode import MODEL_CONFIG, TEXT_DIM
+from studybank.plans.q_encode import TEXT_DIM, write_model_config
 from studybank.plans.q_text import LABELLER, _q, labeller_sql, sectioned_reports
 from studybank.plans.registry import register
 from studybank.session import shared_dir
@@ -29,10 +27,9 @@ def q_patterns(spark, sf_dir):
     root = shared_dir(spark, "patterns")
     files = {}
     for role in ("pre_uncertain", "negation", "post_uncertain"):
-        body = "\n".join(p for r, p in B.DEMO_PATTERNS if r == role) + "\n\n"
-        files[role] = f"{root}/{role}.txt"
-        spark.createDataFrame([(files[role], bytearray(body.encode()))], "path string, data binary") \
-            .transform(W.write_files).write.format("noop").mode("overwrite").save()
+        files[role] = f"{root}/{role}"
+        lines = [(p,) for r, p in B.DEMO_PATTERNS if r == role] + [("",)]
+        spark.createDataFrame(lines, "value string").coalesce(1).write.text(files[role])
     pats = R.read_patterns(spark, files)
     m = labeller.mentions(B.reports(spark, sf_dir), B.phrases(spark), pats)
     return m.groupBy("status").agg(F.count(F.lit(1)).alias("mentions"))
@@ -43,11 +40,8 @@ SELECT c AS "case", count(*) AS reports
 FROM documents, (VALUES ('out_grihas_16'), ('out_grihas_32')) AS t(c) GROUP BY c
 """)
 def q_model_config(spark, sf_dir):
-    path = shared_dir(spark, "model_config")
-    spark.createDataFrame([(json.dumps(MODEL_CONFIG),)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(path)
-    configs = R.read_model_config(spark, path)
-    return E.embed_all(B.reports(spark, sf_dir), configs).groupBy("case").agg(
+    configs = R.read_model_config(spark, write_model_config(spark))
+    return E.embed_config(configs, texts=B.reports(spark, sf_dir)).groupBy("case").agg(
         F.count(F.lit(1)).alias("reports"))
 
 

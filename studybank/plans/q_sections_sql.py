@@ -158,6 +158,9 @@ SECTION_ORACLES["sectioner_overrides"] = "WITH " + sections_sql() + ", " + PICK
 SELECT study_id, report, 'ok' AS status FROM pick
 """
 
+# the job writes the pick and reads it back
+SECTION_ORACLES["job_section_files"] = SECTION_ORACLES["last_section_pick"]
+
 
 def _attach():
     from studybank.plans.registry import ORACLES, QUERIES

@@ -3,9 +3,8 @@ buffering); output batching is ``maxRecordsPerFile``, not a row counter."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,34 +66,39 @@ def append_metrics(df: DataFrame, out: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("case", "run").parquet(out))
 
 
-def local_path(path: str) -> str:
-    """Executor-side Python writes need a POSIX path (local disk in tests, a
-    mounted shared file system on a cluster)."""
+def store_of(path: str):
+    """(file system, path on it) of a path or URI (local, mounted, or a store that Arrow reaches), on any executor."""
+    from pyarrow import fs
     if path.startswith("file:"):
-        return "/" + path[len("file:"):].lstrip("/")
+        return fs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
     if "://" in path:
-        raise ValueError(f"python file writes need a mounted path, got {path}")
-    return path
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
+
+
+def put_file(path: str, data: bytes) -> None:
+    """One file, whole or not at all: written under another name that no reader lists, then renamed.  A task that is run again
+    replaces its files by equal ones."""
+    store, place = store_of(path)
+    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    draft = f"{place}.{uuid.uuid4().hex}.tmp"
+    try:
+        with store.open_output_stream(draft) as out:
+            out.write(data)
+        store.move(draft, place)
+    except BaseException:
+        from pyarrow import fs
+        if store.get_file_info(draft).type == fs.FileType.File:
+            store.delete_file(draft)
+        raise
 
 
 def write_text_tree(df: DataFrame, root: str, key: str = "study_id", group: str = "group",
                     patient: str = "patient", text: str = "text") -> DataFrame:
     """One text file per row under ``root/group/patient/key.txt``, written by the
     executors; returns ``(path)`` of the written files."""
-    root = local_path(root)
-
-    def run(batches):
-        for pdf in batches:
-            paths = []
-            for g, p, k, t in zip(pdf[group], pdf[patient], pdf[key], pdf[text]):
-                folder = os.path.join(root, g, p)
-                os.makedirs(folder, exist_ok=True)
-                path = os.path.join(folder, f"{k}.txt")
-                with open(path, "w", encoding="utf-8", newline="") as fh:
-                    fh.write(t if t is not None else "")
-                paths.append(path)
-            yield pd.DataFrame({"path": paths})
-    return df.select(group, patient, key, text).mapInPandas(run, "path string")
+    path = F.concat_ws("/", F.lit(root.rstrip("/")), F.col(group), F.col(patient), F.concat(F.col(key), F.lit(".txt")))
+    return write_files(df.select(path.alias("path"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data")))
 
 
 def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -> DataFrame:
@@ -102,10 +106,7 @@ def write_files(df: DataFrame, path_col: str = "path", data_col: str = "data") -
     def run(batches):
         for pdf in batches:
             for p, b in zip(pdf[path_col], pdf[data_col]):
-                p = local_path(p)
-                os.makedirs(os.path.dirname(p), exist_ok=True)
-                with open(p, "wb") as fh:
-                    fh.write(bytes(b))
+                put_file(p, bytes(b))
             yield pdf[[path_col]]
     return df.select(path_col, data_col).mapInPandas(run, f"{path_col} string")
 
@@ -123,7 +124,3 @@ def write_images(df: DataFrame, out: str) -> None:
 def materialise(df: DataFrame) -> None:
     """Run a writer plan that returns rows (file writers above) to completion."""
     df.write.format("noop").mode("overwrite").save()
-
-
-def lit_path(root: str, *parts) -> F.Column:
-    return F.concat_ws("/", F.lit(root.rstrip("/")), *parts)
