@@ -98,9 +98,10 @@ def document_mentions(docs: DataFrame, phrases: DataFrame, patterns: DataFrame,
 
 
 def drop_unmentions(mentions: DataFrame, unmentions: DataFrame,
-                    keys=("study_id", "sent_idx")) -> DataFrame:
+                    keys=("study_id", "sent_idx", "text")) -> DataFrame:
     """Anti-join: drop a mention whose span overlaps an unmention span of the
-    same observation in the same sentence (``s < ue and e > us``)."""
+    same observation in the same sentence (``s < ue and e > us``).  Sentences are the
+    same if their texts are, too: two reports of one study don't block each other."""
     u = unmentions.select(*keys, "observation", F.col("start").alias("_us"),
                           F.col("end").alias("_ue"))
     cond = [mentions[k] == u[k] for k in (*keys, "observation")]

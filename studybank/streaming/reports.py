@@ -2,9 +2,9 @@
 
 The labelling operators are per report, so a stream needs no state of its
 own: every micro-batch of new reports is labelled with the batch job and its
-rows are written under ``<out>/batch_id=<n>``.  Writing a micro-batch
-overwrites exactly its own folder, so a retried batch (after executor or
-driver loss) replaces its partial output instead of duplicating it, and the
+rows are written under ``<out>/batch_id=<n>``.  A micro-batch is written beside
+and replaces exactly its own folder when it is committed, so a retried batch (after
+executor or driver loss) is not duplicated, no reader of ``out`` meets half of one, and the
 query checkpoint in the shared folder records which files were consumed.
 """
 
@@ -30,8 +30,9 @@ def label_stream(reports: DataFrame, phrases: DataFrame, patterns: DataFrame, ou
     """Start the labelling query; returns the ``StreamingQuery``."""
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = labeller.label_rows(batch, phrases, patterns)
+        # only this batch's folder is replaced, when the whole batch is written
         (rows.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .parquet(f"{out.rstrip('/')}/batch_id={batch_id}"))
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
 
     writer = reports.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(

@@ -195,3 +195,10 @@ def test_spread_counts_no_partitions_of_a_shuffle(spark):
     grouped = spark.range(100).groupBy((F.col("id") % 3).alias("k")).count()
     assert spread(grouped) is grouped
     assert spread(spark.range(0, 10, 1, 1)).rdd.getNumPartitions() >= 8
+
+
+def test_reports_of_one_study_keep_their_own_mentions(spark):
+    sents = spark.createDataFrame([("s1", 0, "no and here"), ("s1", 0, "and the rest")], "study_id string, sent_idx int, text string")
+    ph = spark.createDataFrame([("Edema", "and", "mention"), ("Edema", "and the", "unmention")], "observation string, phrase string, kind string")
+    kept = M.drop_unmentions(M.phrase_spans(sents, ph, "mention"), M.phrase_spans(sents, ph, "unmention"))
+    assert [r.text for r in kept.collect()] == ["no and here"]
