@@ -3,10 +3,12 @@
 Texts with equal shingle sets are one class before anything else.  A class has a sketch of
 minhashes, its tokens.  In every run a class follows the tokens that a hash of the path so far
 chooses; classes that arrive at one path share those tokens.  Paths with few classes are compared
-by brute force on their sketches, larger ones are split again by the next chosen token, and what no
-token splits (large groups of near copies) is compared in blocks.  Runs are repeated until the
-target recall.  Groups of classes linked by their sketches are then compared exactly, every pair
-once, on their whole shingle sets.
+by brute force on their sketches.  In larger ones every class is first compared with some leaders,
+which settles groups of near copies, as no token splits them: if a leader is near each class, the
+path is done; if few classes are left over, they are compared with all that may be near them;
+if many are, these are split again by the next chosen token, one that few classes of the path have.
+Runs are repeated until the target recall.  Groups of classes linked by their sketches are then compared exactly, every pair once, on
+their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -36,6 +38,13 @@ NEAR = THRESHOLD - 5 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / TOKENS)
 RECALL, CHANCE = 0.9995, 0.45
 #: Classes compared by brute force at a time; splits of a path.
 LIMIT, DEPTH = 512, 4
+#: Leaders of a large path on average; its classes compared with them by one task.
+LEADERS, BLOCK = 64, 4096
+#: A class this like a leader has no class at THRESHOLD that isn't near that leader itself: distances add up at most, and
+#: three deviations are added.
+SURE = NEAR + (1 - THRESHOLD) + 3 * math.sqrt(NEAR * (1 - NEAR) / TOKENS)
+#: Texts whose keys are broadcast to find them (32 bytes each); more are found by a shuffle.
+FEW = 200_000
 
 _ODD = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64) * _MIX) | np.uint64(1)
 
@@ -104,12 +113,6 @@ def _first_paths(runs: int):
     return choose
 
 
-def _next_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        row, path = _chosen(_tokens(b["sketch"]), b["path"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"path": path.view(np.int64), "sig": b["sig"].to_numpy()[row]})
-
-
 def _roots(linked: np.ndarray) -> np.ndarray:
     """First member of each member's component in a symmetric matrix of links."""
     root = np.full(len(linked), -1)
@@ -150,6 +153,112 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"x": xs, "y": ys}, dtype=object)
 
 
+def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal minhashes of every sketch of ``a`` and every one of ``b``."""
+    same = np.zeros((len(a), len(b)), dtype=np.uint8)
+    for t in range(TOKENS):
+        same += a[:, None, t] == b[None, :, t]
+    return same
+
+
+def _of_one(root: np.ndarray, near: np.ndarray) -> None:
+    """Joins, in ``root``, the columns that one row of ``near`` names."""
+    for cols in np.unique(near, axis=0):
+        at = np.flatnonzero(cols)
+        if len(at) > 1:
+            roots = np.unique(root[at])
+            root[np.isin(root, roots)] = roots[0]
+
+
+def _compared_with_leaders(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """For each class of a block: y, its most alike leader if that is near (null if not), and their sketches' similarity;
+    for leaders that a class is near to both: a row of the two, without similarity."""
+    if not len(members):
+        return pd.DataFrame({"path": [], "sig": [], "y": [], "share": []}, dtype=object)
+    path = members["path"].iloc[0]
+    sigs = members["sig"].to_numpy()
+    names = list(leaders["m_sig"].iloc[0]) if len(leaders) else []
+    if not names:
+        return pd.DataFrame({"path": path, "sig": sigs, "y": None, "share": 0.0})
+    a = np.frombuffer(b"".join(members["sketch"]), dtype=np.uint32).reshape(-1, TOKENS)
+    b = np.frombuffer(b"".join(leaders["m_sketch"].iloc[0]), dtype=np.uint32).reshape(-1, TOKENS)
+    same = _agreement(a, b)
+    near = same >= NEAR * TOKENS
+    best = same.argmax(axis=1)
+    y = np.array(names, dtype=object)[best]
+    y[~near.any(axis=1)] = None
+    root = np.arange(len(names))
+    _of_one(root, near)
+    two = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"path": path, "sig": np.concatenate((sigs, np.array(names, dtype=object)[two])),
+                         "y": np.concatenate((y, np.array(names, dtype=object)[root[two]])),
+                         "share": np.concatenate((same.max(axis=1) / TOKENS, np.full(len(two), np.nan)))})
+
+
+def _next_paths(members: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
+    """Longer paths of the classes of a block, by tokens that few classes of the path have.
+
+    Tokens that a quarter of the leaders have, such as those of a passage that all texts of a path hold, would keep the
+    path together; alike classes share most of their other tokens as well.  A class that has no others chooses among all."""
+    if not len(members):
+        return pd.DataFrame({"path": np.zeros(0, dtype=np.int64), "sig": []})
+    tokens, sig = _tokens(members["sketch"]), members["sig"].to_numpy()
+    common = np.zeros(tokens.shape, dtype=bool)
+    if len(leaders):
+        led = _tokens(leaders["m_sketch"].iloc[0])
+        for t in range(TOKENS):
+            values, n = np.unique(led[:, t], return_counts=True)
+            common[:, t] = np.isin(tokens[:, t], values[n >= max(3, len(led) / 4)])
+    common[common.all(axis=1)] = False
+    rare = (~common).sum(axis=1)
+    path = np.uint64(np.int64(members["path"].iloc[0]).view(np.uint64))
+    with np.errstate(over="ignore"):
+        u = mix64((tokens * _MIX) ^ path)
+    below = np.minimum(2.0 ** 64 / (KEEP * rare), 2.0 ** 64 - 4096).astype(np.uint64)
+    row, col = np.nonzero(~common & (u < below[:, None]))
+    return pd.DataFrame({"path": mix64(u[row, col] ^ _MIX).view(np.int64), "sig": sig[row]})
+
+
+def _with_leaders(members: DataFrame, leads, of, schema: str) -> DataFrame:
+    """``of`` applied to the classes (path, sig, sketch, size) of every path, in blocks, each with all leaders of the path (about
+    LEADERS, or LIMIT at most); ``leads`` says which classes lead."""
+    blocks = F.ceil(F.col("size") / BLOCK)
+    leaders = members.filter(leads).groupBy("path").agg(
+        F.collect_list("sig").alias("m_sig"), F.collect_list("sketch").alias("m_sketch"), F.max(blocks).alias("n"))
+    leaders = leaders.select(F.col("path").alias("of"), "m_sig", "m_sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at"))
+    dealt = members.select("path", F.pmod(F.xxhash64("sig"), blocks).alias("block"), "sig", "sketch")
+    return dealt.groupBy("path", "block").cogroup(leaders.groupBy("of", "at")).applyInPandas(of, schema)
+
+
+def _led(members: DataFrame, leads) -> DataFrame:
+    return stored(_with_leaders(members, leads, _compared_with_leaders, "path long, sig binary, y binary, share double"), "jaccard-led")
+
+
+def _by_hash():
+    """About LEADERS classes of each path."""
+    return F.pmod(F.xxhash64("path", "sig"), F.col("size")) < LEADERS
+
+
+def _settled(large: DataFrame, sketches: DataFrame) -> tuple[list[DataFrame], DataFrame | None]:
+    """(links found in paths over LIMIT, classes (path, sig, size) of those that must be split)."""
+    members = large.join(sketches, "sig")
+    led = _led(members, _by_hash())
+    links = [led.filter("y IS NOT NULL").select(F.col("sig").alias("x"), "y")]
+    left = stored(led.filter("y IS NULL").groupBy("path").agg(F.count(F.lit(1)).alias("open")), "jaccard-open")
+    # classes that a leader is surely near are done: whatever is at THRESHOLD to them is near that leader too
+    rest = led.filter((F.col("share") < SURE) & ~F.isnan("share")).join(left, "path")
+    few = rest.filter(F.col("open") <= LIMIT)
+    if few.head(1):
+        sizes = few.groupBy("path").agg(F.count(F.lit(1)).alias("size"))
+        again = _led(few.select("path", "sig", F.col("y").isNull().alias("open")).join(sizes, "path").join(sketches, "sig"),
+                     F.col("open"))
+        links.append(again.filter("y IS NOT NULL").select(F.col("sig").alias("x"), "y"))
+    many = rest.filter(F.col("open") > LIMIT).select("path", "sig")
+    if not many.head(1):
+        return links, None
+    return links, many.join(many.groupBy("path").agg(F.count(F.lit(1)).alias("size")), "path")
+
+
 def _block_pairs(large: DataFrame, sketches: DataFrame) -> DataFrame:
     """Classes of paths over LIMIT as blocks of about LIMIT, each with itself and each other of its path: a row for a pair."""
     own = F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / LIMIT))
@@ -251,7 +360,7 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     sketches = reps.filter("n > 0").select("sig", "sketch")
 
     rows = sketches.mapInPandas(_first_paths(runs_for(recall)), "path long, sig binary")
-    leaves = None
+    leaves, large, links = None, None, []
     for depth in range(DEPTH):
         sizes = stored(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "jaccard-paths")
         met = stored(rows.join(sizes, "path"), "jaccard-met")
@@ -261,19 +370,28 @@ def classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         if not large.head(1):
             large = None
             break
-        rows = large.join(sketches, "sig").select("path", "sig", "sketch").mapInPandas(
-            _next_paths, "path long, sig binary")
+        more, large = _settled(large, sketches)
+        links += more
+        if large is None:
+            break
+        rows = stored(_with_leaders(large.join(sketches, "sig"), _by_hash(), _next_paths, "path long, sig binary"), "jaccard-split")
     rows = leaves.select("path", "sig").join(sketches, "sig").groupBy("path").agg(
         F.collect_list(F.struct("sig", "sketch")).alias("m")).select(
         F.col("m.sig").alias("sig"), F.col("m.sketch").alias("sketch"), F.lit(0).alias("second"))
     if large is not None:
         rows = rows.unionByName(_block_pairs(large, sketches))
     found = rows.mapInPandas(_candidates, "x binary, y binary")
+    for more in links:
+        found = found.union(more)
     groups = components(found, "jaccard-near").toDF("sig", "near")
 
     sizes = stored(groups.groupBy("near").agg(F.count(F.lit(1)).alias("size")), "jaccard-near-sizes")
     members = stored(groups.join(sizes, "near").join(reps.select("sig", "md5", "copies"), "sig"), "jaccard-members")
-    texts = docs.select(text_md5(F.col("text")).alias("md5"), "text").groupBy("md5").agg(F.first("text").alias("text"))
+    wanted = members.select("md5").distinct()
+    texts = docs.select(text_md5(F.col("text")).alias("md5"), "text")
+    if members.count() <= FEW:  # only texts of groups are shuffled
+        texts = texts.join(F.broadcast(wanted), "md5", "left_semi")
+    texts = texts.groupBy("md5").agg(F.first("text").alias("text"))
 
     def as_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -301,7 +419,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     of = F.when(F.col("class_id").isNull(), F.col("sig"))
     best = every.groupBy("class_id", of.alias("_s")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "md5")).alias("k"))
-    kept = stored(best.select("k.doc_id", F.col("k.md5").alias("_md5")), "jaccard-kept")
-    keyed = docs.withColumn("_md5", text_md5(F.col("text")))
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["_md5"] == kept["_md5"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_md5"]).drop("_md5")
+    kept = stored(best.select("k.doc_id", "k.md5"), "jaccard-kept")
+    # the row travels as one column, so no column of its own can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_md5(F.col("text")).alias("digest"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("md5"))
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
