@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from studybank.llm.common import byte_size, stored
 
 #: Missing contents whose keys are broadcast (32 bytes each); more are found by a shuffle.
-FEW = 1_000_000
+FEW = 200_000
 #: A content that more than one row in HOT holds is joined by broadcast (fewer than HOT such contents exist).
 HOT = 1000
 #: Words whose counts a worker remembers; words encoded at a time.
