@@ -155,7 +155,17 @@ def _numbered(grams: Column) -> Column:
 
 def clipped_matches(cand: Column, ref: Column) -> Column:
     """How many of the candidate's grams the reference holds, each counted as often as both hold it."""
-    return F.size(F.array_intersect(_numbered(cand), _numbered(ref)))
+    def matches(x: Column) -> Column:
+        # first occurrences as plain sets, only the repeats are numbered
+        more = F.array_intersect(_numbered(_repeats(x["c"])), _numbered(_repeats(x["r"])))
+        return F.size(F.array_intersect(x["c"], x["r"])) + F.size(more)
+
+    return _bound(F.struct(cand.alias("c"), ref.alias("r")), matches)
+
+
+def _repeats(grams: Column) -> Column:
+    """The grams without the first occurrence of each."""
+    return _bound(F.sort_array(grams), lambda s: F.filter(s, lambda g, i: (i > 0) & (g == F.get(s, i - 1))))
 
 
 def bleu2_score(cand: Column, ref: Column) -> Column:
