@@ -130,9 +130,14 @@ def label_cells(rows: DataFrame, long: DataFrame, level: str, ident: str, key: s
 def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id",
                   every: bool = False) -> DataFrame:
     """Attach the report text of each study: the smallest, so the join never fans out, or with
-    ``every`` a row for each different text of the study."""
-    rep = (long.select("mimic_id", "report").distinct() if every
-           else long.groupBy("mimic_id").agg(F.min("report").alias("report")))
+    ``every`` a row for each different text of the study.
+
+    ``long`` repeats a report on each of its rows: equal ones are merged by hash where they lie, as the minimum of
+    strings would sort (and spill) every row with its whole report.  The count, always above 0, keeps the optimizer
+    from leaving that step out before the minimum."""
+    rep = long.groupBy("mimic_id", "report").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
+    if not every:
+        rep = rep.groupBy("mimic_id").agg(F.min("report").alias("report"))
     return embs.join(rep, embs[key] == rep["mimic_id"], "left").drop("mimic_id")
 
 

@@ -36,3 +36,16 @@ def test_both_texts_of_a_study(spark):
     long = spark.createDataFrame([("s", "one"), ("s", "two"), ("s", "two")], "mimic_id string, report string")
     assert [r.report for r in labels.attach_report(embs, long).collect()] == ["one"]
     assert sorted(r.report for r in labels.attach_report(embs, long, every=True).collect()) == ["one", "two"]
+
+
+def test_reports_are_merged_before_they_are_sorted(spark):
+    """Long labels repeat a report on each sentence: its rows meet a hash aggregate first, not a sort of them all."""
+    long = spark.createDataFrame([("s1", "two", "A", 1, "x"), ("s1", "one", "A", 0, "y"), ("s2", None, "A", 1, None)] * 3,
+                                 "mimic_id string, report string, cat string, vals int, sents string")
+    embs = spark.createDataFrame([("s1", "x"), ("s2", "y"), ("s3", "z")], "study_id string, target string")
+    out = labels.attach_report(embs, long)
+    assert sorted(map(tuple, out.select("study_id", "report").collect()), key=str) == [("s1", "one"), ("s2", None), ("s3", None)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    # leaves come last: the lowest aggregate over the long rows takes report as a key
+    lowest = [x for x in plan.splitlines() if "Aggregate" in x][-1]
+    assert "HashAggregate(keys=[mimic_id" in lowest and "SortAggregate" not in lowest
