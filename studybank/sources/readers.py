@@ -14,6 +14,7 @@ from studybank.functions.text import file_stem, parent_stem, template
 SECTIONED_SCHEMA = "study_id string, report string"
 SPLIT_SCHEMA = "index long, study_id string, path string, report string"
 LABEL_SCHEMA = "mimic_id string, report string, cat string, vals int, sents string"
+LABEL_TEXT_SCHEMA = "digest string, report string"
 REPORT_SCHEMA = "report string"
 
 
@@ -70,11 +71,19 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
     return out.withColumn("split", F.lit(split)) if split else out
 
 
-def read_sentence_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """Union of all label CSVs under a folder (header, fixed schema)."""
-    return (spark.read.schema(LABEL_SCHEMA).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.csv").csv(folder))
+def read_sentence_labels(spark: SparkSession, folder: str, texts: str | None = None) -> DataFrame:
+    """Union of all label CSVs under a folder (header, fixed schema); with ``texts``, the folder of their reports, each
+    row's digest is replaced by its report."""
+    def csv(schema: str, where: str) -> DataFrame:
+        return (spark.read.schema(schema).option("header", True).option("multiLine", True)
+                .option("escape", '"').option("recursiveFileLookup", True)
+                .option("pathGlobFilter", "*.csv").csv(where))
+
+    rows = csv(LABEL_SCHEMA, folder)
+    if not texts:
+        return rows
+    reports = csv(LABEL_TEXT_SCHEMA, texts)
+    return rows.withColumnRenamed("report", "digest").join(reports, "digest", "left").select(*rows.columns)
 
 
 def read_embeddings(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,7 +44,16 @@ def write_embeddings(df: DataFrame, out: str, max_rows: int = 50000) -> None:
      .partitionBy("case", "embed_type").parquet(out))
 
 
-def write_sentence_labels(df: DataFrame, out: str) -> None:
+def write_sentence_labels(df: DataFrame, out: str, texts: str | None = None) -> None:
+    """Label rows ``(mimic_id, report, cat, vals, sents)`` as CSV with a header.
+
+    With a folder ``texts``, each different report is written there once, as ``(digest, report)``, and the label rows hold
+    its digest: a report's text is not written again for each of its sentences."""
+    if texts:
+        digest = F.sha2(F.col("report").cast("binary"), 256)
+        (df.select(digest.alias("digest"), "report").where("report IS NOT NULL").distinct()
+         .write.mode("overwrite").option("header", True).options(**CSV).csv(texts))
+        df = df.withColumn("report", digest)
     (df.write.mode("overwrite").option("header", True).options(**CSV).csv(out))
 
 

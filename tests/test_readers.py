@@ -52,3 +52,18 @@ def test_read_model_config(spark):
     _write(spark, path, json.dumps(cfg, indent=2))
     rows = R.read_model_config(spark, path).collect()
     assert len(rows) == 1 and rows[0].embed_dim == 8 and rows[0].add_projection is True
+
+
+def test_label_csvs_hold_each_report_once(spark, tmp_path):
+    """The rows come back with their reports, which are not written again for each sentence."""
+    texts = ['a "quoted", text\n' * 600, "short", None]
+    rows = [(f"s{i % 4}", texts[i % 3], "A", i % 2, f"piece {i}") for i in range(300)] + [(None, texts[0], "B", None, None)] * 2
+    long = spark.createDataFrame(rows, "mimic_id string, report string, cat string, vals int, sents string").repartition(3)
+    out, apart = str(tmp_path / "labels"), str(tmp_path / "texts")
+    W.write_sentence_labels(long, out, apart)
+    back = R.read_sentence_labels(spark, out, apart)
+    assert back.columns == long.columns
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(rows, key=str)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.csv")) < 10 * len(texts[0])
+    W.write_sentence_labels(long, out)
+    assert sorted(map(tuple, R.read_sentence_labels(spark, out).collect()), key=str) == sorted(rows, key=str)
