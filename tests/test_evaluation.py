@@ -164,3 +164,29 @@ def test_a_run_written_twice_is_one_row_and_schemas_grow(spark):
     W.append_metrics(row.withColumn("random_state", F.lit(2)).withColumn("bleu", F.lit(0.1)), out)
     got = sorted((r.random_state, r.f1, r.bleu) for r in R.read_metrics(spark, out).fillna(-1.0).collect())
     assert got == [(0, 0.6, -1.0), (1, 0.5, -1.0), (2, 0.5, 0.1)]
+
+
+def test_grid_grows_with_the_rows_not_with_their_product():
+    """Small blocks share cells; with a group, a cell's queries and bank rows, whose product it may give, stay few."""
+    def sizes(n):
+        return {"q": (n // 10, n // 10 * 264), "b": (n, n * 264)}
+    small, large = (np.prod(retrieve._grid(sizes(n), 12, False, 64)) for n in (100_000, 600_000))
+    assert large <= 2 * small <= 2 * 12 * 12
+    for n in (100_000, 600_000):
+        groups, cells = retrieve._grid(sizes(n), 12, True, None)
+        assert (n // 10 / groups) * (n / cells) <= 1 << 21
+    # a cell never has fewer rows than a block
+    assert retrieve._grid({"q": (5, 100), "b": (9, 100)}, 12, False, 64) == (1, 1)
+
+
+def test_cells_of_a_grouped_search_give_few_rows(spark, monkeypatch):
+    """What one call of the scoring returns is bounded, whatever the number of queries and groups."""
+    x = vectors(600, 8)
+    v = spark.createDataFrame([(i, i // 5, r.tolist()) for i, r in enumerate(x)], "id long, batch int, embs array<double>").repartition(2)
+    whole = {(r.query_id, r.batch, r.rank, r.bank_id) for r in retrieve.topk(v, v, 2, query_key="id", bank_key="id", group="batch").collect()}
+    monkeypatch.setattr(retrieve, "GROUP_QUERIES", 40, raising=False)
+    monkeypatch.setattr(retrieve, "GROUP_ROWS", 50, raising=False)
+    top = retrieve.topk(v, v, 2, query_key="id", bank_key="id", group="batch")
+    assert {(r.query_id, r.batch, r.rank, r.bank_id) for r in top.collect()} == whole and len(whole) == 600 * 120 * 2
+    sizes = retrieve._sizes(v.select(F.col("embs").alias("v")), v.select(F.col("embs").alias("v")))
+    assert min(retrieve._grid(sizes, 1, True, None)) >= 12
