@@ -13,6 +13,7 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 from studybank import constants as K
@@ -20,6 +21,8 @@ from studybank import constants as K
 #: A sentence ends at . ! or ? followed by one space (cleaned text has single spaces).
 SENTENCE_BREAK = r"(?<=[.!?]) "
 _BREAK = re.compile(SENTENCE_BREAK)
+#: Bytes of the texts of a batch that are matched at a time.
+PART_BYTES = 1 << 20
 _META = re.compile(r"[\\.^$*+?{}\[\]|()\0]")
 
 
@@ -200,8 +203,21 @@ def _struct(**fields) -> pa.Array:
     return pa.StructArray.from_arrays(list(fields.values()), names=list(fields))
 
 
+def _in_parts(texts: pa.Array, work) -> pa.Array:
+    """``work`` over the texts, about PART_BYTES of them at a time: what a batch costs beside its result doesn't grow with
+    its rows."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64()))) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+    parts = [work(texts.slice(lo, hi - lo)) for lo, hi in zip(cuts, cuts[1:])]
+    return parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+
+
 def sentence_lists(texts: pa.Array) -> pa.Array:
     """Sentences of every text with their numbers and offsets."""
+    return _in_parts(texts, _sentence_lists)
+
+
+def _sentence_lists(texts: pa.Array) -> pa.Array:
     docs = [sentences_of(t) for t in texts.to_pylist()]
     flat = [s for d in docs for s in d]
     return _lists([len(d) for d in docs], _struct(
@@ -211,6 +227,10 @@ def sentence_lists(texts: pa.Array) -> pa.Array:
 
 def span_lists(texts: pa.Array, matcher: Matcher) -> pa.Array:
     """Mentions of every text, each text taken as one sentence."""
+    return _in_parts(texts, lambda part: _span_lists(part, matcher))
+
+
+def _span_lists(texts: pa.Array, matcher: Matcher) -> pa.Array:
     units = [t or "" for t in texts.to_pylist()]
     row, unit, start, end = matcher.find(units)
     observation, phrase = matcher.names(row)
@@ -223,6 +243,10 @@ def document_lists(texts: pa.Array, matcher: Matcher, assertion: Assertion) -> p
 
     Offsets and ids count within the text, whatever key the text has; ``pos`` is the
     place of the mention's sentence in the list of sentences."""
+    return _in_parts(texts, lambda part: _document_lists(part, matcher, assertion))
+
+
+def _document_lists(texts: pa.Array, matcher: Matcher, assertion: Assertion) -> pa.Array:
     docs = [sentences_of(t) for t in texts.to_pylist()]
     flat = [s for d in docs for s in d]
     sizes = np.array([len(d) for d in docs], dtype=np.int64)

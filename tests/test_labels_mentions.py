@@ -202,3 +202,19 @@ def test_reports_of_one_study_keep_their_own_mentions(spark):
     ph = spark.createDataFrame([("Edema", "and", "mention"), ("Edema", "and the", "unmention")], "observation string, phrase string, kind string")
     kept = M.drop_unmentions(M.phrase_spans(sents, ph, "mention"), M.phrase_spans(sents, ph, "unmention"))
     assert [r.text for r in kept.collect()] == ["no and here"]
+
+
+def test_texts_of_a_batch_are_matched_in_parts(monkeypatch):
+    """The same lists, however many texts a batch has; the matcher never gets more than a part and one text of it."""
+    import pyarrow as pa
+    from studybank.operators import spans
+    texts = pa.array([f"no heart failure {i}. chf or not! more" if i % 7 else (None if i % 2 else "") for i in range(500)], pa.string())
+    matcher = spans.Matcher([("A", "heart failure"), ("B", "chf"), ("B", "(or|no)")], [("B", "chf or")])
+    assertion = spans.Assertion([("negation", "(^| )no {m}"), ("post_uncertain", "{m} or")])
+    work = (lambda t: spans.document_lists(t, matcher, assertion), lambda t: spans.span_lists(t, matcher), spans.sentence_lists)
+    whole = [w(texts).to_pylist() for w in work]
+    most, find = [], spans.Matcher.find
+    monkeypatch.setattr(spans.Matcher, "find", lambda self, units: most.append(sum(map(len, units))) or find(self, units))
+    monkeypatch.setattr(spans, "PART_BYTES", 300, raising=False)
+    assert [w(texts).to_pylist() for w in work] == whole
+    assert max(most) < 300 + 50 and [w(texts[:0]).to_pylist() for w in work] == [[], [], []]
