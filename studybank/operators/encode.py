@@ -132,7 +132,7 @@ def embed(df: DataFrame, encoder, col: str, keys: list[str], out: str = "embs",
 
     def run(batches):
         encoder.load()
-        for pdf in batches:
+        for pdf in _in_parts(batches):
             vecs = _normalise(encoder.encode(pdf["_x"])).astype(dtype)
             res = pdf[keys].copy()
             res[out] = list(vecs)
@@ -141,6 +141,17 @@ def embed(df: DataFrame, encoder, col: str, keys: list[str], out: str = "embs",
     return src.mapInPandas(run, f"{_keys(df, keys)}, `{out}` array<{precision}>")
 
 
+#: Rows of a batch that are encoded at a time.
+PART_ROWS = 500
+
+
+def _in_parts(batches):
+    """Batches of at most PART_ROWS rows, as what an encoder makes beside its vectors grows with the rows it gets."""
+    for pdf in batches:
+        for lo in range(0, len(pdf), PART_ROWS):
+            yield pdf.iloc[lo:lo + PART_ROWS].reset_index(drop=True)
+
+
 #: Most models of one config table; more raise an error.
 MAX_CONFIGS = 10_000
 #: Most parameters of all projections of a config together, which every executor holds.
@@ -217,7 +228,7 @@ def embed_models(df: DataFrame, sides: list[Model], col: str, keys: list[str], e
     def run(batches):
         for encoder in distinct.values():
             encoder.load()
-        for pdf in batches:
+        for pdf in _in_parts(batches):
             raw = {name: encoder.encode(pdf[inputs[name]]) for name, encoder in distinct.items()}
             for case, name, weights, bias in shared.value:
                 x = raw[name] if weights is None else raw[name] @ weights.T + bias

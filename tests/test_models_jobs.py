@@ -138,3 +138,30 @@ def test_jobs_from_files_to_files(spark):
     cfg = [{"model_path": "none", "image_encoder": "grid-means", "text_encoder": "hashed-ngrams", "add_projection": False, "embed_dim": 8}]
     jobs.embed_bank(spark.read.parquet(folder), cfg, bank)
     assert R.read_embeddings(spark, bank).where("size(embs) = 8 AND embed_type = 'text'").count() == 40
+
+
+def test_encoders_get_parts_of_a_batch(spark, monkeypatch):
+    """An encoder gets few rows of a batch at a time, and every row has its vector."""
+    import pandas as pd
+    from studybank.operators import encode
+    monkeypatch.setattr(encode, "PART_ROWS", 50, raising=False)
+    frame = pd.DataFrame({"k": range(130), "v": [f"text {i}" for i in range(130)]})
+    parts = list(encode._in_parts(iter([frame, frame[:0], frame[:50]])))
+    assert [len(p) for p in parts] == [50, 50, 30, 50] and all(p.index[0] == 0 for p in parts)
+    assert pd.concat(parts).equals(pd.concat([frame[:50], frame[50:100].reset_index(drop=True), frame[100:].reset_index(drop=True), frame[:50]]))
+
+    class Most:
+        kind, name, dim = "text", "most", 1
+
+        def load(self):
+            pass
+
+        def encode(self, batch):
+            if len(batch) > 500:
+                raise ValueError(f"{len(batch)} rows at once")
+            return np.ones((len(batch), 1))
+
+    df = spark.range(3000).select(F.col("id").cast("string").alias("study_id"), F.lit("a text").alias("report")).coalesce(1)
+    assert encode.embed(df, Most(), "report", ["study_id"]).select("study_id").distinct().count() == 3000
+    sides = [encode.Model("c", Most())]
+    assert encode.embed_models(df, sides, "report", ["study_id"], "text").count() == 3000
