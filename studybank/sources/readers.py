@@ -18,14 +18,27 @@ LABEL_TEXT_SCHEMA = "digest string, report string"
 REPORT_SCHEMA = "report string"
 
 
+#: Bytes of small files that one task reads; tasks for each core, at least.
+TASK_BYTES, CORE_TASKS = 64 << 20, 4
+
+
+def in_few_tasks(files: DataFrame) -> DataFrame:
+    """A scan of whole files with tasks by their bytes.
+
+    Spark counts the opening of a file as 4 MB, so a folder of small files makes a task (and its report to the driver) for
+    every 32 of them; a task here takes many such splits."""
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.coalesce(max(CORE_TASKS * cores, -(-size // TASK_BYTES)))
+
+
 def read_report_tree(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/pNN/pNNNNNNNN/sNNNNNNNN.txt`` -> ``(study_id, group, patient, text)``;
     one row per file with its whole text.  Group folders are ``p`` + 2 chars,
     patient folders start with ``p``, report files with ``s``."""
     df = spark.read.text(f"{root.rstrip('/')}/p??/p*/s*.txt", wholetext=True)
-    path = F.col("_metadata.file_path")
-    parts = F.regexp_extract(path, r"/(p[^/]{2})/(p[^/]*)/(s[^/]*)\.txt$", 0)
-    return (df.select(F.col("value").alias("text"), path.alias("_p"))
+    parts = F.regexp_extract("_p", r"/(p[^/]{2})/(p[^/]*)/(s[^/]*)\.txt$", 0)
+    return (in_few_tasks(df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_p")))
             .where(parts != "")
             .select(F.regexp_extract("_p", r"/(s[^/]*)\.txt$", 1).alias("study_id"),
                     F.regexp_extract("_p", r"/(p[^/]{2})/p[^/]*/s[^/]*\.txt$", 1).alias("group"),
@@ -49,7 +62,7 @@ def read_text_folder(spark: SparkSession, folder: str, templated: bool = False)
     df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt")
           .text(folder, wholetext=True))
     text = template(F.col("value")) if templated else F.col("value")
-    return df.select(file_stem(F.col("_metadata.file_path")).alias("study_id"), text.alias("report"))
+    return in_few_tasks(df.select(file_stem(F.col("_metadata.file_path")).alias("study_id"), text.alias("report")))
 
 
 def list_images(spark: SparkSession, folder: str, fmt: str = "png",
@@ -59,6 +72,7 @@ def list_images(spark: SparkSession, folder: str, fmt: str = "png",
     file contents are pruned away."""
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
           .option("pathGlobFilter", f"*.{fmt}").load(folder).select("path"))
+    df = in_few_tasks(df)
     key = parent_stem(F.col("path")) if level == "study" else file_stem(F.col("path"))
     return df.select(key.alias("study_id"), "path")
 
@@ -144,6 +158,7 @@ def read_images(spark: SparkSession, folder: str, mode: str = "drop") -> DataFra
     ``mode='drop'`` skips unreadable files; ``'fail'`` aborts on them."""
     df = (spark.read.format("image").option("recursiveFileLookup", True)
           .option("dropInvalid", mode == "drop").load(folder))
+    df = in_few_tasks(df)
     if mode == "fail":
         # undecodable files come back with height -1: stop the job on them
         df = df.withColumn("image", F.when(F.col("image.height") < 0, F.raise_error(

@@ -67,3 +67,21 @@ def test_label_csvs_hold_each_report_once(spark, tmp_path):
     assert sum(p.stat().st_size for p in tmp_path.rglob("*.csv")) < 10 * len(texts[0])
     W.write_sentence_labels(long, out)
     assert sorted(map(tuple, R.read_sentence_labels(spark, out).collect()), key=str) == sorted(rows, key=str)
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    """Tasks go by bytes: a folder of small files doesn't make one for every few of them."""
+    for i in range(120):
+        (tmp_path / f"p1{i % 5}" / f"p10{i % 7}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"p1{i % 5}" / f"p10{i % 7}" / f"s{i}.txt").write_text(f"text {i}\nof it")
+    key = "spark.sql.files.openCostInBytes"
+    was = spark.conf.get(key)
+    most = 4 * spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(128 << 20))
+    try:
+        tree, folder = R.read_report_tree(spark, str(tmp_path)), R.read_text_folder(spark, str(tmp_path))
+        assert most < 120 and tree.rdd.getNumPartitions() <= most and folder.rdd.getNumPartitions() <= most
+        assert sorted(r.text for r in tree.collect()) == sorted(r.report for r in folder.collect()) == sorted(f"text {i}\nof it" for i in range(120))
+        assert {(r.study_id, r.group, r.patient) for r in tree.collect()} == {(f"s{i}", f"p1{i % 5}", f"p10{i % 7}") for i in range(120)}
+    finally:
+        spark.conf.set(key, was)
