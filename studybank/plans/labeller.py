@@ -15,7 +15,7 @@ from studybank.functions.text import clean_report
 from studybank.operators import labels as L
 from studybank.operators import mentions as M
 from studybank.operators.text import split_sentences
-from studybank.session import spread
+from studybank.session import deals, spread
 
 MENTION_COLUMNS = ("sent_idx", "offset", "observation", "phrase", "start", "end", "ann_id", "doc_offset",
                    "length", "mention", "status", "label")
@@ -76,7 +76,11 @@ def document_vectors(reports: DataFrame, phrases: DataFrame, patterns: DataFrame
 def sentence_table(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                    key: str = "study_id", col: str = "report") -> DataFrame:
     """``mimic_id, report, cat, vals, sents``: every report row with its label
-    rows (null cat/vals/sents when it has none)."""
-    return (_label_lists(reports, phrases, patterns, key, col)
+    rows (null cat/vals/sents when it has none).
+
+    A report stands on each of its rows, so the reports are dealt into partitions that a writer stores them in once."""
+    rows = reports.select(key, col)
+    rows = rows.repartition(deals(rows.select(F.octet_length(col).alias("n")), "n"))
+    return (_label_lists(rows, phrases, patterns, key, col)
             .select(F.col(key).alias("mimic_id"), "report", F.inline_outer("rows"))
             .select("mimic_id", "report", "cat", F.col("val").alias("vals"), "sents"))

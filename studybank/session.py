@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 _SHIPPED: set = set()
@@ -104,6 +105,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(target)
 
 
+#: Bytes of the texts of a partition whose rows repeat them: well below the 1 MB of different values that a Parquet writer
+#: keeps in a column's dictionary by default.
+DEAL_BYTES = 640 << 10
+
+
+def deals(sizes: DataFrame, col: str) -> int:
+    """Number of partitions for texts of ``sizes[col]`` bytes whose rows repeat them.
+
+    Where a text stands on many rows of one such partition, a writer keeps it once in the column's dictionary; in larger
+    partitions the dictionary overflows and every row has its whole text."""
+    total = sizes.agg(F.sum(col)).first()[0] or 0
+    return max(sizes.sparkSession.sparkContext.defaultParallelism, -(-int(total) // DEAL_BYTES))
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Materialise ``df`` as Parquet in the shared folder and read it back.
 
