@@ -60,7 +60,10 @@ def _label_lists(reports, phrases, patterns, key, col) -> DataFrame:
 def label_rows(reports: DataFrame, phrases: DataFrame, patterns: DataFrame,
                key: str = "study_id", col: str = "report", rules: bool = False) -> DataFrame:
     """Long label rows ``key, cat, val, sents``, with ``rules`` also the rule each row comes from."""
-    out = _label_lists(reports, phrases, patterns, key, col).select(key, F.inline("rows"))
+    docs = annotated(reports, phrases, patterns, key, col)
+    # inlined as an expression: of a plain column Spark infers a filter (the list is not empty), which it moves below the
+    # deal of the reports, where each scan task would do all the matching once more
+    out = docs.select(key, F.inline(L.label_list(F.col("sentences"), F.col("found"), F.col("text"))))
     return out if rules else out.drop("rule")
 
 
