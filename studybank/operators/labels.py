@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from studybank import constants as K
+from studybank.session import deals
 
 
 def pivot_labels(long: DataFrame, categories=K.CATEGORIES, cat: str = "cat",
@@ -156,9 +157,13 @@ def expand_sentences(studies: DataFrame, long: DataFrame, key: str = "study_id",
 def sentence_labels(label_rows: DataFrame, reports: DataFrame, key: str = "study_id",
                     report: str = "report") -> DataFrame:
     """``(mimic_id, report, cat, vals, sents)``: every report with the label rows
-    of its key (null cat/vals/sents when it has none)."""
+    of its key (null cat/vals/sents when it has none).
+
+    A report stands on each of its rows, so the join's partitions are those that a writer stores the reports in once."""
     labels = label_rows.select(key, "cat", F.col("val").cast("int").alias("vals"), "sents")
-    return reports.select(key, F.col(report).alias("report")).join(labels, key, "left").withColumnRenamed(key, "mimic_id")
+    texts = reports.select(key, F.col(report).alias("report"))
+    texts = texts.repartition(deals(texts.select(F.octet_length("report").alias("n")), "n"), key)
+    return texts.join(labels, key, "left").withColumnRenamed(key, "mimic_id")
 
 
 def pair_studies(images: DataFrame, reports: DataFrame, key: str = "study_id") -> DataFrame:
