@@ -66,17 +66,25 @@ def _rows_of(phrases: DataFrame, *kinds: str) -> list[list[tuple[str, str]]]:
     return [[(r["observation"], r["phrase"]) for r in rows if r["kind"] == kind] for kind in kinds]
 
 
+def _finder(matcher: Matcher):
+    return F.arrow_udf(lambda t: span_lists(t, matcher), SPANS_TYPE)
+
+
 def _exploded(sentences: DataFrame, matcher: Matcher, text: str) -> DataFrame:
-    find = F.arrow_udf(lambda t: span_lists(t, matcher), SPANS_TYPE)
-    return sentences.select("*", F.inline(find(F.col(text))))
+    return sentences.select("*", F.inline(_finder(matcher)(F.col(text))))
 
 
-def phrase_spans(sentences: DataFrame, phrases: DataFrame, kind: str = "mention",
+def phrase_spans(sentences: DataFrame, phrases: DataFrame, kind: str | tuple[str, ...] = "mention",
                  text: str = "text") -> DataFrame:
     """``(…sentence columns, observation, phrase, start, end)`` for every match
     of every phrase of ``kind`` in every sentence: ``[start, end)`` in code
-    points, matches of one phrase do not overlap."""
-    return _exploded(sentences, Matcher(*_rows_of(phrases, kind)), text)
+    points, matches of one phrase do not overlap.  Several kinds are found in one
+    pass over the sentences; each row then also has its ``kind``."""
+    if isinstance(kind, str):
+        return _exploded(sentences, Matcher(*_rows_of(phrases, kind)), text)
+    lists = [F.transform(_finder(Matcher(rows))(F.col(text)), lambda s: s.withField("kind", F.lit(k)))
+             for k, rows in zip(kind, _rows_of(phrases, *kind))]
+    return sentences.select("*", F.inline(F.concat(*lists)))
 
 
 def filtered_spans(sentences: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:

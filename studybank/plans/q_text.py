@@ -422,11 +422,8 @@ SELECT observation, phrase, kind, coalesce(n, 0) AS spans FROM expanded LEFT JOI
 def q_unmention_expand(spark, sf_dir):
     """The expanded dictionary, and how many spans each phrase has in the documents."""
     phr, key = _phr(spark), ["observation", "phrase", "kind"]
-    hits = None
-    for kind in ("mention", "unmention"):
-        spans = M.phrase_spans(_sents(spark, sf_dir), phr, kind).select("observation", "phrase")
-        n = spans.withColumn("kind", F.lit(kind)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
-        hits = n if hits is None else hits.unionByName(n)
+    spans = M.phrase_spans(_sents(spark, sf_dir), phr, ("mention", "unmention"))
+    hits = spans.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     return phr.select(*key).join(hits, key, "left").select(*key, F.coalesce("n", F.lit(0)).alias("spans"))
 
 
