@@ -16,7 +16,7 @@ from studybank.operators.text import join_ranked, pad_tokens, split_on_dot, word
 from studybank.plans import bindings as B
 from studybank.plans import labeller
 from studybank.plans.registry import register, rounded
-from studybank.session import spread
+from studybank.session import cut_lineage, spread
 
 # ----------------------------------------------------------------------------
 # SQL building blocks (DuckDB / RE2: no look-around, so the slash rule runs twice)
@@ -450,10 +450,9 @@ def q_phrase_match(spark, sf_dir):
 SELECT study_id, sent_idx, observation, phrase, start, "end" FROM kept
 """)
 def q_unmention_overlap(spark, sf_dir):
-    sents = _sents(spark, sf_dir)
-    ph = _phr(spark)
-    kept = M.drop_unmentions(M.phrase_spans(sents, ph, "mention"),
-                             M.phrase_spans(sents, ph, "unmention"))
+    # both sides of the join come from one pass over the documents
+    spans = cut_lineage(M.phrase_spans(_sents(spark, sf_dir), _phr(spark), ("mention", "unmention")).drop("offset"), "spans")
+    kept = M.drop_unmentions(spans.where("kind = 'mention'"), spans.where("kind = 'unmention'"))
     return kept.select("study_id", "sent_idx", "observation", "phrase", "start", "end")
 
 
