@@ -8,7 +8,7 @@ from studybank.plans import bindings as B
 from studybank.plans import evaluation, flagship
 from studybank.plans.q_retrieval import COS
 from studybank.plans.registry import register, rounded
-from studybank.session import shared_dir
+from studybank.session import cut_lineage, shared_dir
 from studybank.sources import readers as R
 from studybank.sources import writers as W
 
@@ -93,15 +93,21 @@ RUN_SQL = f"""'{RUN.bank}' AS bank, '{RUN.query}' AS query, CAST({RUN.test_size}
        CAST({RUN.random_state} AS INTEGER) AS random_state"""
 
 
-def _sides(spark, sf_dir):
+def _bank(spark, sf_dir):
+    """The bank's rows, written once: an evaluation reads them many times, each of which would join all documents."""
+    return cut_lineage(B.bank_rows(spark, sf_dir), "eval-bank")
+
+
+def _sides(spark, sf_dir, bank):
     role = flagship.roles(spark, sf_dir).select("vec_id", "role")
-    rows = B.bank_rows(spark, sf_dir).join(role, "vec_id")
+    rows = bank.join(role, "vec_id")
     return (rows.where("role = 'query'").select(F.col("vec_id").alias("query_id"), "study_id", "target", "embs"),
             rows.where("role = 'bank'").select(F.col("vec_id").alias("bank_id"), "batch_id", "pos", "study_id", "target", "embs"))
 
 
-def _text_bank(spark, sf_dir, bleu: bool) -> evaluation.Evaluation:
-    return evaluation.evaluate(*_sides(spark, sf_dir), B.bank_sentence_labels(spark, sf_dir), RUN, k=K, max_k=MAX_K, bleu=bleu)
+def _text_bank(spark, sf_dir, bank, bleu: bool) -> evaluation.Evaluation:
+    return evaluation.evaluate(*_sides(spark, sf_dir, bank), B.bank_sentence_labels(spark, sf_dir, bank), RUN, k=K, max_k=MAX_K,
+                               bleu=bleu)
 
 
 @register("evaluate_text_bank", f"""
@@ -118,13 +124,14 @@ FROM sc LEFT JOIN bl USING (query_id)
 def q_evaluate_text_bank(spark, sf_dir):
     """Scores of sampled queries (their studies' labels) against a bank of texts (their sentences' labels), each text once
     a batch, with the BLEU of what was retrieved."""
-    return rounded(_text_bank(spark, sf_dir, bleu=True).scores.drop("hit_classes"))
+    return rounded(_text_bank(spark, sf_dir, _bank(spark, sf_dir), bleu=True).scores.drop("hit_classes"))
 
 
 @register("evaluate_study_bank", f"WITH {scores_sql(False, 'study')}{METRICS_SQL}, {RUN_SQL} FROM sc")
 def q_evaluate_study_bank(spark, sf_dir):
     """The metrics row where bank rows have their studies' labels and equal texts all count."""
-    out = evaluation.evaluate(*_sides(spark, sf_dir), B.bank_sentence_labels(spark, sf_dir), RUN, k=K, max_k=MAX_K,
+    bank = _bank(spark, sf_dir)
+    out = evaluation.evaluate(*_sides(spark, sf_dir, bank), B.bank_sentence_labels(spark, sf_dir, bank), RUN, k=K, max_k=MAX_K,
                               bank_level="study", unique_text=None)
     return rounded(out.metrics)
 
@@ -137,9 +144,10 @@ SELECT *, 'with bleu' AS "case" FROM one UNION ALL SELECT * REPLACE (NULL AS ble
 """)
 def q_metrics_runs(spark, sf_dir):
     """Two cases appended to one history, one of them without BLEU, and the other written twice as by a retried job."""
-    out = shared_dir(spark, "metrics")
-    plain = rounded(_text_bank(spark, sf_dir, bleu=False).metrics).withColumn("case", F.lit("plain"))
-    scored = rounded(_text_bank(spark, sf_dir, bleu=True).metrics).withColumn("case", F.lit("with bleu"))
+    out, bank = shared_dir(spark, "metrics"), _bank(spark, sf_dir)
+    plain = rounded(_text_bank(spark, sf_dir, bank, bleu=False).metrics).withColumn("case", F.lit("plain"))
+    scored = rounded(_text_bank(spark, sf_dir, bank, bleu=True).metrics).withColumn("case", F.lit("with bleu"))
+    scored = cut_lineage(scored, "metrics-row")  # one row, written twice below
     for row in (plain, scored, scored):
         W.append_metrics(row, out)
     return R.read_metrics(spark, out)

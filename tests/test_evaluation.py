@@ -190,3 +190,16 @@ def test_cells_of_a_grouped_search_give_few_rows(spark, monkeypatch):
     assert {(r.query_id, r.batch, r.rank, r.bank_id) for r in top.collect()} == whole and len(whole) == 600 * 120 * 2
     sizes = retrieve._sizes(v.select(F.col("embs").alias("v")), v.select(F.col("embs").alias("v")))
     assert min(retrieve._grid(sizes, 1, True, None)) >= 12
+
+
+def test_metrics_runs_join_the_documents_once(spark, tmp_path, monkeypatch):
+    """Every evaluation of the history reads the bank's rows as they were written, in the labels, too."""
+    from studybank.plans import bindings, q_evaluation
+    rows = [(i, [float(i % 5), 1.0], i % 3) for i in range(600)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame([(i, f"text {i % 7}") for i in range(30)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 4, 1) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    calls, whole = [], bindings.bank_rows
+    monkeypatch.setattr(bindings, "bank_rows", lambda *a: calls.append(a) or whole(*a))
+    got = q_evaluation.q_metrics_runs(spark, str(tmp_path)).collect()
+    assert sorted(r["case"] for r in got) == ["plain", "with bleu"] and len(calls) == 1
