@@ -259,7 +259,7 @@ def q_null_vector(spark, sf_dir):
 
 @register("project_columns", f"WITH {LONG} SELECT mimic_id, report FROM long")
 def q_project(spark, sf_dir):
-    return B.long_labels(spark, sf_dir).drop("cat", "vals", "sents", "index").select(
+    return B.long_labels(spark, sf_dir, dealt=True).drop("cat", "vals", "sents", "index").select(
         "mimic_id", "report")
 
 
