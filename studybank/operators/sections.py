@@ -158,11 +158,13 @@ def concat_sections(sections: DataFrame, key: str = "study_id",
 
 
 def overrides_table(spark) -> DataFrame:
-    """The fixed per-study overrides as one small table."""
+    """The fixed per-study overrides as one small table, of literals: the planner takes the size of rows from Python as
+    unknown and would send the reports to every task instead."""
     rows = [(s, n, None, None) for s, n in K.OVERRIDE_SECTION_NAMES.items()]
     rows += [(s, None, a, b) for s, (a, b) in K.OVERRIDE_SLICES.items()]
-    return spark.createDataFrame(
-        rows, "study_id string, section_name string, start int, end int")
+    kinds = {"study_id": "string", "section_name": "string", "start": "int", "end": "int"}
+    return spark.range(1).select(F.inline(F.array(*[
+        F.struct(*[F.lit(v).cast(kind).alias(c) for v, (c, kind) in zip(row, kinds.items())]) for row in rows])))
 
 
 def apply_overrides(reports: DataFrame, sections: DataFrame, overrides: DataFrame,

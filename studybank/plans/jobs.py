@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from studybank.operators import encode, labels, sections, splits
 from studybank.operators.text import split_on_dot
+from studybank.session import cut_lineage
 from studybank.sources import readers, writers
 
 
@@ -20,13 +21,20 @@ def section_reports(reports: DataFrame, overrides: DataFrame, concat: bool = Fal
 
     The last section of the first name that occurs of impression, findings, last paragraph and comparison; with ``concat``
     the first three in that order, one after the other.  Studies with an override take its slice or section instead (left out
-    with ``concat``, as they have no sections to join)."""
-    parts = sections.split_sections(reports)
+    with ``concat``, as they have no sections to join).
+
+    Reports without an override are read and split once; the others, which the overrides' steps read again and again, are
+    put by as they are found."""
     if concat:
+        parts = sections.split_sections(reports)
         own = reports.join(overrides.select("study_id"), "study_id", "left_anti").select("study_id")
         made = sections.concat_sections(parts, names=("impression", "findings", "last_paragraph"))
         return own.join(made, "study_id", "left").select("study_id", F.coalesce("report", F.lit("")).alias("report"))
-    return sections.apply_overrides(reports, parts, overrides).select("study_id", F.coalesce("report", F.lit("")).alias("report"))
+    keys = overrides.select("study_id")
+    plain = sections.pick_section(sections.split_sections(reports.join(keys, "study_id", "left_anti")))
+    own = cut_lineage(reports.join(keys, "study_id", "left_semi"), "overridden")
+    changed = sections.apply_overrides(own, sections.split_sections(own), overrides).select("study_id", "report")
+    return plain.unionByName(changed).select("study_id", F.coalesce("report", F.lit("")).alias("report"))
 
 
 def create_section_files(spark: SparkSession, tree: str, out: str, overrides: DataFrame | None = None, concat: bool = False,
