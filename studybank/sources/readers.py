@@ -1,15 +1,24 @@
 """Readers: every input format of the pipeline, with explicit schemas.
 
-All readers are lazy DataFrame scans; none lists files on the driver.
+All readers are lazy DataFrame scans.  A report tree is listed and read by the executors; of its files the driver
+learns only how many there are.
 """
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studybank.functions.text import file_stem, parent_stem, template
+from studybank.session import cut_lineage
+from studybank.sources.writers import store_of
 
 SECTIONED_SCHEMA = "study_id string, report string"
 SPLIT_SCHEMA = "index long, study_id string, path string, report string"
@@ -20,6 +29,8 @@ REPORT_SCHEMA = "report string"
 
 #: Bytes of small files that one task reads; tasks for each core, at least.
 TASK_BYTES, CORE_TASKS = 64 << 20, 4
+#: Names of a folder, and bytes of texts, that a task hands on at a time.
+LIST_ROWS, GIVE_BYTES = 10_000, 4 << 20
 
 
 def in_few_tasks(files: DataFrame) -> DataFrame:
@@ -32,14 +43,100 @@ def in_few_tasks(files: DataFrame) -> DataFrame:
     return files.coalesce(max(CORE_TASKS * cores, -(-size // TASK_BYTES)))
 
 
+def _entries(store, place: str, name: re.Pattern) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a folder, bytes) of what a folder holds under fitting names; a local one is not held in memory."""
+    from pyarrow import fs
+    if not isinstance(store, fs.LocalFileSystem):
+        for x in store.get_file_info(fs.FileSelector(place)):
+            if name.fullmatch(x.base_name):
+                yield x.base_name, x.type == fs.FileType.Directory, x.size or 0
+        return
+    with os.scandir(place) as found:
+        for x in found:
+            if name.fullmatch(x.name) and os.path.exists(x.path):
+                yield x.name, x.is_dir(), x.stat().st_size
+
+
+def _inside(root: str, name: str, folders: bool) -> Callable:
+    """A step from folders (paths below ``root``) to the ``(path, bytes)`` of the folders, or else files, in them."""
+    fits = re.compile(name, re.DOTALL)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(root)
+        for b in batches:
+            rows: list[tuple[str, int]] = []
+            for folder in b.column("path").to_pylist():
+                for found, is_folder, size in _entries(store, top + folder, fits):
+                    if is_folder == folders:
+                        rows.append((f"{folder}/{found}", size))
+                    if len(rows) >= LIST_ROWS:
+                        yield _named(rows)
+                        rows = []
+            yield _named(rows)
+    return run
+
+
+def _named(rows: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"path": pa.array([r[0] for r in rows], pa.string()), "bytes": pa.array([r[1] for r in rows], pa.int64())})
+
+
+def _contents(root: str) -> Callable:
+    """A step from files (paths below ``root``) to their paths, written as in a URI, and contents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of(root)
+        for b in batches:
+            paths, data, held = [], [], 0
+            for path in b.column("path").to_pylist():
+                with store.open_input_stream(top + path, compression=None) as file:
+                    data.append(file.read())
+                paths.append(_as_uri(path))
+                held += len(data[-1])
+                if held >= GIVE_BYTES:
+                    yield pa.RecordBatch.from_pydict({"_p": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
+                    paths, data, held = [], [], 0
+            yield pa.RecordBatch.from_pydict({"_p": pa.array(paths, pa.string()), "data": pa.array(data, pa.binary())})
+    return run
+
+
+def _as_uri(path: str) -> str:
+    """The path as ``_metadata.file_path`` has it."""
+    return re.sub(r"[^\w/@,;:$&+=.!~'()*-]", lambda m: m.group() if m.group() > "\xa0" and m.group().isprintable() else quote(m.group(), safe=""), path)
+
+
+def _tree_files(spark: SparkSession, root: str) -> DataFrame | None:
+    """``(_p, text)`` of the files ``<root>/p??/p*/s*.txt``, listed and read by the executors through Arrow's file systems.
+
+    A listing by Spark's reader takes a path of its own for every file a glob fits, and the driver keeps them all.  None, if
+    ``root`` is a pattern itself or in a store that Arrow doesn't reach.  As with Spark's reader, no file at all is an error
+    and empty files are left out."""
+    if re.search(r"[*?\[{\\]", root):
+        return None
+    try:
+        store, top = store_of(root)
+        groups = [(f"/{name}",) for name, is_folder, _ in _entries(store, top, re.compile("p..", re.DOTALL)) if is_folder]
+    except (pa.ArrowException, ImportError):
+        return None
+    tasks = CORE_TASKS * spark.sparkContext.defaultParallelism
+    patients = spark.createDataFrame(groups, "path string").mapInArrow(_inside(root, "p.*", True), "path string, bytes long")
+    found = patients.repartition(tasks, "path").mapInArrow(_inside(root, r"s.*\.txt", False), "path string, bytes long")
+    files = cut_lineage(found, "report_list")
+    n, size = files.agg(F.count("path"), F.sum("bytes")).first()
+    if not n:
+        raise FileNotFoundError(f"no reports p??/p*/s*.txt in {root}")
+    dealt = files.where("bytes > 0").select("path").repartition(max(tasks, -(-size // TASK_BYTES)), "path")
+    return dealt.mapInArrow(_contents(root), "_p string, data binary").select(F.col("data").cast("string").alias("text"), "_p")
+
+
 def read_report_tree(spark: SparkSession, root: str) -> DataFrame:
     """``<root>/pNN/pNNNNNNNN/sNNNNNNNN.txt`` -> ``(study_id, group, patient, text)``;
     one row per file with its whole text.  Group folders are ``p`` + 2 chars,
     patient folders start with ``p``, report files with ``s``."""
-    df = spark.read.text(f"{root.rstrip('/')}/p??/p*/s*.txt", wholetext=True)
+    df = _tree_files(spark, root.rstrip("/"))
+    if df is None:
+        files = spark.read.text(f"{root.rstrip('/')}/p??/p*/s*.txt", wholetext=True)
+        df = in_few_tasks(files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_p")))
     parts = F.regexp_extract("_p", r"/(p[^/]{2})/(p[^/]*)/(s[^/]*)\.txt$", 0)
-    return (in_few_tasks(df.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("_p")))
-            .where(parts != "")
+    return (df.where(parts != "")
             .select(F.regexp_extract("_p", r"/(s[^/]*)\.txt$", 1).alias("study_id"),
                     F.regexp_extract("_p", r"/(p[^/]{2})/p[^/]*/s[^/]*\.txt$", 1).alias("group"),
                     F.regexp_extract("_p", r"/(p[^/]*)/s[^/]*\.txt$", 1).alias("patient"),

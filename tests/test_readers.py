@@ -3,6 +3,8 @@
 import json
 import re
 
+import pytest
+
 from studybank.session import shared_dir
 from studybank.sources import readers as R
 from studybank.sources import writers as W
@@ -85,3 +87,25 @@ def test_small_files_are_read_in_few_tasks(spark, tmp_path):
         assert {(r.study_id, r.group, r.patient) for r in tree.collect()} == {(f"s{i}", f"p1{i % 5}", f"p10{i % 7}") for i in range(120)}
     finally:
         spark.conf.set(key, was)
+
+
+def test_a_report_tree_is_listed_and_read_by_the_executors(spark, tmp_path):
+    """The plan holds no path for each report, and the rows are those of Spark's own reader, which patterns still go to."""
+    files = {f"p1{i % 3}/p10{i % 7}/s{i}.txt": f"text {i}\n\r\nof it".encode() for i in range(90)}
+    files |= {"p10/p1 0/s a%+é  [1].txt": b"odd name", "p10/p100/s500.txt": b"", "p10/p100/s501.txt": b"\xff caf\xe9\x00",
+              "p10/p100/x1.txt": b"no report", "p10/p100/s1.text": b"no", "p100/p1/s2.txt": b"no group", "p10/q1/s3.txt": b"no patient",
+              "p10/p100/deep/s4.txt": b"too deep", "p 1/p1/s5.txt": b"a group that URIs write longer", "p10/s6.txt": b"no patient"}
+    for name, data in files.items():
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_bytes(data)
+    (tmp_path / "tree" / "p10" / "p100" / "s7.txt").mkdir()
+
+    def rows(df):
+        return sorted(map(tuple, df.selectExpr("study_id", "`group`", "patient", "hex(cast(text AS binary)) AS text").collect()))
+    whole = R.read_report_tree(spark, str(tmp_path / "tree"))
+    assert not [f for f in whole.inputFiles() if f.endswith(".txt")]
+    assert rows(whole) == rows(R.read_report_tree(spark, str(tmp_path / "[t]ree"))) and whole.count() == 92
+    assert rows(R.read_report_tree(spark, f"file:{tmp_path}/tree/")) == rows(whole)
+    for nothing in (tmp_path / "tree" / "p11", tmp_path / "none"):
+        with pytest.raises(Exception):
+            R.read_report_tree(spark, str(nothing)).collect()
