@@ -98,14 +98,14 @@ WITH {LONG} SELECT mimic_id, nullif(report, '') AS report, cat, vals, nullif(sen
 def q_label_csvs(spark, sf_dir):
     """A CSV cell can't tell an empty text from none: both are read as null."""
     out, texts = shared_dir(spark, "labels_csv"), shared_dir(spark, "label_texts_csv")
-    W.write_sentence_labels(B.long_labels(spark, sf_dir), out, texts)
+    W.write_sentence_labels(B.long_labels(spark, sf_dir, digest=True), out, texts, B.labelled_reports(spark, sf_dir))
     return R.read_sentence_labels(spark, out, texts)
 
 
 @register("sink_sentence_labels", f"WITH {LONG} SELECT count(*) AS rows FROM long")
 def q_sink_sentence_labels(spark, sf_dir):
     out, texts = shared_dir(spark, "labels_csv"), shared_dir(spark, "label_texts_csv")
-    W.write_sentence_labels(B.long_labels(spark, sf_dir), out, texts)
+    W.write_sentence_labels(B.long_labels(spark, sf_dir, digest=True), out, texts, B.labelled_reports(spark, sf_dir))
     return R.read_sentence_labels(spark, out, texts).agg(F.count(F.lit(1)).cast("long").alias("rows"))
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from studybank.functions.text import file_stem, parent_stem, template
-from studybank.session import cut_lineage
+from studybank.session import cut_lineage, deals
 from studybank.sources.writers import store_of
 
 SECTIONED_SCHEMA = "study_id string, report string"
@@ -183,17 +183,20 @@ def read_split(spark: SparkSession, path: str, split: str | None = None) -> Data
 
 
 def read_sentence_labels(spark: SparkSession, folder: str, texts: str | None = None) -> DataFrame:
-    """Union of all label CSVs under a folder (header, fixed schema); with ``texts``, the folder of their reports, each
-    row's digest is replaced by its report."""
+    """Union of all label CSVs under a folder (header, fixed schema; compressed or not); with ``texts``, the folder of their
+    reports, each row's digest is replaced by its report.
+
+    A report stands on each of its rows, so the join's partitions are those that a writer stores the reports in once."""
     def csv(schema: str, where: str) -> DataFrame:
         return (spark.read.schema(schema).option("header", True).option("multiLine", True)
                 .option("escape", '"').option("recursiveFileLookup", True)
-                .option("pathGlobFilter", "*.csv").csv(where))
+                .option("pathGlobFilter", "*.{csv,csv.gz}").csv(where))
 
     rows = csv(LABEL_SCHEMA, folder)
     if not texts:
         return rows
     reports = csv(LABEL_TEXT_SCHEMA, texts)
+    reports = reports.repartition(deals(reports.select(F.octet_length("report").alias("n")), "n"), "digest")
     return rows.withColumnRenamed("report", "digest").join(reports, "digest", "left").select(*rows.columns)
 
 

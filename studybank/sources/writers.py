@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -44,17 +44,22 @@ def write_embeddings(df: DataFrame, out: str, max_rows: int = 50000) -> None:
      .partitionBy("case", "embed_type").parquet(out))
 
 
-def write_sentence_labels(df: DataFrame, out: str, texts: str | None = None) -> None:
-    """Label rows ``(mimic_id, report, cat, vals, sents)`` as CSV with a header.
+def text_digest(col: str) -> Column:
+    return F.sha2(F.col(col).cast("binary"), 256)
+
+
+def write_sentence_labels(df: DataFrame, out: str, texts: str | None = None, reports: DataFrame | None = None) -> None:
+    """Label rows ``(mimic_id, report, cat, vals, sents)`` as compressed CSV with a header.
 
     With a folder ``texts``, each different report is written there once, as ``(digest, report)``, and the label rows hold
-    its digest: a report's text is not written again for each of its sentences."""
+    its digest: a report's text is not written again for each of its sentences.  Rows may bring it as ``digest``,
+    and ``reports`` the reports ``(report)`` of all rows, if they are at hand without being repeated."""
+    csv = CSV | {"header": True, "compression": "gzip"}
     if texts:
-        digest = F.sha2(F.col("report").cast("binary"), 256)
-        (df.select(digest.alias("digest"), "report").where("report IS NOT NULL").distinct()
-         .write.mode("overwrite").option("header", True).options(**CSV).csv(texts))
-        df = df.withColumn("report", digest)
-    (df.write.mode("overwrite").option("header", True).options(**CSV).csv(out))
+        reports = (df if reports is None else reports).select("report").where("report IS NOT NULL").distinct()
+        reports.select(text_digest("report").alias("digest"), "report").write.mode("overwrite").options(**csv).csv(texts)
+        df = df.withColumn("report", F.col("digest") if "digest" in df.columns else text_digest("report"))
+    df.drop("digest").write.mode("overwrite").options(**csv).csv(out)
 
 
 def write_preds(df: DataFrame, out: str) -> None:

@@ -4,6 +4,7 @@ import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from studybank.session import shared_dir
 from studybank.sources import readers as R
@@ -109,3 +110,26 @@ def test_a_report_tree_is_listed_and_read_by_the_executors(spark, tmp_path):
     for nothing in (tmp_path / "tree" / "p11", tmp_path / "none"):
         with pytest.raises(Exception):
             R.read_report_tree(spark, str(nothing)).collect()
+
+
+def test_label_rows_come_back_with_reports_that_a_file_holds_once(spark, tmp_path):
+    """Rows of a report stay together in small partitions, so that the Parquet writer's dictionary has it once; files are compressed."""
+    texts = [f"report {i} " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(20_000)) for i in range(150)]
+    long = spark.createDataFrame([(f"s{i}", t, "A", i % 2) for i, t in enumerate(texts)], "mimic_id string, report string, cat string, vals int")
+    long = long.withColumn("sents", F.explode(F.transform(F.sequence(F.lit(1), F.lit(30)), lambda i: F.concat(F.lit("piece "), i.cast("string")))))
+    out, apart = str(tmp_path / "labels"), str(tmp_path / "texts")
+    W.write_sentence_labels(long.withColumn("digest", W.text_digest("report")), out, apart, long.select("report").distinct())
+    assert not list(tmp_path.rglob("*.csv")) and list(tmp_path.rglob("*.csv.gz"))
+    back = R.read_sentence_labels(spark, out, apart)
+    assert back.columns == ["mimic_id", "report", "cat", "vals", "sents"]
+    threshold, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(threshold, "-1")
+    try:
+        back.write.option("compression", "none").parquet(str(tmp_path / "back"))
+    finally:
+        spark.conf.set(threshold, was)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "back")).collect())) == sorted(map(tuple, long.collect()))
+    assert sum(p.stat().st_size for p in (tmp_path / "back").rglob("*.parquet")) < 3 * sum(map(len, texts))
+    # plain files of others are read as well
+    long.drop("digest").where("vals = 1").write.option("header", True).options(**W.CSV).csv(str(tmp_path / "labels" / "more"))
+    assert R.read_sentence_labels(spark, out).count() == 30 * (150 + 75)
