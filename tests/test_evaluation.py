@@ -203,3 +203,44 @@ def test_metrics_runs_join_the_documents_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(bindings, "bank_rows", lambda *a: calls.append(a) or whole(*a))
     got = q_evaluation.q_metrics_runs(spark, str(tmp_path)).collect()
     assert sorted(r["case"] for r in got) == ["plain", "with bleu"] and len(calls) == 1
+
+
+def test_results_of_whole_groups_are_not_shuffled(spark, monkeypatch):
+    """Groups that lie in one cell give final rows; large groups are cut and merged; queries may come twice."""
+    x = np.round(vectors(500, 6), 2)
+    v = spark.createDataFrame([(i, None if i % 50 == 49 else min(i // 7, 40), r.tolist()) for i, r in enumerate(x)],
+                              "id long, batch int, embs array<double>").repartition(3)
+    q = v.where("id % 4 = 0").select("id", "embs")
+    q = q.unionAll(q.where("id < 100")).repartition(5)
+
+    def found(df):
+        return sorted(((r.query_id, r.batch, r["rank"], r.bank_id, round(r.sim, 9)) for r in df.collect()), key=str)
+    unit = retrieve._normalise(x)
+    rows = {}
+    for i in [i for i in range(500) if i % 4 == 0] + list(range(0, 100, 4)):
+        for j in range(500):
+            rows.setdefault((i, None if j % 50 == 49 else min(j // 7, 40)), []).append((-float(np.round(unit[i] @ unit[j], 9)), j))
+    want = sorted(((i, g, rank, j, -s) for (i, g), r in rows.items() for rank, (s, j) in enumerate(sorted(r)[:3], 1)), key=str)
+
+    def whole(got):
+        # near ties may change places
+        assert [x[:3] for x in got] == [x[:3] for x in want] and np.allclose([x[4] for x in got], [x[4] for x in want], atol=2e-9)
+        assert len({x[:4] for x in got}) >= 0.9 * len({x[:4] for x in want})
+    top = retrieve.topk(q, v, 3, query_key="id", bank_key="id", group="batch")
+    assert "Window" not in top._jdf.queryExecution().executedPlan().toString()
+    whole(found(top))
+    for name, value in (("GROUP_QUERIES", 30), ("GROUP_ROWS", 40), ("QUERY_BYTES", 3000), ("PACK_BYTES", 200)):
+        monkeypatch.setattr(retrieve, name, value)
+    cut = retrieve.topk(q, v, 3, query_key="id", bank_key="id", group="batch")
+    assert "Window" in cut._jdf.queryExecution().executedPlan().toString()  # batch 40 has more than 40 rows
+    whole(found(cut))
+
+
+def test_few_shares_send_vectors_to_few_cells():
+    def sizes(n):
+        return {"q": (n // 10, n // 10 * 264), "b": (n, n * 264)}
+    for n in (100_000, 600_000):
+        groups, cells = retrieve._shares(sizes(n), 12)
+        assert groups * n + cells * n // 10 <= 10 * n  # rows sent
+        assert sizes(n)["q"][1] <= groups * retrieve.QUERY_BYTES and sizes(n)["b"][1] <= cells * retrieve.BANK_BYTES
+    assert retrieve._shares({"q": (5, 100), "b": (9, 100)}, 12) == (1, 1)
