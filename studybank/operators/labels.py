@@ -129,7 +129,7 @@ def label_cells(rows: DataFrame, long: DataFrame, level: str, ident: str, key: s
 
 
 def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id",
-                  every: bool = False, parts: int | None = None) -> DataFrame:
+                  every: bool = False) -> DataFrame:
     """Attach the report text of each study: the smallest, so the join never fans out, or with
     ``every`` a row for each different text of the study.
 
@@ -137,11 +137,9 @@ def attach_report(embs: DataFrame, long: DataFrame, key: str = "study_id",
     strings would sort (and spill) every row with its whole report.  The count, always above 0, keeps the optimizer
     from leaving that step out before the minimum.
 
-    If a study has many rows, its report stands on each: with ``parts`` (see ``session.deals``) studies are dealt into
-    partitions that a writer stores the reports in once."""
+    If a study has many rows, its report stands on each.  Rows of ``long`` that are dealt by ``mimic_id`` (see
+    ``session.deals``) stay where they are, in partitions that a writer stores the reports in once."""
     rep = long.groupBy("mimic_id", "report").agg(F.count(F.lit(1)).alias("_n")).where("_n > 0").drop("_n")
-    if parts:
-        rep = rep.repartition(parts, "mimic_id")
     if not every:
         rep = rep.groupBy("mimic_id").agg(F.min("report").alias("report"))
     return embs.join(rep, embs[key] == rep["mimic_id"], "left").drop("mimic_id")

@@ -101,7 +101,7 @@ rep AS (SELECT mimic_id, min(report) AS report FROM long GROUP BY mimic_id)
 SELECT e.study_id, e.target, rep.report FROM embs e LEFT JOIN rep ON e.study_id = rep.mimic_id
 """)
 def q_join_report_text(spark, sf_dir):
-    return L.attach_report(_embs(spark, sf_dir), B.long_labels(spark, sf_dir), parts=B.label_deals(spark, sf_dir))
+    return L.attach_report(_embs(spark, sf_dir), B.long_labels(spark, sf_dir, dealt=True))
 
 
 @register("join_reports_long_labels", f"""

@@ -52,31 +52,23 @@ def test_reports_are_merged_before_they_are_sorted(spark):
 
 
 def test_files_hold_an_attached_report_once(spark, tmp_path):
-    """With studies dealt, a report on many rows is stored once, not on each."""
-    texts = [f"report {i} " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(20_000)) for i in range(150)]
-    reports = spark.createDataFrame([(f"s{i}", t) for i, t in enumerate(texts)] + [("s3", "a smaller one"), (None, "of none")], "mimic_id string, report string")
-    piece = F.explode(F.sequence(F.lit(1), F.lit(30))).alias("target")
-    embs = spark.createDataFrame([(f"s{i}",) for i in range(155)] + [(None,)], "study_id string").select("study_id", piece)
-    out = str(tmp_path / "out")
+    """The reports of studies with many rows are dealt once, into partitions that a writer stores them in once."""
+    from studybank.plans import q_labels
+    texts = [f"report {i} " + "".join(chr(97 + (i * 7 + j * j) % 26) for j in range(20_000)) + "." * 30 for i in range(150)]
+    docs = [*enumerate(texts), (3, "a smaller one"), (150, None), (151, "no label"), (None, "no id")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    cells = [(i, 1, 0) for i in range(151)] + [(7, None, 1), (900, 1, 1), (None, 1, 1)]
+    spark.createDataFrame(cells, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     threshold, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set(threshold, "-1")
     try:
-        labels.attach_report(embs, reports, parts=16).write.option("compression", "none").parquet(out)
+        made = q_labels.q_join_report_text(spark, str(tmp_path))
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # documents, labels, pieces
+        made.write.option("compression", "none").parquet(str(tmp_path / "out"))
     finally:
         spark.conf.set(threshold, was)
-    want = {f"s{i}": t for i, t in enumerate(texts)} | {"s3": "a smaller one", None: None} | {f"s{i}": None for i in range(150, 155)}
-    got = [(r.study_id, r.target, r.report) for r in spark.read.parquet(out).collect()]
-    assert sorted(got, key=str) == sorted(((s, i, t) for s, t in want.items() for i in range(1, 31)), key=str)
-    assert sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet")) < 3 * sum(map(len, texts))
-
-
-def test_the_query_deals_its_studies(spark, tmp_path, monkeypatch):
-    from studybank.plans import q_labels
-    text = ". ".join(f"word{i}" for i in range(40))
-    spark.createDataFrame([(i, text + str(i)) for i in range(9)] + [(9, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 9, 20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    asked, whole = [], labels.attach_report
-    monkeypatch.setattr(labels, "attach_report", lambda *a, **k: asked.append(k.get("parts")) or whole(*a, **k))
-    got = q_labels.q_join_report_text(spark, str(tmp_path)).collect()
-    assert len(got) == 9 * 40 + 1 and {r.study_id: r.report for r in got} == {f"s{i}": text + str(i) if i in (1, 2) else None for i in range(10)}
-    assert asked[0] and asked[0] >= spark.sparkContext.defaultParallelism
+    least = {f"s{i}": t for i, t in enumerate(texts)} | {"s3": "a smaller one"}
+    want = [(None if i is None else f"s{i}", piece, least.get(f"s{i}")) for i, t in docs for piece in ([None] if t is None else t.split("."))]
+    got = [(r.study_id, r.target, r.report) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet")) < 4 * sum(map(len, texts))
