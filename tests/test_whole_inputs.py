@@ -63,7 +63,7 @@ def test_files_hold_an_attached_report_once(spark, tmp_path):
     spark.conf.set(threshold, "-1")
     try:
         made = q_labels.q_join_report_text(spark, str(tmp_path))
-        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3  # documents, labels, pieces
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4  # documents, labels, their ids, pieces
         made.write.option("compression", "none").parquet(str(tmp_path / "out"))
     finally:
         spark.conf.set(threshold, was)
@@ -72,3 +72,25 @@ def test_files_hold_an_attached_report_once(spark, tmp_path):
     got = [(r.study_id, r.target, r.report) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sum(p.stat().st_size for p in (tmp_path / "out").rglob("*.parquet")) < 4 * sum(map(len, texts))
+
+
+def test_reports_are_not_shuffled_to_find_the_labelled(spark, tmp_path, monkeypatch):
+    """Lengths are taken before the join that counts partitions; texts meet a set of ids, unless these are too many."""
+    from studybank.plans import bindings
+    spark.createDataFrame([(i, f"text {i}") for i in range(9)] + [(3, "again"), (4, None), (None, "x")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in (3, 4, 4, 70)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sized = []
+    monkeypatch.setattr(bindings, "deals", lambda df, col: sized.append(df) or 3)
+    threshold, was = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(threshold, "-1")
+    try:
+        bindings.label_deals(spark, str(tmp_path))
+        below = sized[0]._jdf.queryExecution().optimizedPlan().toString().split("Join LeftSemi")[1]
+        assert "octet_length" in below
+        for most, broadcast in ((100, True), (2, False)):
+            monkeypatch.setattr(bindings, "LABEL_ROWS", most)
+            found = bindings.labelled_reports(spark, str(tmp_path))
+            assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) == broadcast
+            assert sorted((r.report for r in found.collect()), key=str) == [None, "again", "text 3", "text 4"]
+    finally:
+        spark.conf.set(threshold, was)
